@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import license_scan, url_filters
+from loomdoc.llm import license_scan, piece_codec, token_counts, url_filters
 
 QUERIES = {
+    "op1_sentencepiece": piece_codec.op1_sentencepiece,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
