@@ -1,4 +1,65 @@
+"""A training corpus from ``documents``: quality, language, near duplicates, mixture, tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomdoc.llm import language_id, mixing, ngram_jaccard, piece_codec, quality
+from loomdoc.llm.common import written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within their language's perplexity bar stay; the model is trained on the trusted ones among ``docs``."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(docs, model, tuple(docs.columns)).where("kept").select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose predicted language holds at least half of the code's weight stay."""
+    found = language_id.identify(docs, language_id.fit(docs), keep=tuple(docs.columns))
+    return found.where("lang_pred <> 'und' AND score >= 0.5").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents whose five-word shingles reach a Jaccard similarity of 0.8 the smallest id stays."""
+    found = ngram_jaccard.jaccard_components(docs, n=5, percent=80)
+    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document once for every time the mix takes words of it; documents of which it takes none go."""
+    mixed = mixing.mix_sources(mixing.word_sizes(docs))
+    times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    return mixed.where("taken > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and whether they decode to it."""
+    import public_tokenizers
+
+    found = piece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", encoding_stage),
+]
+
+#: The models' decisions can't be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = written(docs, f"stage{number}")
+    return docs

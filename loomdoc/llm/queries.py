@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import language_id, license_scan, media_columns, mixing, piece_codec, quality, token_counts, url_filters
+from loomdoc.llm import embedding_dedup, language_id, license_scan, media_columns, mixing, ngram_jaccard, piece_codec, quality, token_counts, url_filters
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
     "op2_media_columns": media_columns.op2_media_columns,
     "op3_language_id": language_id.op3_language_id,
     "op4_quality": quality.op4_quality,
+    "op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_mixing": mixing.op9_mixing,
