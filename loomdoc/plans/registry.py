@@ -5,17 +5,191 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomdoc.functions import text
+from loomdoc.functions.jsonpath import query_json_path
+from loomdoc.operators import records
+from loomdoc.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Query, str | None]] = {}
+
+#: Keywords of the status query, in order.
+KEYWORDS = {"error": 500, "purchase": 402, "signup": 201, "view": 200}
+
+
+def _register(oracle: str | None = None):
+    def add(query: Query) -> Query:
+        _QUERIES[query.__name__] = (query, oracle)
+        return query
+
+    return add
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as documents: ``{"key", "lines": [{"n", "qty", "flag"}]}``, ordered by line."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part")).alias("line"))
+    grouped = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return grouped.select("l_orderkey", F.parse_json(F.to_json(F.struct(F.col("l_orderkey").alias("key"), "lines"))).alias("doc"))
+
+
+def _int(name: str):
+    return F.try_variant_get("value", f"$.{name}", "int")
+
+
+_RANKED = "SELECT l_orderkey, l_linenumber AS n, l_returnflag AS flag, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag, l_partkey) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem"
+
+
+@_register("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def jp_child(spark, sf):
+    docs = table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    return query_json_path(docs, "$.k").select("event_id", F.try_variant_get("value", "$", "int").alias("k"))
+
+
+@_register("SELECT l_orderkey, l_linenumber AS n FROM lineitem")
+def jp_wildcard(spark, sf):
+    return query_json_path(_orders(spark, sf), "$.lines[*]").select("l_orderkey", _int("n").alias("n"))
+
+
+@_register("SELECT l_orderkey, l_linenumber AS n FROM lineitem")
+def jp_descendant(spark, sf):
+    return query_json_path(_orders(spark, sf), "$..n").select("l_orderkey", F.try_variant_get("value", "$", "int").alias("n"))
+
+
+@_register("SELECT l_orderkey, l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R'")
+def jp_filter_eq(spark, sf):
+    return query_json_path(_orders(spark, sf), "$.lines[?(@.flag == 'R')]").select("l_orderkey", _int("n").alias("n"))
+
+
+@_register("SELECT l_orderkey, l_linenumber AS n FROM lineitem WHERE l_returnflag <> 'R'")
+def jp_filter_ne(spark, sf):
+    return query_json_path(_orders(spark, sf), "$.lines[?(@.flag != 'R')]").select("l_orderkey", _int("n").alias("n"))
+
+
+@_register(f"SELECT l_orderkey, n FROM ({_RANKED}) WHERE pos > greatest(0, size - 2)")
+def jp_slice_neg(spark, sf):
+    return query_json_path(_orders(spark, sf), "$.lines[-2:]").select("l_orderkey", _int("n").alias("n"))
+
+
+@_register(f"SELECT l_orderkey, n FROM ({_RANKED}) WHERE pos = size")
+def jp_index_neg(spark, sf):
+    return query_json_path(_orders(spark, sf), "$.lines[-1]").select("l_orderkey", _int("n").alias("n"))
+
+
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+def _paths(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+
+
+@_register(f"SELECT page_id, regexp_full_match({_PATH}, '/en/[^/]*') AS ignored FROM pages")
+def glob_ignore(spark, sf):
+    return _paths(spark, sf).select("page_id", text.glob_matches(F.col("path"), "/en/*").alias("ignored"))
+
+
+@_register("SELECT page_id, array_to_string(regexp_extract_all(regexp_replace(url, '/(\\d+)', '/{n\\1}', 'g'), '\\{([^}]+)\\}', 1), ',') AS names FROM pages")
+def path_params(spark, sf):
+    marked = F.regexp_replace("url", r"/(\d+)", "/{n$1}")
+    return table(spark, sf, "pages").select("page_id", F.array_join(text.path_parameters(marked), ",").alias("names"))
+
+
+@_register(f"SELECT page_id, 'get-' || regexp_replace(replace({_PATH}, '/', '-'), '^-', '') AS operation_id FROM pages")
+def operation_id(spark, sf):
+    return _paths(spark, sf).select("page_id", text.operation_id(F.col("path"), F.lit("get")).alias("operation_id"))
+
+
+@_register("SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2) AS title FROM part")
+def capitalize(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", text.capitalize(F.col("p_name")).alias("title"))
+
+
+@_register("SELECT o_orderkey, '/orders/{id}/' || lower(o_orderstatus) AS path FROM orders")
+def express_path(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", text.join_paths(F.lit("/orders//"), F.lit(":id?"), F.lower("o_orderstatus")).alias("path"))
+
+
+@_register("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def last_wins(spark, sf):
+    return records.last_wins(table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id"], "event_id")
+
+
+@_register("SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY user_id")
+def dedupe_first(spark, sf):
+    return records.first_wins(table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id"], "event_id")
+
+
+@_register("SELECT k, coalesce(max(v) FILTER (layer = 0), max(v) FILTER (layer = 1)) AS v FROM (SELECT s_nationkey AS k, max(s_acctbal) AS v, 0 AS layer FROM supplier GROUP BY ALL UNION ALL SELECT c_nationkey, max(c_acctbal), 1 FROM customer GROUP BY ALL) GROUP BY k")
+def layer_merge(spark, sf):
+    upper = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("v"))
+    lower = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("v"))
+    return records.layered([upper, lower], ["k"])
+
+
+@_register("SELECT user_id, arg_min(code, event_id) AS code FROM (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN '500' WHEN 'signup' THEN '201' WHEN 'view' THEN '2XX' ELSE '302' END AS code FROM events) WHERE code IN ('201', '2XX') GROUP BY user_id")
+def first_success(spark, sf):
+    code = F.when(F.col("event_type") == "error", "500").when(F.col("event_type") == "signup", "201").when(F.col("event_type") == "view", "2XX").otherwise("302")
+    return records.first_success(table(spark, sf, "events").select("user_id", "event_id", code.alias("code")), ["user_id"], "code", "event_id")
+
+
+@_register("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def semi_schemes(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+
+
+@_register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_unknown_ref(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@_register("SELECT l_orderkey, sha256(string_agg(CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR), chr(10) ORDER BY l_linenumber, CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR))) AS fingerprint FROM lineitem GROUP BY l_orderkey")
+def fingerprint(spark, sf):
+    return records.fingerprint(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_linenumber")
+
+
+@_register("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (0, 1, 2)")
+def input_diff(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    before, after = docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 <> 1")
+    return records.input_diff(before, after.withColumn("hash", F.when(F.col("doc_id") % 10 == 2, F.reverse("hash")).otherwise(F.col("hash"))), "doc_id", "hash")
+
+
+@_register(f"SELECT event_type, count(*) AS n, min(CASE {' '.join(f'WHEN contains(event_type, {w!r}) THEN {c}' for w, c in KEYWORDS.items())} ELSE 400 END) AS status FROM events GROUP BY event_type")
+def guess_status(spark, sf):
+    status = text.guess_status(F.col("event_type"), KEYWORDS, 400)
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min(status).alias("status"))
+
+
+@_register("SELECT n_nationkey, 'Nation ' || n_name || ' of ' || CAST(n_regionkey AS VARCHAR) AS line FROM nation")
+def template_fill(spark, sf):
+    variables = F.create_map(F.lit("NAME"), F.col("n_name"), F.lit("REGION"), F.col("n_regionkey").cast("string"))
+    return table(spark, sf, "nation").select("n_nationkey", text.fill_template(F.lit("Nation {{NAME}} of {{REGION}}"), variables).alias("line"))
+
+
+@_register("SELECT o_orderpriority AS severity, count(*) AS n FROM orders GROUP BY 1")
+def severity_rollup(spark, sf):
+    return records.severity_counts(table(spark, sf, "orders"), F.col("o_orderpriority"))
+
+
+@_register("SELECT l_suppkey, sum(l_quantity) AS ms FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top5(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("ms")).orderBy(F.desc("ms"), "l_suppkey").limit(5)
+
+
+@_register("WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation), r AS (SELECT src, dst, 1 AS steps FROM e UNION ALL SELECT r.src, e.dst, steps + 1 FROM r JOIN e ON r.dst = e.src WHERE steps < 8 AND r.src <> e.dst) SELECT src, dst, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY ALL")
+def ref_closure(spark, sf):
+    edges = table(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst"))
+    return records.closure(edges, 8)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return jp_filter_eq(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: oracle for name, (_, oracle) in _QUERIES.items() if oracle}
