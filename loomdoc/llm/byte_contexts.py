@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,8 +11,8 @@ import pyarrow as pa
 #: Symbols looked at together: a context of three and the next.
 ORDER = 4
 
-#: Numbers in a model's table at most (float32: 64 MB), so that its broadcast has a fixed bound.
-TABLE_CELLS = 16_000_000
+#: Numbers in a model's table at most (float32: 32 MB before compression), so that its broadcast has a fixed bound.
+TABLE_CELLS = 8_000_000
 
 #: Bytes of text scored at once.
 CHUNK_BYTES = 1_000_000
@@ -56,11 +57,35 @@ def count_grams(classes: np.ndarray, size: int, prepare: Callable[[str], bytes])
 class Frozen:
     """Code lengths in bits of every symbol in every kept context, by model: the longest kept suffix of three symbols is the context.
 
-    ``rows`` maps the code of three symbols to a row of ``table`` (contexts x symbols x models).
+    ``two`` and ``three`` are the kept contexts of two and three symbols, sorted; ``table`` (contexts x symbols x models) has rows for all single symbols, then for these. ``rows``
+    maps the code of any three symbols to its row; tasks build it for themselves.
     """
 
-    def __init__(self, classes: np.ndarray, size: int, rows: np.ndarray, table: np.ndarray):
-        self.classes, self.size, self.rows, self.table = classes, size, rows, table
+    def __init__(self, classes: np.ndarray, size: int, two: np.ndarray, three: np.ndarray, table: np.ndarray):
+        self.classes, self.size, self.two, self.three, self.table = classes, size, two, three, table
+        self._shared = None
+        self._index()
+
+    def _index(self) -> None:
+        rows = np.tile(np.arange(self.size, dtype=np.int32), self.size**2)
+        rows.reshape(self.size, self.size**2)[:, self.two] = self.size + np.arange(len(self.two))
+        rows[self.three] = self.size + len(self.two) + np.arange(len(self.three))
+        self.rows = rows
+
+    def __getstate__(self) -> tuple:
+        return self.classes, self.size, self.two, self.three, self.table.shape, zlib.compress(np.ascontiguousarray(self.table).tobytes(), 1)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.classes, self.size, self.two, self.three, shape, packed = state
+        self.table = np.frombuffer(zlib.decompress(packed), np.float32).reshape(shape)
+        self._shared = None
+        self._index()
+
+    def shared(self, spark):
+        """One broadcast of the model, however often it scores."""
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast(self)
+        return self._shared
 
     def bits(self, texts: list[bytes], model: np.ndarray | None = None) -> np.ndarray:
         """Total bits of each prepared text: under every model, or under the given one of each text."""

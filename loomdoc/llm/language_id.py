@@ -68,11 +68,7 @@ def freeze(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[list[str],
     two = np.unique(np.r_[three % SYMBOLS**2])
     contexts = [np.zeros(1, np.int64), np.arange(SYMBOLS), two, three]
     table = np.stack([np.concatenate(_tree(*grams[lang], contexts)[1:]) for lang in langs], 2)
-    rows = np.tile(np.arange(SYMBOLS, dtype=np.int32), SYMBOLS**2)
-    by_two = rows.reshape(SYMBOLS, SYMBOLS**2)
-    by_two[:, two] = SYMBOLS + np.arange(len(two))
-    rows[three] = SYMBOLS + len(two) + np.arange(len(three))
-    return langs, Frozen(CLASSES, SYMBOLS, rows, -np.log2(np.maximum(table, 1e-12)).astype(np.float32))
+    return langs, Frozen(CLASSES, SYMBOLS, two, three, -np.log2(np.maximum(table, 1e-12)).astype(np.float32))
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_langs: int = MOST_LANGS) -> tuple[list[str], Frozen] | None:
@@ -131,7 +127,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Frozen] | None, text_col:
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     langs, frozen = model
-    shared = docs.sparkSession.sparkContext.broadcast(frozen)
+    shared = frozen.shared(docs.sparkSession)
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "lang_pred string, score double, bits_per_byte double"])
     found = docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(_predict(shared, langs), schema)
