@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.functions import text
+from loomdoc.functions import merges, text
 from loomdoc.functions.jsonpath import query_json_path
-from loomdoc.operators import records
+from loomdoc.operators import documents, overlay, records
 from loomdoc.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,59 @@ def ref_closure(spark, sf):
     return records.closure(edges, 8)
 
 
+@_register("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CASE WHEN props IS NOT NULL THEN true END AS seen FROM events")
+def overlay_update(spark, sf):
+    docs = table(spark, sf, "events").select("event_id", F.col("props").alias("doc"))
+    changed = overlay.apply_overlay(docs, overlay.resolve_actions([{"target": "$", "update": {"seen": True}}])).withColumn("doc", F.try_parse_json("doc"))
+    return changed.select("event_id", F.try_variant_get("doc", "$.k", "int").alias("k"), F.try_variant_get("doc", "$.seen", "boolean").alias("seen"))
+
+
+@_register("SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY l_orderkey")
+def overlay_remove(spark, sf):
+    docs = _orders(spark, sf).withColumn("doc", F.to_json("doc"))
+    changed = overlay.apply_overlay(docs, overlay.resolve_actions([{"target": "$.lines[?(@.flag == 'R')]", "remove": True}]))
+    return changed.select("l_orderkey", F.json_array_length(F.get_json_object("doc", "$.lines")).cast("long").alias("n"))
+
+
+@_register("SELECT n_nationkey, n_name || ',' || CAST(n_regionkey AS VARCHAR) AS names FROM nation")
+def merge_fragment(spark, sf):
+    base, more = (F.to_json(F.struct(F.array(F.col(c).cast("string")).alias("names"))) for c in ("n_name", "n_regionkey"))
+    both = F.from_json(merges.merged(base, more, "fragment"), "names array<string>")
+    return table(spark, sf, "nation").select("n_nationkey", F.array_join(both["names"], ",").alias("names"))
+
+
+@_register("SELECT c_custkey, c_mktsegment AS segment, c_nationkey AS nation, true AS gone FROM customer")
+def merge_patch(spark, sf):
+    base = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")))
+    more = F.concat(F.lit('{"balance": null, "nation": '), F.col("c_nationkey").cast("string"), F.lit("}"))
+    got = F.from_json(merges.merged(base, more, "patch"), "segment string, balance double, nation int")
+    return table(spark, sf, "customer").select("c_custkey", got.alias("d")).select("c_custkey", "d.segment", "d.nation", F.col("d.balance").isNull().alias("gone"))
+
+
+@_register("SELECT n_regionkey AS region, '/' || n_name AS path, 'get' AS method, n_nationkey AS id FROM nation")
+def operation_rows(spark, sf):
+    item = F.create_map(F.lit("get"), F.struct(F.col("n_nationkey").alias("id")))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/"), "n_name"), item)))
+    docs = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.parse_json(F.to_json(F.struct(entries.alias("paths")))).alias("doc"))
+    return documents.operations_of(docs).select("region", "path", "method", F.try_variant_get("operation", "$.id", "int").alias("id"))
+
+
+@_register("SELECT user_id, string_agg(m || '=' || CAST(v AS VARCHAR), ',' ORDER BY m) AS methods FROM (SELECT user_id, lower(event_type) AS m, max(event_id) AS v FROM events GROUP BY ALL) GROUP BY user_id")
+def path_items(spark, sf):
+    found = documents.path_items(table(spark, sf, "events"), "user_id", "event_type", "event_id", "event_id")
+    return found.select("user_id", F.array_join(F.transform("methods", lambda m: F.concat_ws("=", m["method"], m["value"].cast("string"))), ",").alias("methods"))
+
+
+@_register("SELECT event_type, arg_max(user_id, event_id) AS user_id, arg_max(value, event_id) AS value FROM events GROUP BY event_type")
+def tag_fields(spark, sf):
+    return documents.tag_fields(table(spark, sf, "events"), "event_type", ["user_id", "value"], "event_id")
+
+
+@_register("SELECT l_returnflag, l_linestatus, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY ALL")
+def distinct_responses(spark, sf):
+    return documents.distinct_responses(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey"), ["l_returnflag", "l_linestatus"], "l_orderkey")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jp_filter_eq(spark, sf_dir)
 
