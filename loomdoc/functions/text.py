@@ -110,9 +110,9 @@ def glob_matches(path: Column, glob: str) -> Column:
 def security_requirements(text: Column) -> Column:
     """``array<map<scheme, array<scope>>>``: alternatives between commas, schemes together between semicolons, scopes after the first colon between bars."""
     def one(part: Column) -> Column:
-        pieces = F.filter(F.transform(F.split(part, ";"), F.trim), lambda p: p != "")
+        pieces = F.filter(F.transform(F.split(part, ";"), lambda p: F.trim(p)), lambda p: p != "")
         name = lambda p: F.trim(F.substring_index(p, ":", 1))
-        scopes = lambda p: F.when(p.contains(":"), F.filter(F.transform(F.split(F.regexp_replace(p, "^[^:]*:", ""), r"\|"), F.trim), lambda s: s != "")).otherwise(F.array().cast("array<string>"))
+        scopes = lambda p: F.when(p.contains(":"), F.filter(F.transform(F.split(F.regexp_replace(p, "^[^:]*:", ""), r"\|"), lambda p: F.trim(p)), lambda s: s != "")).otherwise(F.array().cast("array<string>"))
         return F.map_from_entries(F.transform(pieces, lambda p: F.struct(name(p).alias("key"), scopes(p).alias("value"))))
 
     return F.transform(F.filter(F.split(text, ","), lambda p: F.trim(p) != ""), one)

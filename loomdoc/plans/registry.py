@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.functions import merges, text
+from loomdoc.functions import merges, predicates, schema_versions, text
 from loomdoc.functions.jsonpath import query_json_path
-from loomdoc.operators import documents, overlay, records
+from loomdoc.operators import diagnostics, documents, lookups, overlay, records, workflows
 from loomdoc.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,6 +236,103 @@ def distinct_responses(spark, sf):
     return documents.distinct_responses(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey"), ["l_returnflag", "l_linestatus"], "l_orderkey")
 
 
+@_register("SELECT p_partkey, p_name LIKE '%a%' AS ignored, regexp_matches(p_brand, '^Brand.*$') AS excluded, p_size BETWEEN 300 AND 399 AS redirect FROM part")
+def name_predicates(spark, sf):
+    ignored, excluded = predicates.route_ignored(F.col("p_name"), ["*a*"]), predicates.name_excluded(F.col("p_brand"), ["Brand*"])
+    return table(spark, sf, "part").select("p_partkey", ignored.alias("ignored"), excluded.alias("excluded"), predicates.is_redirect(F.col("p_size").cast("string")).alias("redirect"))
+
+
+@_register("SELECT o_orderkey, coalesce(c_name, s_name) AS name, CASE WHEN c_name IS NOT NULL THEN 0 WHEN s_name IS NOT NULL THEN 1 END AS found_in FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0 LEFT JOIN supplier ON s_suppkey = o_custkey")
+def lookup_priority(spark, sf):
+    first = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    second = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    wanted = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    return lookups.by_priority(wanted, [first, second], "key", "name").drop("key")
+
+
+@_register("SELECT o_orderkey, CASE WHEN o_custkey * 3 IN (SELECT c_custkey FROM customer) THEN o_custkey * 3 WHEN o_custkey * 2 IN (SELECT c_custkey FROM customer) THEN o_custkey * 2 ELSE o_custkey END AS candidate FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) OR o_custkey * 2 IN (SELECT c_custkey FROM customer) OR o_custkey * 3 IN (SELECT c_custkey FROM customer)")
+def lookup_first_candidate(spark, sf):
+    tried = F.array(F.col("o_custkey") * 3, F.col("o_custkey") * 2, F.col("o_custkey"))
+    return lookups.first_candidate(table(spark, sf, "orders"), "o_orderkey", tried, table(spark, sf, "customer"), "c_custkey")
+
+
+@_register("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || ',' || CAST(o_custkey * 2 AS VARCHAR) AS candidates FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) AND o_custkey * 2 IN (SELECT c_custkey FROM customer)")
+def lookup_all_candidates(spark, sf):
+    tried = F.array(F.col("o_custkey"), F.col("o_custkey") * 2)
+    found = lookups.all_candidates(table(spark, sf, "orders"), "o_orderkey", tried, table(spark, sf, "customer"), "c_custkey")
+    return found.select("o_orderkey", F.array_join("candidates", ",").alias("candidates"))
+
+
+@_register("SELECT event_id, '5' || CAST(n_nationkey AS VARCHAR) AS code FROM events JOIN region ON lower(r_name) LIKE left(event_type, 1) || '%' JOIN nation ON n_regionkey = r_regionkey")
+def response_sets(spark, sf):
+    sets = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("name", F.lower(F.left("r_name", F.lit(1))))
+    sets = sets.groupBy("name").agg(F.collect_list(F.concat(F.lit("5"), F.col("n_nationkey").cast("string"))).alias("codes"))
+    rows = table(spark, sf, "events").select("event_id", F.concat_ws(", ", F.left("event_type", F.lit(1)), F.lit("unknown")).alias("names"))
+    return lookups.expand_response_sets(rows, sets, "event_id", "names").select("event_id", "code")
+
+
+@_register("SELECT o_orderkey, '#/components/schemas/' || o_orderstatus AS reference, 'HTTP 4' || CAST(o_orderkey % 90 + 10 AS VARCHAR) || ' response' AS description FROM orders")
+def extra_responses(spark, sf):
+    listed = F.concat(F.lit("4"), (F.col("o_orderkey") % 90 + 10).cast("string"), F.lit(":"), F.col("o_orderstatus"), F.lit(", :gone"))
+    return table(spark, sf, "orders").select("o_orderkey", F.explode(lookups.additional_responses(listed, {"500": "Server error"})).alias("r")).select("o_orderkey", "r.reference", "r.description")
+
+
+@_register("SELECT user_id, event_type, max(event_id) FILTER (event_type <> 'click') AS last, CASE WHEN event_type = 'click' THEN 'low' ELSE 'high' END AS layer FROM events GROUP BY ALL")
+def response_layers(spark, sf):
+    low = table(spark, sf, "events").select("user_id", "event_type").distinct().select("user_id", "event_type", F.lit(None).cast("long").alias("last"), F.lit("low").alias("layer"))
+    high = table(spark, sf, "events").where("event_type <> 'click'").groupBy("user_id", "event_type").agg(F.max("event_id").alias("last")).withColumn("layer", F.lit("high"))
+    return lookups.responses_by_priority([low, high], "user_id", "event_type")
+
+
+@_register("SELECT n_nationkey, '/src/region' || CAST(n_regionkey AS VARCHAR) || CASE WHEN n_regionkey % 2 = 0 THEN '.ts' ELSE '/index.js' END AS resolved FROM nation")
+def import_paths(spark, sf):
+    name = F.concat(F.lit("/src/region"), F.col("r_regionkey").cast("string"), F.when(F.col("r_regionkey") % 2 == 0, ".ts").otherwise("/index.js"))
+    files = table(spark, sf, "region").select(name.alias("path"))
+    imports = table(spark, sf, "nation").select("n_nationkey", F.lit("/src/nations/all.ts").alias("current"), F.concat(F.lit("../region"), F.col("n_regionkey").cast("string")).alias("source"))
+    return lookups.resolve_imports(imports, files).select("n_nationkey", "resolved")
+
+
+@_register("SELECT CAST(n_nationkey AS VARCHAR) AS name, 'input' AS side, CAST(n_nationkey AS VARCHAR) AS stored FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'output', CAST(n_nationkey AS VARCHAR) || CASE WHEN n_regionkey > 2 THEN 'Output' ELSE '' END FROM nation")
+def schema_variants(spark, sf):
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("name"), "n_name", "n_regionkey")
+    given = rows.select("name", F.lit("input").alias("side"), F.col("n_name").alias("text"))
+    taken = rows.select("name", F.lit("output").alias("side"), F.when(F.col("n_regionkey") > 2, F.upper(F.concat("n_name", F.lit("x")))).otherwise(F.col("n_name")).alias("text"))
+    return lookups.variant_names(given.union(taken)).select("name", "side", "stored")
+
+
+@_register("SELECT 'unsupported-route-feature' AS code, 'info' AS severity, '/app/[[...' || n_name || ']]/page' AS subject FROM nation UNION ALL SELECT 'unknown-customer', 'error', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)")
+def diagnostic_rows(spark, sf):
+    files = table(spark, sf, "nation").select(F.concat(F.lit("/app/[[..."), "n_name", F.lit("]]/page")).alias("file"))
+    orders = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    unknown = diagnostics.unknown_references(orders, table(spark, sf, "customer").where("c_custkey % 5 <> 0"), "c_custkey", "unknown-customer", "error", F.col("o_orderkey"))
+    return diagnostics.together([diagnostics.route_features(files, "file"), unknown]).drop("message")
+
+
+@_register("SELECT l_orderkey, l_linenumber AS step FROM lineitem WHERE l_linenumber > 5")
+def workflow_steps(spark, sf):
+    step = F.struct(F.col("l_linenumber").cast("string").alias("stepId"), F.concat(F.lit("op"), F.col("l_linenumber").cast("string")).alias("operationId"))
+    flows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(step).alias("steps"))
+    text = F.to_json(F.struct(F.array(F.struct(F.lit("w").alias("workflowId"), "steps")).alias("workflows")))
+    steps = workflows.steps_of(workflows.read_files(flows.select("l_orderkey", text.alias("text"))), "l_orderkey")
+    known = table(spark, sf, "region").select(F.concat(F.lit("op"), (F.col("r_regionkey") + 1).cast("string")).alias("operationId"))
+    return steps.join(known, "operationId", "left_anti").select("l_orderkey", F.col("stepId").cast("int").alias("step"))
+
+
+@_register("SELECT p_partkey, p_size AS low, true AS above, true AS may_be_null, CASE WHEN p_size % 2 = 0 THEN 'string' ELSE 'integer' END AS kind FROM part")
+def schema_downgrade(spark, sf):
+    kind = F.when(F.col("p_size") % 2 == 0, "string").otherwise("integer")
+    newer = F.to_json(F.struct(F.array(kind, F.lit("null")).alias("type"), F.col("p_size").alias("exclusiveMinimum")))
+    older = F.from_json(schema_versions.schema_for(newer, "3.0"), "type string, minimum int, exclusiveMinimum boolean, nullable boolean")
+    return table(spark, sf, "part").select("p_partkey", older.alias("s")).select("p_partkey", F.col("s.minimum").alias("low"), F.col("s.exclusiveMinimum").alias("above"), F.col("s.nullable").alias("may_be_null"), F.col("s.type").alias("kind"))
+
+
+@_register("SELECT p_partkey, p_size AS above, 'integer,null' AS kinds FROM part")
+def schema_upgrade(spark, sf):
+    older = F.to_json(F.struct(F.lit("integer").alias("type"), F.lit(True).alias("nullable"), F.col("p_size").alias("minimum"), F.lit(True).alias("exclusiveMinimum")))
+    newer = F.from_json(schema_versions.schema_for(older, "3.1"), "type array<string>, exclusiveMinimum int")
+    return table(spark, sf, "part").select("p_partkey", newer["exclusiveMinimum"].alias("above"), F.array_join(newer["type"], ",").alias("kinds"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jp_filter_eq(spark, sf_dir)
 
