@@ -6,7 +6,7 @@ least c of the short lists. Lists are ordered by the length of a shingle's text
 
 1. One pass gives each document its set's size and signature; equal sets are one class, and shingles that many classes share are found.
 2. A second pass writes the short lists' entries; merging is a count by shingle and a join, which AQE can split.
-   Classes that stand in fewer than c shared lists drop out.
+   Classes that stand in fewer than c shared lists drop out; a class that could link with one of fewer than FEW shingles needs only one.
 3. In each list every member meets a leader of that list. Pairs whose bucket profiles bound the overlap below T drop out; for the others the rest of
    T is binary-probed in the partner's sorted set.
 4. In lists that still span several components, remaining pairs of different components meet unless their distances to the leader rule a link out
@@ -31,7 +31,7 @@ from loomdoc.llm.common import connected_components, written
 #: (8 bytes each). Which these are changes the work alone, not the result. A task counts so many codes at once.
 LOCAL_SHARED, SHARED, MOST_SHARED, COUNTED_CODES = 2, 6, 1 << 20, 4_000_000
 
-#: Short lists that a partner must stand in, for sets of at least FEW shingles; 1 for smaller sets.
+#: Short lists that a set of at least FEW shingles must share with a partner of at least FEW; 1 if either is smaller.
 SHORT_HITS, FEW = 4, 8
 
 #: Orders from which lists take their leaders.
@@ -171,6 +171,11 @@ def overlap_needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def hits_needed(n, percent: int):
+    """Whether a set of ``n`` shares SHORT_HITS lists with any partner: the smallest has ``overlap_needed`` shingles, which must be FEW and SHORT_HITS at least. ``n`` is an int or a Column."""
+    return percent * n > 100 * (max(FEW, SHORT_HITS) - 1)
+
+
 def _short_lists(n: int, percent: int, shared, wanted=None):
     """Entries (key, sid, n, pos) of the short lists, ``pos`` being the key's place in the set's order; with ``wanted``, a bitmap over the keys' low bits, only those that it may hold."""
 
@@ -300,7 +305,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     wanted = spark.sparkContext.broadcast(_filter_bits(lists, "key"))
     entries = texts.mapInArrow(_short_lists(n, percent, shared, wanted), kind)
     members = written(entries.join(lists, "key").groupBy("key", "sid").agg(F.max("n").alias("n"), F.min("pos").alias("pos")), "members")
-    enough = members.groupBy("sid").agg(F.count("*").alias("hits"), F.max("n").alias("n")).where((F.col("hits") >= SHORT_HITS) | (F.col("n") < FEW)).select("sid", "n")
+    enough = members.groupBy("sid").agg(F.count("*").alias("hits"), F.max("n").alias("n")).where((F.col("hits") >= SHORT_HITS) | ~hits_needed(F.col("n"), percent)).select("sid", "n")
     enough = written(enough, "enough")
     members = members.join(enough.select("sid"), "sid", "left_semi")
     led = members.groupBy("key").agg(F.min(drawn).alias("x"), F.max(drawn).alias("y")).where("x <> y").select("key", leader)

@@ -124,6 +124,17 @@ def test_jaccard_components(spark):
     assert ngram_jaccard.jaccard_components(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("n", "percent", "low", "high"), [(4, 85, 10, 11), (5, 80, 11, 12), (4, 60, 8, 11), (4, 60, 10, 14)])
+def test_jaccard_links_of_small_and_larger_sets(spark, n, percent, low, high):
+    every = []
+    for k in range(30):
+        words = [f"{'x' * ((i * 7 + k) % 5)}{k}w{i}" for i in range(high)]
+        every += [" ".join(words[:low]), " ".join(words)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs(spark, every), n, percent).collect()}
+    assert got == brute_components(range(len(every)), every, n, percent)
+    assert all(got[2 * k + 1][1] == 2 * k for k in range(30))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(60, 16))
