@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="loomdoc-")
-        spark.sparkContext._jsc.sc().setCheckpointDir(set_dir)
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, and outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/loomdoc-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from loomdoc.sources.shared import shared_dir, written  # noqa: F401
 
 
 def ascii_lower(text: Column) -> Column:

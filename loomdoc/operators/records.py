@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdoc.sources.shared import shared_dir, written
+
 
 def last_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """For each key the row with the greatest ``order``: one aggregation with map-side combining, no sort."""
@@ -56,15 +59,26 @@ def path_order(rows: DataFrame, path: str, tag: str) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(by))
 
 
-def closure(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """All (src, dst) pairs that links lead to, each once with its least number of steps; cycles end by the bound on steps."""
-    edges.select("src", "dst").createOrReplaceTempView("__loomdoc_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE reach(src, dst, steps) MAX RECURSION LEVEL {depth + 2} AS (
-            SELECT src, dst, 1 FROM __loomdoc_edges
-            UNION ALL
-            SELECT r.src, e.dst, r.steps + 1 FROM reach r JOIN __loomdoc_edges e ON r.dst = e.src WHERE r.steps < {depth} AND r.src <> e.dst)
-        SELECT src, dst, min(steps) AS steps FROM reach GROUP BY src, dst""")
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """All (src, dst) pairs that links lead to, each once with its least number of steps; a node on a cycle is paired with itself. A null is no node to go on from or to.
+
+    Every round follows one more link from the pairs found last, leaves out those found before and writes the others to the shared folder, until none is new or,
+    where ``depth`` is given, after so many steps.
+    """
+    links = written(edges.select("src", "dst").distinct(), "links")
+    folder = f"{shared_dir(edges.sparkSession)}/loomdoc-closure-{uuid.uuid4().hex}"
+    kind, steps = None, 1
+    new = links.withColumn("steps", F.lit(1))
+    while True:
+        new.write.parquet(f"{folder}/{steps}")
+        kind = kind or new.schema
+        read = edges.sparkSession.read.schema(kind)
+        found, last = read.parquet(f"{folder}/*"), read.parquet(f"{folder}/{steps}")
+        if steps == depth or not last.take(1):
+            return found
+        steps += 1
+        ahead = last.select("src", F.col("dst").alias("via")).join(links.select(F.col("src").alias("via"), "dst"), "via").where("src IS NOT NULL AND dst IS NOT NULL")
+        new = ahead.select("src", "dst").distinct().join(found, ["src", "dst"], "left_anti").withColumn("steps", F.lit(steps))
 
 
 def severity_counts(rows: DataFrame, severity: Column) -> DataFrame:

@@ -44,6 +44,20 @@ def test_path_order(spark):
     assert [r["path"] for r in got.collect()] == ["/users", "/users-paginated", "/users/{id}", "/users/settings"]
 
 
+def test_closure_of_long_chains_and_cycles(spark):
+    chain = [(i, i + 1) for i in range(40)]
+    cycle = [(100 + i, 100 + (i + 1) % 5) for i in range(5)] + [(99, 100), (7000, 7000), (None, 1)]
+    got = {(r["src"], r["dst"]): r["steps"] for r in records.closure(spark.createDataFrame(chain + cycle + chain[:3], "src int, dst int")).collect()}
+    want = {(i, j): j - i for i in range(41) for j in range(i + 1, 41)}
+    want |= {(100 + i, 100 + j): (j - i) % 5 for i in range(5) for j in range(5) if i != j} | {(100 + i, 100 + i): 5 for i in range(5)} | {(99, 100 + i): i + 1 for i in range(5)} | {(7000, 7000): 1, (None, 1): 1}
+    assert got == want
+    assert records.closure(spark.createDataFrame([], "src int, dst int")).count() == 0
+
+
+def test_whole_closure_query(spark):
+    assert registry.queries()["ref_closure_whole"](spark, SF).count() == 417
+
+
 def test_schema():
     kind = {"type": "string", "nullable": True}
     assert schema.nullable_as_type_list({"properties": {"a": kind}})["properties"]["a"] == {"type": ["string", "null"]}
