@@ -22,10 +22,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose five-word shingles reach a Jaccard similarity of 0.8 the smallest id stays."""
-    found = ngram_jaccard.jaccard_components(docs, n=5, percent=80)
-    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of rows whose five-word shingles reach a Jaccard similarity of 0.8 one row of the smallest id stays; nulls come last."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = written(ngram_jaccard.jaccard_components(rows, n=5, percent=80, id_col="__row").select("__row", "component_id"), "row-components")
+    # a component of one row has that row's key; the others hold at least one row with another key
+    several = found.where("component_id <> __row").select("component_id").distinct()
+    members = found.join(several, "component_id", "left_semi").join(rows.select("__row", "doc_id"), "__row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("first"))
+    gone = written(members.join(first, "component_id").where("__row <> first").select("__row"), "copies")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,6 +211,15 @@ def test_pipeline(spark):
     assert out.count() > 0 and "ids" in out.columns
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    every = [(None, a), (None, a), (5, b), (5, b), (None, b), (7, b + " more"), (3, c), (3, "other words than those of the row before"), (None, None), (None, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(every)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, table, SF)
+    assert kept.columns == table.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([every[k] for k in (0, 2, 6, 7, 8, 9)], key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for table in ("documents", "pages", "embeddings", "labels"):
