@@ -7,10 +7,12 @@ least c of the short lists. Lists are ordered by the length of a shingle's text
 1. One pass gives each document its set's size and signature; equal sets are one class, and shingles that many classes share are found.
 2. A second pass writes the short lists' entries; merging is a count by shingle and a join, which AQE can split.
    Classes that stand in fewer than c shared lists drop out; a class that could link with one of fewer than FEW shingles needs only one.
-3. In each list every member meets a leader of that list. Pairs whose bucket profiles bound the overlap below T drop out; for the others the rest of
-   T is binary-probed in the partner's sorted set.
-4. In lists that still span several components, remaining pairs of different components meet unless their distances to the leader rule a link out
-   (Jaccard distance is a metric). No pair of different sets that could link is left out; pairs inside a component aren't listed.
+3. In each list that spans several components every member of another component meets a leader of that list, and what links is united. Pairs whose places in the list
+   or whose sketches (parities of hash buckets) bound the overlap below T drop out; for the others the rest of T is binary-probed in the partner's sorted set. This is repeated with
+   other leaders, over the lists that still span several components, until a round finds no link: a group of near copies becomes one component after a few rounds, each in proportion to
+   its members.
+4. In lists that still span several components, members outside the list's main component meet all members of other components, under the same bounds. No pair of different sets that
+   could link in different components is left out; pairs inside a component aren't listed.
 
 Shingles and set signatures are 64-bit hashes (equal sets: 128 bits).
 """
@@ -18,11 +20,13 @@ Shingles and set signatures are 64-bit hashes (equal sets: 128 bits).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.common import connected_components, written
@@ -34,11 +38,11 @@ LOCAL_SHARED, SHARED, MOST_SHARED, COUNTED_CODES = 2, 6, 1 << 20, 4_000_000
 #: Short lists that a set of at least FEW shingles must share with a partner of at least FEW; 1 if either is smaller.
 SHORT_HITS, FEW = 4, 8
 
-#: Orders from which lists take their leaders.
-LEADERS = 16
+#: Orders from which lists take their leaders in a round, and rounds at most before what is left meets directly.
+LEADERS, ROUNDS = 16, 4
 
-#: Bytes of text taken at once, bits of the filters that are broadcast (8 MB each), buckets of a set's profile.
-CHUNK_BYTES, FILTER_BITS, BUCKETS = 1_500_000, 1 << 26, 256
+#: Bytes of text taken at once, bits of the filters that are broadcast (8 MB each; a full one only lets more through to the joins), bits of a set's sketch, longs of a folded one.
+CHUNK_BYTES, FILTER_BITS, SKETCH_BITS, FOLDED = 1_500_000, 1 << 26, 2048, 8
 
 
 #: Fixed values of the polynomial word hash: a random number for each byte (A-Z as a-z) and an odd base.
@@ -132,15 +136,32 @@ def _signature(codes: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(digest, np.int64).tolist())
 
 
+def parities(codes: np.ndarray) -> np.ndarray:
+    """For each of SKETCH_BITS buckets whether it holds an odd number of codes, as longs. Two sets differ in at least as many codes as their sketches in bits."""
+    odd = np.bincount((codes >> np.uint64(20)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def apart(left: str, right: str) -> Column:
+    """A lower bound of the codes in which two sets differ, from their sketches."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def folded(sketch: str) -> list[Column]:
+    """A sketch of FOLDED longs with the same property: parities of whole runs of buckets. Its distance is compiled, so it goes before ``apart``."""
+    longs = SKETCH_BITS // 64
+    return [reduce(lambda x, y: x.bitwiseXOR(y), [F.get(sketch, F.lit(i)) for i in range(k, longs, FOLDED)]).alias(f"{sketch}{k}") for k in range(FOLDED)]
+
+
 def _first_pass(n: int):
-    kinds = [("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("more", pa.int64()), ("code", pa.int64()), ("sets", pa.int64()), ("profile", pa.binary())]
+    kinds = [("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("more", pa.int64()), ("code", pa.int64()), ("sets", pa.int64()), ("sketch", pa.list_(pa.int64()))]
 
     def often(different: dict) -> pa.RecordBatch:
         codes, counts = np.unique(np.concatenate(list(different.values())), return_counts=True)
         many = counts >= LOCAL_SHARED
         codes, counts = codes[many].view(np.int64), counts[many]
         none = [None] * len(codes)
-        return pa.RecordBatch.from_arrays([*[pa.array(none, k) for _, k in kinds[:4]], pa.array(codes), pa.array(counts.astype(np.int64)), pa.array(none, pa.binary())], [k for k, _ in kinds])
+        return pa.RecordBatch.from_arrays([*[pa.array(none, k) for _, k in kinds[:4]], pa.array(codes), pa.array(counts.astype(np.int64)), pa.array(none, kinds[-1][1])], [k for k, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         different, held = {}, 0
@@ -150,11 +171,9 @@ def _first_pass(n: int):
                 if sign not in different:
                     different[sign] = codes
                     held += len(codes)
-            # a set with more in a bucket than a byte holds has no profile
-            profiles = [np.bincount((s >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS) for _, s in chunk]
+            sketches = [parities(s) for _, s in chunk]
             columns = [
-                [k for k, _ in chunk], [len(s) for _, s in chunk], [a for a, _ in signs], [b for _, b in signs], [None] * len(chunk), [None] * len(chunk),
-                [p.astype(np.uint8).tobytes() if p.max() < 256 else None for p in profiles],
+                [k for k, _ in chunk], [len(s) for _, s in chunk], [a for a, _ in signs], [b for _, b in signs], [None] * len(chunk), [None] * len(chunk), sketches,
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
             if held >= COUNTED_CODES:
@@ -247,31 +266,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(sizes, pa.int64())], ["a", "b", "shared", "whole"])
 
 
-def _may_link(percent: int):
-    """Pairs whose profiles leave room for enough overlap: shared codes are at most the sum of the buckets' smaller counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                if not x.is_valid or not y.is_valid:
-                    keep.append(True)
-                    continue
-                a, b = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
-                most = int(np.minimum(a, b).sum())
-                keep.append(100 * most >= percent * (int(a.sum()) + int(b.sum()) - most))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _filter_bits(values: DataFrame, name: str) -> bytes:
-    """A bitmap of a fixed size over a column's low bits."""
+    """A bitmap of a fixed size over a column's low bits, built in blocks of 4 KB on the executors."""
     at = F.pmod(name, F.lit(FILTER_BITS))
-    words = values.groupBy(F.shiftright(at, 3).alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.pmod(name, F.lit(8))).cast("int")).alias("bits")).toArrow()
-    held = np.zeros(FILTER_BITS // 8, np.uint8)
-    held[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return held.tobytes()
+    blocks = values.groupBy(F.bitmap_bucket_number(at + 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("bits"))
+    held = bytearray(FILTER_BITS // 8)
+    for row in blocks.toLocalIterator():
+        start = (row["block"] - 1) * 4096
+        held[start : start + len(row["bits"])] = row["bits"]
+    return bytes(held)
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,7 +285,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    first = written(texts.mapInArrow(_first_pass(n), "doc long, n long, sid long, more long, code long, sets long, profile binary"), "first")
+    first = written(texts.mapInArrow(_first_pass(n), "doc long, n long, sid long, more long, code long, sets long, sketch array<long>"), "first")
     rows = first.where("code IS NULL").select("doc", "n", "sid", "more")
     often = first.where("code IS NOT NULL").groupBy("code").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= SHARED)
     often = written(often, "shared")
@@ -295,67 +298,74 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     codes = often.where(F.floor(F.log2("sets") * 4) >= least).select("code").toArrow().column(0).to_numpy()
     shared = spark.sparkContext.broadcast(np.sort(codes.view(np.uint64)))
 
-    # merge the short lists: a key is shared if two sets hold it; its leader is one of them, the first by one of a few orders drawn by the key
-    order = F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(LEADERS)))
-    drawn = F.col("sid").bitwiseXOR(order)
-    leader = F.col("x").bitwiseXOR(order).alias("leader")
+    # merge the short lists: a key is shared if two sets hold it
     kind = "key long, sid long, n int, pos int"
     lists = texts.mapInArrow(_short_lists(n, percent, shared), kind).groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("key")
     lists = written(lists, "keys")
     wanted = spark.sparkContext.broadcast(_filter_bits(lists, "key"))
     entries = texts.mapInArrow(_short_lists(n, percent, shared, wanted), kind)
     members = written(entries.join(lists, "key").groupBy("key", "sid").agg(F.max("n").alias("n"), F.min("pos").alias("pos")), "members")
-    enough = members.groupBy("sid").agg(F.count("*").alias("hits"), F.max("n").alias("n")).where((F.col("hits") >= SHORT_HITS) | ~hits_needed(F.col("n"), percent)).select("sid", "n")
+    enough = members.groupBy("sid").agg(F.count("*").alias("hits"), F.max("n").alias("n")).where((F.col("hits") >= SHORT_HITS) | ~hits_needed(F.col("n"), percent)).select("sid")
     enough = written(enough, "enough")
-    members = members.join(enough.select("sid"), "sid", "left_semi")
-    led = members.groupBy("key").agg(F.min(drawn).alias("x"), F.max(drawn).alias("y")).where("x <> y").select("key", leader)
-    members = written(members.select("key", "sid", "n", "pos").join(led, "key"), "lists")
-
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    star = members.where("sid <> leader").join(enough.select(F.col("sid").alias("leader"), F.col("n").alias("m")), "leader").where(fits)
-    profiles = written(first.where("code IS NULL").join(enough.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.max("profile").alias("profile")), "profiles")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs ``a``, ``b`` with ``shared`` and ``whole``, where their profiles don't rule a link out already."""
-        both = pairs.join(profiles.withColumnsRenamed({"sid": "a", "profile": "pa"}), "a").join(profiles.withColumnsRenamed({"sid": "b", "profile": "pb"}), "b")
-        left = written(both.select("a", "b", "pa", "pb").mapInArrow(_may_link(percent), "a long, b long"), "maybe")
-        sids = left.select(F.col("a").alias("sid")).union(left.select("b"))
-        bits = spark.sparkContext.broadcast(_filter_bits(sids, "sid"))
-        # equal sets come from several tasks: their bytes are equal too
-        sets = written(texts.mapInArrow(_wanted_sets(n, bits), "sid long, codes binary").dropDuplicates(["sid"]), "sets")
-        with_left = left.join(sets.withColumnsRenamed({"sid": "a", "codes": "left"}), "a")
-        both = with_left.join(sets.withColumnsRenamed({"sid": "b", "codes": "right"}), "b")
-        checked = both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, shared long, whole long")
-        return checked.withColumn("linked", 100 * F.col("shared") >= percent * F.col("whole"))
-
-    pairs = written(star.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct(), "pairs")
-    near = written(verified(pairs), "near")
-    links = near.where("linked").select("a", "b")
-    found = written(connected_components(links), "components")
-
-    # lists that span several components: pairs that the leader's distances don't rule out
-    far = 1 - percent / 100
-    placed = members.join(found.withColumnsRenamed({"node": "sid", "component": "c"}), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
-    spread = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x <> y AND k > 2").select("key")
-    open_lists = placed.join(spread, "key", "left_semi").withColumns({"a": F.least("sid", "leader"), "b": F.greatest("sid", "leader")})
-    known = near.select("a", "b", (1 - F.col("shared") / F.col("whole")).alias("d"))
-    apart = open_lists.join(known, ["a", "b"], "left").where("sid <> leader")
-    # unknown: sizes or profiles keep it from the leader, which tells no distance; such members meet all bands
-    bands = written(apart.select("key", "sid", "n", "pos", "c", "d", F.floor(F.col("d") / far).cast("int").alias("band")), "bands")
-    top = int(1 / far) + 1
-    meets = F.when(F.col("band").isNull(), F.sequence(F.lit(0), F.lit(top))).otherwise(F.sequence(F.col("band") - 1, F.col("band") + 1))
-    left = bands.withColumn("at", F.explode(meets)).select("key", "at", F.col("sid").alias("a"), "n", F.col("pos").alias("pa"), F.col("c").alias("ca"), F.col("d").alias("da"))
-    right = bands.withColumn("at", F.explode(F.when(F.col("band").isNull(), F.sequence(F.lit(0), F.lit(top))).otherwise(F.array("band"))))
-    right = right.select("key", "at", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pb"), F.col("c").alias("cb"), F.col("d").alias("db"))
-    mixed = right.groupBy("key").agg(F.min("cb").alias("x"), F.max("cb").alias("y")).where("x <> y").select("key")
+    lists = members.join(enough, "sid", "left_semi")
+
+    # equal sets have equal sketches
+    sketches = written(first.where("code IS NULL").join(enough, "sid", "left_semi").select("sid", "n", "sketch").dropDuplicates(["sid"]), "sketches")
+    bits = spark.sparkContext.broadcast(_filter_bits(enough, "sid"))
+    # equal sets come from several tasks: their bytes are equal too
+    sets = written(texts.mapInArrow(_wanted_sets(n, bits), "sid long, codes binary").dropDuplicates(["sid"]), "sets")
+
+    def with_both(pairs: DataFrame, table: DataFrame, a: str, b: str, column: str) -> DataFrame:
+        left = pairs.join(table.withColumnsRenamed({"sid": a, column: "left"}), a)
+        return left.join(table.withColumnsRenamed({"sid": b, column: "right"}), b).select(a, b, "left", "right")
+
+    near_enough = (100 + percent) * apart("left", "right") <= (100 - percent) * (F.col("n") + F.col("ln"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs ``a``, ``b`` that link."""
+        both = pairs.join(sketches.select(F.col("sid").alias("a"), "n", F.col("sketch").alias("left")), "a").join(sketches.select(F.col("sid").alias("b"), F.col("n").alias("ln"), F.col("sketch").alias("right")), "b")
+        left = written(both.where(near_enough).select("a", "b"), "maybe")
+        checked = with_both(left, sets, "a", "b", "codes").mapInArrow(_verify, "a long, b long, shared long, whole long")
+        return written(checked.where(100 * F.col("shared") >= percent * F.col("whole")).select("a", "b"), "linked")
+
+    fits = 100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")
     # from the first key that two sets share on, enough of both must be left
-    room = (100 + percent) * F.least(F.col("n") - F.col("pa"), F.col("m") - F.col("pb")) >= percent * (F.col("n") + F.col("m"))
-    maybe = room & (F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= far + 1e-9)) & fits
-    more = left.join(mixed, "key", "left_semi").join(right, ["key", "at"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & maybe)
-    more = written(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.take(1):
-        links = links.union(verified(more).where("linked").select("a", "b"))
+    room = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos")) >= percent * (F.col("n") + F.col("ln"))
+    found, links, seen = spark.createDataFrame([], "node long, component long"), None, None
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(found.withColumnsRenamed({"node": "sid", "component": "c"}), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
+
+    def meet(pairs: DataFrame) -> bool:
+        """Verify pairs that haven't met and unite those that link; whether any did."""
+        nonlocal found, links, seen
+        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = pairs if seen is None else seen.union(pairs)
+        new = linked(pairs) if pairs.take(1) else pairs
+        if not new.take(1):
+            return False
+        links = new if links is None else links.union(new)
         found = written(connected_components(links), "components")
+        return True
+
+    for turn in range(ROUNDS):
+        # an open list spans several components; its leader is the first member by one of a few orders drawn by the key
+        drawn = F.col("sid").bitwiseXOR(F.xxhash64(F.lit(turn), F.pmod(F.xxhash64("key"), F.lit(LEADERS))))
+        lists = placed(lists.drop("c"))
+        leads = lists.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min(F.struct(drawn.alias("by"), "sid", "n", "pos", "c")).alias("l")).where("least <> most")
+        # the leader meets all others here, so the list goes on without it
+        lists = written(lists.join(leads.select("key", "l"), "key").where("sid <> l.sid"), "open")
+        led = lists.select("sid", "n", "pos", "c", F.col("l.sid").alias("leader"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"), F.col("l.c").alias("lc"))
+        lists = lists.drop("l")
+        if not meet(led.where(fits & room & (F.col("c") != F.col("lc"))).select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()):
+            break
+    main = lists.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
+    rest = written(lists.join(main, "key").join(sketches.select("sid", F.col("sketch").alias("left"), *folded("sketch")), "sid"), "rest")
+    other = rest.select("key", F.col("sid").alias("leader"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("c").alias("lc"), F.col("left").alias("right"), *[F.col(f"sketch{k}").alias(f"other{k}") for k in range(FOLDED)])
+    far = reduce(add, [F.bit_count(F.col(f"sketch{k}").bitwiseXOR(F.col(f"other{k}"))) for k in range(FOLDED)])
+    once = ((F.col("lc") == F.col("main")) | (F.col("sid") < F.col("leader"))) & (F.col("c") != F.col("lc"))
+    close = fits & room & ((100 + percent) * far <= (100 - percent) * (F.col("n") + F.col("ln"))) & near_enough
+    meet(rest.where("c <> main").join(other, "key").where(once & close).select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct())
 
     classes = rows.where("n > 0").groupBy("sid", "more").agg(F.min("doc").alias("least"))
     classes = classes.join(found.withColumnsRenamed({"node": "sid", "component": "c"}), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
