@@ -7,12 +7,11 @@ least c of the short lists. Lists are ordered by the length of a shingle's text
 1. One pass gives each document its set's size and signature; equal sets are one class, and shingles that many classes share are found.
 2. A second pass writes the short lists' entries; merging is a count by shingle and a join, which AQE can split.
    Classes that stand in fewer than c shared lists drop out; a class that could link with one of fewer than FEW shingles needs only one.
-3. In each list that spans several components every member of another component meets a leader of that list, and what links is united. Pairs whose places in the list
-   or whose sketches (parities of hash buckets) bound the overlap below T drop out; for the others the rest of T is binary-probed in the partner's sorted set. This is repeated with
-   other leaders, over the lists that still span several components, until a round finds no link: a group of near copies becomes one component after a few rounds, each in proportion to
-   its members.
-4. In lists that still span several components, members outside the list's main component meet all members of other components, under the same bounds. No pair of different sets that
-   could link in different components is left out; pairs inside a component aren't listed.
+3. In each list every member meets a leader of that list, and what links is united. Then, in lists that span several components, members outside a list's main component meet a few drawn
+   members of other components, and what links is united again, so that most of a group of near copies is one component by pairs in proportion to its members. Pairs whose places
+   in the list or whose sketches (parities of hash buckets) bound the overlap below T drop out; for the others the rest of T is binary-probed in the partner's sorted set.
+4. In lists that still span several components, members outside the main one meet all members of other components, under the same bounds. No pair of different sets that could link in
+   different components is left out; pairs inside a component aren't listed. Bounds of a list's members that never link are still checked against all others of the list.
 
 Shingles and set signatures are 64-bit hashes (equal sets: 128 bits).
 """
@@ -38,8 +37,8 @@ LOCAL_SHARED, SHARED, MOST_SHARED, COUNTED_CODES = 2, 6, 1 << 20, 4_000_000
 #: Short lists that a set of at least FEW shingles must share with a partner of at least FEW; 1 if either is smaller.
 SHORT_HITS, FEW = 4, 8
 
-#: Orders from which lists take their leaders in a round, and rounds at most before what is left meets directly.
-LEADERS, ROUNDS = 16, 4
+#: Orders from which lists take their leaders, members of a list that are drawn next (about).
+LEADERS, DRAWN = 16, 48
 
 #: Bytes of text taken at once, bits of the filters that are broadcast (8 MB each; a full one only lets more through to the joins), bits of a set's sketch, longs of a folded one.
 CHUNK_BYTES, FILTER_BITS, SKETCH_BITS, FOLDED = 1_500_000, 1 << 26, 2048, 8
@@ -324,48 +323,47 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs ``a``, ``b`` that link."""
         both = pairs.join(sketches.select(F.col("sid").alias("a"), "n", F.col("sketch").alias("left")), "a").join(sketches.select(F.col("sid").alias("b"), F.col("n").alias("ln"), F.col("sketch").alias("right")), "b")
-        left = written(both.where(near_enough).select("a", "b"), "maybe")
-        checked = with_both(left, sets, "a", "b", "codes").mapInArrow(_verify, "a long, b long, shared long, whole long")
+        checked = with_both(both.where(near_enough).select("a", "b"), sets, "a", "b", "codes").mapInArrow(_verify, "a long, b long, shared long, whole long")
         return written(checked.where(100 * F.col("shared") >= percent * F.col("whole")).select("a", "b"), "linked")
 
     fits = 100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")
     # from the first key that two sets share on, enough of both must be left
     room = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos")) >= percent * (F.col("n") + F.col("ln"))
-    found, links, seen = spark.createDataFrame([], "node long, component long"), None, None
+    found, links = spark.createDataFrame([], "node long, component long"), None
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(found.withColumnsRenamed({"node": "sid", "component": "c"}), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
 
-    def meet(pairs: DataFrame) -> bool:
-        """Verify pairs that haven't met and unite those that link; whether any did."""
-        nonlocal found, links, seen
-        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
-        new = linked(pairs) if pairs.take(1) else pairs
-        if not new.take(1):
-            return False
+    def meet(pairs: DataFrame) -> None:
+        """Verify pairs and unite those that link."""
+        nonlocal found, links
+        new = linked(pairs)
         links = new if links is None else links.union(new)
-        found = written(connected_components(links), "components")
-        return True
-
-    for turn in range(ROUNDS):
-        # an open list spans several components; its leader is the first member by one of a few orders drawn by the key
-        drawn = F.col("sid").bitwiseXOR(F.xxhash64(F.lit(turn), F.pmod(F.xxhash64("key"), F.lit(LEADERS))))
-        lists = placed(lists.drop("c"))
-        leads = lists.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min(F.struct(drawn.alias("by"), "sid", "n", "pos", "c")).alias("l")).where("least <> most")
-        # the leader meets all others here, so the list goes on without it
-        lists = written(lists.join(leads.select("key", "l"), "key").where("sid <> l.sid"), "open")
-        led = lists.select("sid", "n", "pos", "c", F.col("l.sid").alias("leader"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"), F.col("l.c").alias("lc"))
-        lists = lists.drop("l")
-        if not meet(led.where(fits & room & (F.col("c") != F.col("lc"))).select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()):
-            break
-    main = lists.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
-    rest = written(lists.join(main, "key").join(sketches.select("sid", F.col("sketch").alias("left"), *folded("sketch")), "sid"), "rest")
-    other = rest.select("key", F.col("sid").alias("leader"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("c").alias("lc"), F.col("left").alias("right"), *[F.col(f"sketch{k}").alias(f"other{k}") for k in range(FOLDED)])
-    far = reduce(add, [F.bit_count(F.col(f"sketch{k}").bitwiseXOR(F.col(f"other{k}"))) for k in range(FOLDED)])
-    once = ((F.col("lc") == F.col("main")) | (F.col("sid") < F.col("leader"))) & (F.col("c") != F.col("lc"))
-    close = fits & room & ((100 + percent) * far <= (100 - percent) * (F.col("n") + F.col("ln"))) & near_enough
-    meet(rest.where("c <> main").join(other, "key").where(once & close).select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct())
+        if new.take(1):
+            found = written(connected_components(links), "components")
+
+    def placed_lists(rows: DataFrame) -> DataFrame:
+        return placed(rows.select("key", "sid", "n", "pos"))
+
+    # the leader of a list is its first member by one of a few orders drawn by the key; it meets all others here, so open lists go on without it
+    drawn = F.col("sid").bitwiseXOR(F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(LEADERS))))
+    leads = lists.groupBy("key").agg(F.min("sid").alias("least"), F.max("sid").alias("most"), F.min(F.struct(drawn.alias("by"), "sid", "n", "pos")).alias("l")).where("least <> most").select("key", "l")
+    lists = written(lists.join(leads, "key").where("sid <> l.sid"), "lists")
+    led = lists.select("sid", "n", "pos", F.col("l.sid").alias("leader"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
+    meet(led.where(fits & room).select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct())
+    for most in (DRAWN, None):
+        counts = placed_lists(lists).groupBy("key", "c").count()
+        main = counts.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("several"), F.sum("count").alias("size")).where("several > 1").select("key", "main", "size")
+        rest = placed_lists(lists).join(main, "key").join(sketches.select("sid", F.col("sketch").alias("left"), *folded("sketch")), "sid")
+        lists = written(rest, "open")
+        other = lists.select("key", F.col("sid").alias("leader"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("c").alias("lc"), F.col("left").alias("right"), "size", *[F.col(f"sketch{k}").alias(f"other{k}") for k in range(FOLDED)])
+        far = reduce(add, [F.bit_count(F.col(f"sketch{k}").bitwiseXOR(F.col(f"other{k}"))) for k in range(FOLDED)])
+        close = (F.col("c") != F.col("lc")) & fits & room & ((100 + percent) * far <= (100 - percent) * (F.col("n") + F.col("ln"))) & near_enough
+        if most:
+            other = other.where(F.pmod(F.xxhash64("leader"), F.lit(1 << 20)) * F.col("size") < most * (1 << 20))
+        else:
+            close = ((F.col("lc") == F.col("main")) | (F.col("sid") < F.col("leader"))) & close
+        meet(lists.where("c <> main").drop("size").join(other.drop("size"), "key").where(close).select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct())
 
     classes = rows.where("n > 0").groupBy("sid", "more").agg(F.min("doc").alias("least"))
     classes = classes.join(found.withColumnsRenamed({"node": "sid", "component": "c"}), "sid", "left").withColumn("c", F.coalesce("c", "sid"))

@@ -66,7 +66,7 @@ def test_a_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
     made = {}
     for k in (150, 600):
         counts = []
-        monkeypatch.setattr(ngram_jaccard, "written", lambda df, tag, counts=counts: counted(WRITTEN(df, tag), tag, counts))
+        monkeypatch.setattr(ngram_jaccard.DataFrame, "mapInArrow", lambda df, f, schema, counts=counts: counted(df, f, schema, counts))
         texts = near_copies(k, 4)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs(spark, texts)).collect()}
         assert got == brute_components(texts, 4, 85)
@@ -74,10 +74,10 @@ def test_a_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
     assert made[600] <= 8 * made[150]
 
 
-WRITTEN = ngram_jaccard.written
+MAP = ngram_jaccard.DataFrame.mapInArrow
 
 
-def counted(df, tag, counts):
-    if tag == "pairs":
+def counted(df, f, schema, counts):
+    if f is ngram_jaccard._verify:
         counts.append(df.count())
-    return df
+    return MAP(df, f, schema)
