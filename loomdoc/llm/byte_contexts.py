@@ -1,4 +1,4 @@
-"""What the byte-context models share: symbol classes, counts of 4-grams in tasks, dense scoring of whole texts."""
+"""What the byte-context models share: symbol classes, counts of 4-grams in tasks, places of whole texts, tables of contexts."""
 
 from __future__ import annotations
 
@@ -11,128 +11,121 @@ import pyarrow as pa
 #: Symbols looked at together: a context of three and the next.
 ORDER = 4
 
-#: Numbers in a model's table at most (float32: 32 MB before compression), so that its broadcast has a fixed bound.
-TABLE_CELLS = 8_000_000
-
-#: Bytes of text scored at once.
+#: Bytes of text taken at once.
 CHUNK_BYTES = 1_000_000
 
-
-def gram_counts(classes: np.ndarray, size: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (base ``size``, oldest symbol first) and counts of the 4-grams of a text that begins after three spaces."""
-    symbols = classes[np.frombuffer(b"   " + raw, np.uint8)].astype(np.int64)
-    codes = ((symbols[:-3] * size + symbols[1:-2]) * size + symbols[2:-1]) * size + symbols[3:]
-    return np.unique(codes, return_counts=True)
-
-
-def count_grams(classes: np.ndarray, size: int, prepare: Callable[[str], bytes]) -> Callable:
-    """A mapInArrow function from (lang, text) to (lang, gram, n), combined for each batch and language."""
+#: Indexes of languages that a worker keeps at a time (4 bytes for each code of three symbols); others are built again.
+INDEXES = 4
+
+Texts = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a string column and the texts' offsets in them; null is empty."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    whole = column.fill_null("").cast(pa.large_binary())
+    spots = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = whole.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[spots[0] : spots[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return data, spots - spots[0]
+
+
+def places(classes: np.ndarray, size: int, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks (first text, end, code of the three symbols before, symbol, places of each text): every byte of every text is a place. Texts begin after three spaces; a long text comes in several chunks."""
+    at, count = 0, len(offsets) - 1
+    while at < count:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        lo, hi = int(offsets[at]), int(offsets[end])
+        if hi - lo > 2 * CHUNK_BYTES:
+            for start in range(lo, hi, CHUNK_BYTES):
+                before = data[max(lo, start - 3) : start]
+                bytes_ = np.r_[np.full(3 - len(before), 32, np.uint8), before, data[start : min(hi, start + CHUNK_BYTES)]]
+                symbols = classes[bytes_].astype(np.int32)
+                yield at, end, (symbols[:-3] * size + symbols[1:-2]) * size + symbols[2:-1], symbols[3:], np.array([len(symbols) - 3])
+        elif hi > lo:
+            sizes = np.diff(offsets[at : end + 1])
+            inside = np.ones(hi - lo + 3 * len(sizes), bool)
+            starts = np.cumsum(sizes + 3) - (sizes + 3)
+            for k in range(3):
+                inside[starts + k] = False
+            padded = np.full(len(inside), 32, np.uint8)
+            padded[inside] = data[lo:hi]
+            symbols = classes[padded].astype(np.int32)
+            keep = inside[3:]
+            yield at, end, ((symbols[:-3] * size + symbols[1:-2]) * size + symbols[2:-1])[keep], symbols[3:][keep], sizes
+        at = end
+
+
+def text_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text, in double precision."""
+    out = np.zeros(len(sizes))
+    full = sizes > 0
+    if len(values):
+        out[full] = np.add.reduceat(values.astype(np.float64), (np.cumsum(sizes) - sizes)[full])
+    return out
+
+
+def count_grams(classes: np.ndarray, size: int, texts: Texts) -> Callable:
+    """A mapInArrow function from (lang, text) to (lang, gram, n), combined for each batch. Grams never reach over two texts, so counts don't depend on the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    held.setdefault(lang, []).append(prepare(text))
-            for lang, parts in held.items():
-                totals: dict[int, int] = {}
-                at = 0
-                while at < len(parts):
-                    end, n = at, 0
-                    while end < len(parts) and (end == at or n + len(parts[end]) <= 4 * CHUNK_BYTES):
-                        n += len(parts[end])
-                        end += 1
-                    codes, counts = gram_counts(classes, size, b"   ".join(parts[at:end]))
-                    for c, k in zip(codes.tolist(), counts.tolist(), strict=True):
-                        totals[c] = totals.get(c, 0) + k
-                    at = end
-                if totals:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(totals), pa.string()), pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["lang", "gram", "n"]
-                    )
+            named = batch.column(0).dictionary_encode()
+            names, own = named.dictionary.to_pylist(), named.indices.to_numpy(zero_copy_only=False)
+            data, offsets = texts(batch.column(1))
+            held_codes, held_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for at, end, context, symbol, sizes in places(classes, size, data, offsets):
+                codes, counts = np.unique((np.repeat(own[at:end].astype(np.int64), sizes) * size**3 + context) * size + symbol, return_counts=True)
+                held_codes, back = np.unique(np.r_[held_codes, codes], return_inverse=True)
+                held_counts = np.bincount(back, np.r_[held_counts, counts], len(held_codes)).astype(np.int64)
+            if len(held_codes):
+                lang = pa.DictionaryArray.from_arrays(pa.array(held_codes // size**ORDER, pa.int32()), pa.array(names, pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([lang, pa.array(held_codes % size**ORDER), pa.array(held_counts)], ["lang", "gram", "n"])
 
     return run
 
 
-class Frozen:
-    """Code lengths in bits of every symbol in every kept context, by model: the longest kept suffix of three symbols is the context.
+class Tables:
+    """For each model, code lengths in bits of every symbol in its contexts: rows of one symbol, then of the listed contexts of two and of three, both sorted. Broadcast compressed."""
 
-    ``two`` and ``three`` are the kept contexts of two and three symbols, sorted; ``table`` (contexts x symbols x models) has rows for all single symbols, then for these. ``rows``
-    maps the code of any three symbols to its row; tasks build it for themselves.
-    """
-
-    def __init__(self, classes: np.ndarray, size: int, two: np.ndarray, three: np.ndarray, table: np.ndarray):
-        self.classes, self.size, self.two, self.three, self.table = classes, size, two, three, table
-        self._shared = None
-        self._index()
-
-    def _index(self) -> None:
-        rows = np.tile(np.arange(self.size, dtype=np.int32), self.size**2)
-        rows.reshape(self.size, self.size**2)[:, self.two] = self.size + np.arange(len(self.two))
-        rows[self.three] = self.size + len(self.two) + np.arange(len(self.three))
-        self.rows = rows
+    def __init__(self, classes: np.ndarray, size: int, models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.classes, self.size, self.names = classes, size, list(models)
+        self._packed = [(two, three, table.dtype, table.shape, zlib.compress(np.ascontiguousarray(table).tobytes(), 1)) for two, three, table in models.values()]
+        self._shared, self._held = None, {}
 
     def __getstate__(self) -> tuple:
-        return self.classes, self.size, self.two, self.three, self.table.shape, zlib.compress(np.ascontiguousarray(self.table).tobytes(), 1)
+        return self.classes, self.size, self.names, self._packed
 
     def __setstate__(self, state: tuple) -> None:
-        self.classes, self.size, self.two, self.three, shape, packed = state
-        self.table = np.frombuffer(zlib.decompress(packed), np.float32).reshape(shape)
-        self._shared = None
-        self._index()
+        self.classes, self.size, self.names, self._packed = state
+        self._shared, self._held = None, {}
 
     def shared(self, spark):
-        """One broadcast of the model, however often it scores."""
+        """One broadcast of the tables, however often they score."""
         if self._shared is None:
             self._shared = spark.sparkContext.broadcast(self)
         return self._shared
 
-    def bits(self, texts: list[bytes], model: np.ndarray | None = None) -> np.ndarray:
-        """Total bits of each prepared text: under every model, or under the given one of each text."""
-        out = np.zeros((len(texts), self.table.shape[2]) if model is None else len(texts))
-        at = 0
-        flat = self.table.reshape(-1, self.table.shape[2])
-        while at < len(texts):
-            end, n = at, 0
-            while end < len(texts) and (end == at or n + len(texts[end]) <= CHUNK_BYTES):
-                n += len(texts[end]) + 3
-                end += 1
-            part = texts[at:end]
-            sizes = np.array([len(t) for t in part])
-            joined = b"".join(b"   " + t for t in part)
-            for lo, hi, first in _spans(sizes):
-                symbols = self.classes[np.frombuffer(joined[lo:hi], np.uint8)].astype(np.int32)
-                context = (symbols[:-3] * self.size + symbols[1:-2]) * self.size + symbols[2:-1]
-                cell = self.rows[context].astype(np.int64) * self.size + symbols[3:]
-                if first is None:  # whole texts: leave out the positions that lie on their leading spaces
-                    keep = np.ones(len(cell) + 3, bool)
-                    starts = np.cumsum(sizes + 3) - (sizes + 3)
-                    for k in range(3):
-                        keep[starts + k] = False
-                    cell = cell[keep[3:]]
-                    owner_sizes = sizes
-                    base = at
-                else:
-                    owner_sizes, base = np.array([len(cell)]), at
-                full = owner_sizes > 0
-                if not len(cell):
-                    continue
-                begin = (np.cumsum(owner_sizes) - owner_sizes)[full]
-                if model is None:
-                    sums = np.add.reduceat(flat[cell].astype(np.float64), begin, axis=0)
-                else:
-                    which = np.repeat(model[base : base + len(owner_sizes)], owner_sizes)
-                    sums = np.add.reduceat(flat[cell, which].astype(np.float64), begin)
-                out[base + np.flatnonzero(full)] += sums
-            at = end
+    def model(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The row of every code of three symbols, and the table. A code that isn't listed has -1 less the row of its longest listed suffix."""
+        if k not in self._held:
+            if len(self._held) >= INDEXES:
+                self._held.pop(next(iter(self._held)))
+            two, three, kind, shape, packed = self._packed[k]
+            rows = np.tile(-1 - np.arange(self.size, dtype=np.int32), self.size**2)
+            rows.reshape(self.size, self.size**2)[:, two] = -1 - (self.size + np.arange(len(two), dtype=np.int32))
+            rows[three] = self.size + len(two) + np.arange(len(three), dtype=np.int32)
+            self._held[k] = rows, np.frombuffer(zlib.decompress(packed), kind).reshape(shape)
+        return self._held[k]
+
+    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Total bits of each text under every model, backing off to suffixes."""
+        out = np.zeros((len(offsets) - 1, len(self.names)))
+        for at, end, context, symbol, sizes in places(self.classes, self.size, data, offsets):
+            for k in range(len(self.names)):
+                rows, table = self.model(k)
+                row = rows[context]
+                row = np.where(row < 0, -1 - row, row)
+                out[at:end, k] += text_sums(table.ravel()[row.astype(np.int64) * self.size + symbol], sizes)
         return out
-
-
-def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int, int | None]]:
-    """The whole chunk, or overlapping windows of its only text where that is long."""
-    whole = int((sizes + 3).sum())
-    if len(sizes) > 1 or whole <= 2 * CHUNK_BYTES:
-        yield 0, whole, None
-        return
-    for lo in range(0, whole - 3, CHUNK_BYTES):
-        yield lo, min(whole, lo + CHUNK_BYTES + 3), 0

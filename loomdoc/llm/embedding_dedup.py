@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 
 from loomdoc.llm.common import connected_components, written
 
-#: Trees, vectors in a leaf (about), vectors the forest is fitted on and depth at most, vectors in a block.
-TREES, LEAF, SAMPLE, MOST_DEPTH, BLOCK = 5, 400, 20_000, 14, 1500
+#: Trees, vectors in a leaf (about), vectors the forest is fitted on (about), sampled vectors that a node needs for a median of its own, vectors in a block.
+TREES, LEAF, SAMPLE, OWN, BLOCK = 5, 400, 20_000, 64, 1500
 
 #: Spill to either side of a median, times the square root of the dimensions, for the chord 0.2 of cosine 0.98: a pair at the threshold differs by more than twice this in 1 of 60 directions.
 SPILL = 0.24
 
 
 class Forest:
-    """Directions (trees x levels x dimensions) and medians (trees x nodes, numbered as in a heap)."""
+    """Directions (trees x levels x dimensions) and medians (trees x nodes, numbered as in a heap). Levels deeper than the sample can place medians for split at the sample's median."""
 
     def __init__(self, sample: np.ndarray, depth: int, threshold: float, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -33,10 +33,12 @@ class Forest:
         self.spill = SPILL / np.sqrt(dims) * np.sqrt(max(1e-6, 2 - 2 * threshold)) / 0.2
         self.directions = rng.normal(size=(TREES, depth, dims))
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
-        self.medians = np.zeros((TREES, 1 << depth))
+        self.own = min(depth, max(0, int(np.log2(max(1, len(sample) / OWN)))))
+        self.medians = np.zeros((TREES, 1 << self.own))
+        self.level = np.median(np.einsum("nd,tld->tln", sample, self.directions), axis=2) if depth else np.zeros((TREES, 0))
         for t in range(TREES):
             node = np.ones(len(sample), np.int64)
-            for level in range(depth):
+            for level in range(self.own):
                 along = sample @ self.directions[t, level]
                 order = np.lexsort((along, node))
                 nodes, starts, counts = np.unique(node[order], return_index=True, return_counts=True)
@@ -49,11 +51,12 @@ class Forest:
         for t in range(TREES):
             row, node = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
             for level in range(self.depth):
-                along = (vectors @ self.directions[t, level])[row] - self.medians[t, node]
+                middle = self.medians[t, node] if level < self.own else self.level[t, level]
+                along = (vectors @ self.directions[t, level])[row] - middle
                 left, right = along < self.spill, along >= -self.spill
                 row, node = np.r_[row[left], row[right]], np.r_[node[left] * 2, node[right] * 2 + 1]
             rows.append(row)
-            codes.append(node + (t << (MOST_DEPTH + 1)))
+            codes.append(node + (t << (self.depth + 1)))
         return np.concatenate(rows), np.concatenate(codes)
 
 
@@ -63,7 +66,8 @@ def _unpack(column: pa.Array) -> np.ndarray:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [np.asarray(v, np.float64).tobytes() for v in batch.column(2).to_pylist()]
+        # scaled by the largest component, so that squares neither vanish nor overflow
+        packed = [(x / np.abs(x).max()).tobytes() for x in (np.asarray(v, np.float64) for v in batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary()), *batch.columns[3:]], ["node", "grp", "vec", "copies", "dims"])
 
 
@@ -79,7 +83,7 @@ def _place(shared):
                 by = np.lexsort((codes, rows))
                 rows, codes = rows[by], codes[by]
                 ends = np.searchsorted(rows, np.arange(len(vectors) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], ["node", "grp", "vec", "copies", "dims", "leaves"])
 
     return run
@@ -135,9 +139,9 @@ def near_vectors(table: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     """
     spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
-    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    largest = F.array_max(F.transform("v", F.abs))
     sound = F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.withColumn("ok", F.coalesce(sound & (squares > 0), F.lit(False))).withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: x.cast("string"))), 256)))
+    rows = rows.withColumn("ok", F.coalesce(sound & (largest > 0), F.lit(False))).withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.length(F.col("label").cast("string")).cast("string"), F.col("label").cast("string"), F.transform("v", lambda x: x.cast("string"))), 256)))
     rows = written(rows, "vectors")
     classes = rows.where("ok").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     packed = classes.select(F.xxhash64("key").alias("node"), F.col("label").cast("string").alias("grp"), "v", "copies", F.size("v").alias("dims")).mapInArrow(
@@ -149,9 +153,9 @@ def near_vectors(table: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
         take = min(1.0, SAMPLE / row["all"])
         sample = packed.where((F.col("dims") == row["dims"]) & (F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1_000_000)) <= int(take * 1e6))).select("vec").toArrow()
         vectors = _unpack(sample.column("vec").combine_chunks()) if sample.num_rows else np.eye(1, row["dims"])
-        depth = int(np.clip(np.ceil(np.log2(max(1, row["most"] / LEAF))), 0, MOST_DEPTH))
+        depth = int(np.ceil(np.log2(max(1, row["most"] / LEAF))))
         forests[row["dims"]] = Forest(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), depth, threshold)
-    placed = written(packed.mapInArrow(_place(spark.sparkContext.broadcast(forests)), "node long, grp string, vec binary, copies long, dims int, leaves array<int>"), "leaves")
+    placed = written(packed.mapInArrow(_place(spark.sparkContext.broadcast(forests)), "node long, grp string, vec binary, copies long, dims int, leaves array<long>"), "leaves")
     spots = placed.select("grp", "dims", F.explode("leaves").alias("leaf")).groupBy("grp", "dims", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     each = placed.withColumn("leaf", F.explode("leaves")).join(spots, ["grp", "dims", "leaf"])
     each = each.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -1,23 +1,29 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of byte 4-grams, trained on trusted text.
 
 Counts of all trusted text are combined in the tasks and sharded by language and context; the discounts, context masses and lower-order continuation
-counts are joined shard by shard to interpolated probabilities, one set for each language and a pooled one. Frozen into a table of a fixed bound,
-they give every whole text its perplexity in one pass. A document is kept if its perplexity is within its language's bar, which is set by quantiles over
+counts are joined shard by shard to interpolated probabilities, one set for each language and a pooled one. Every place of every text is scored exactly: the rows
+of the most frequent contexts are a head of a bounded size that tasks hold, all other places leave the task as counts of grams for each document and are joined with the sharded probabilities, back off by
+back off, and summed. The head changes the work alone, not a result. A document is kept if its perplexity is within its language's bar, which is set by quantiles over
 the trusted documents of that language.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.byte_contexts import TABLE_CELLS, Frozen, count_grams
+from loomdoc.llm.byte_contexts import Tables, count_grams, places, raw_texts, text_sums
 from loomdoc.llm.common import written
 
+#: Numbers in the head at most (32 MB before compression). Contexts beyond it are scored by joins.
+HEAD_CELLS = 4_000_000
+
 #: Symbols: letters by case, one for digits, space, newline, each punctuation, one for other control bytes, each byte from 128 up.
 CLASSES = np.zeros(256, np.uint8)
 for _i, _byte in enumerate([32, 10, *[b for b in range(33, 127) if not 48 <= b <= 57], *range(128, 256)]):
@@ -25,8 +31,8 @@ for _i, _byte in enumerate([32, 10, *[b for b in range(33, 127) if not 48 <= b <
 CLASSES[48:58] = 1
 SYMBOLS = int(CLASSES.max()) + 1
 
-#: Languages with a model of their own, the most frequent in trusted text first; all others use the pooled one.
-MOST_LANGS, POOLED = 16, ""
+#: Trusted documents that a language needs for a model and a bar of its own; documents of other languages, or of none, use those of all trusted text.
+LEAST_DOCS, POOLED = 20, ""
 
 #: The bar: the upper quantile of a language's log perplexity plus so many times its distance from the median.
 UPPER, SPREAD = 0.9, 2.0
@@ -35,10 +41,6 @@ UPPER, SPREAD = 0.9, 2.0
 BROADCAST_IDS = 2_000_000
 
 
-def prepare(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass")
-
-
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id some label calls of quality 1 and none calls toxic or of quality 0."""
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0")
@@ -74,115 +76,160 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         lower = written(joined.select("lang", F.lit(k).alias("k"), "gram", "context", ((F.col("n") - F.col("cut")) / F.col("mass") + F.col("gamma") * F.col("p0")).alias("p"), "gamma", "mass"), f"kn{k}")
         levels[k] = lower
     every = levels[1].union(levels[2]).union(levels[3]).union(levels[4])
-    return every.select("lang", "k", "gram", "p"), every.groupBy("lang", "k", "context").agg(F.first("gamma").alias("gamma"), F.max("mass").alias("mass"))
+    return every.select("lang", "k", "gram", "p"), written(every.groupBy("lang", "k", "context").agg(F.first("gamma").alias("gamma"), F.max("mass").alias("mass")), "kn-contexts")
 
 
-def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list[str]) -> Frozen:
-    """The model's table: rows for the contexts of one symbol, and for those of two and three that stand most often, whole frequency classes, as far as it has room."""
-    room = TABLE_CELLS // (SYMBOLS * len(langs)) - SYMBOLS
-    three = counts.groupBy(F.floor(F.col("gram") / SYMBOLS).alias("c")).agg(F.sum("n").alias("n")).withColumn("k", F.lit(4))
-    two = three.groupBy((F.col("c") % SYMBOLS**2).alias("c")).agg(F.sum("n").alias("n")).withColumn("k", F.lit(3))
-    ranked = written(three.unionByName(two).withColumn("f", F.floor(F.log2("n") * 4).cast("int")), "contexts")
+def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list[str], cells: int = HEAD_CELLS) -> Tables:
+    """The head: for each model the rows of its contexts of three symbols that stand most often, whole frequency classes over all models, as far as there is room."""
+    ranked = written(counts.groupBy("lang", F.floor(F.col("gram") / SYMBOLS).alias("context")).agg(F.sum("n").alias("n")).withColumn("f", F.floor(F.log2("n") * 4).cast("int")), "contexts")
     held, least = 0, 1 << 30
-    for row in ranked.groupBy("f").count().orderBy(F.desc("f")).collect():
+    for row in ranked.groupBy("f").count().orderBy(F.desc("f")).collect():  # at most four rows for each power of two
         held += row["count"]
-        if held > room:
+        if held * SYMBOLS > cells:
             break
         least = row["f"]
-    kept = ranked.where(F.col("f") >= least).select("k", F.col("c").alias("context"))
-    inside = grams.withColumn("context", F.floor(F.col("gram") / SYMBOLS))
-    small = F.col("k") <= 2
-    rows = inside.where(small).select("lang", "k", "gram", "p").union(inside.where(~small).join(kept, ["k", "context"], "left_semi").select("lang", "k", "gram", "p")).toArrow()
-    weights = contexts.where(small).select("lang", "k", "context", "gamma").union(contexts.where(~small).join(kept, ["k", "context"], "left_semi").select("lang", "k", "context", "gamma")).toArrow()
+    three = ranked.where(F.col("f") >= least).select("lang", F.lit(4).alias("k"), "context")
+    kept = three.union(three.select("lang", F.lit(3), F.col("context") % SYMBOLS**2).distinct()).union(three.select("lang", F.lit(2), F.col("context") % SYMBOLS).distinct())
+    kept = written(kept.union(three.select("lang", F.lit(1), F.lit(0).cast("long")).distinct()), "head")
+    rows = grams.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).join(kept, ["lang", "k", "context"], "left_semi").select("lang", "k", "gram", "p").toArrow()
+    weights = contexts.join(kept, ["lang", "k", "context"], "left_semi").select("lang", "k", "context", "gamma").toArrow()
     lists = kept.toArrow()
-    k_of, c_of = lists.column("k").to_numpy(), lists.column("context").to_numpy()
-    sets = [np.zeros(1, np.int64), np.arange(SYMBOLS), np.sort(c_of[k_of == 3]), np.sort(c_of[k_of == 4])]
-    number = {lang: i for i, lang in enumerate(langs)}
-    of = lambda t: np.array([number[x] for x in t.column("lang").to_pylist()], np.int64)
-    row_lang, row_k, row_gram, row_p = of(rows), rows.column("k").to_numpy(), rows.column("gram").to_numpy(), rows.column("p").to_numpy()
-    w_lang, w_k, w_ctx, w_gamma = of(weights), weights.column("k").to_numpy(), weights.column("context").to_numpy(), weights.column("gamma").to_numpy()
-    parent, tables = np.full((1, SYMBOLS, len(langs)), 1 / SYMBOLS), []
-    for k in (1, 2, 3, 4):
-        wanted = sets[k - 1]
-        below = parent if k == 1 else parent[np.searchsorted(sets[k - 2], wanted % SYMBOLS ** (k - 2))]
-        gamma = np.ones((len(wanted), len(langs)))
-        own = w_k == k
-        gamma[np.searchsorted(wanted, w_ctx[own]), w_lang[own]] = w_gamma[own]
-        table = below * gamma[:, None, :]
-        own = row_k == k
-        table[np.searchsorted(wanted, row_gram[own] // SYMBOLS), row_gram[own] % SYMBOLS, row_lang[own]] = row_p[own]
-        parent = table
-        tables.append(table.astype(np.float32))
-    return Frozen(CLASSES, SYMBOLS, sets[2], sets[3], -np.log2(np.maximum(np.concatenate(tables[1:]), 1e-9)).astype(np.float32))
-
-
-def _scorer(shared, langs: list[str], n_keep: int):
+    models = {}
+    for lang in langs:
+        own = lambda t: t.filter(pa.compute.equal(t.column("lang"), lang))  # noqa: E731, B023
+        r, w, c = own(rows), own(weights), own(lists)
+        r_k, r_gram, r_p = r.column("k").to_numpy(), r.column("gram").to_numpy(), r.column("p").to_numpy()
+        w_k, w_context, w_gamma = w.column("k").to_numpy(), w.column("context").to_numpy(), w.column("gamma").to_numpy()
+        c_k, c_context = c.column("k").to_numpy(), c.column("context").to_numpy()
+        parent, before = np.full((1, SYMBOLS), 1 / SYMBOLS), np.zeros(1, np.int64)
+        for k in (1, 2, 3, 4):
+            wanted = np.sort(c_context[c_k == k])
+            below = parent if k == 1 else parent[np.searchsorted(before, wanted % SYMBOLS ** (k - 2))]
+            gamma = np.ones(len(wanted))
+            gamma[np.searchsorted(wanted, w_context[w_k == k])] = w_gamma[w_k == k]
+            parent = (below if len(wanted) else np.zeros((0, SYMBOLS))) * gamma[:, None]
+            gram = r_gram[r_k == k]
+            parent[np.searchsorted(wanted, gram // SYMBOLS), gram % SYMBOLS] = r_p[r_k == k]
+            before = wanted
+        # the rows of shorter contexts are not used: places outside the head are joined
+        models[lang] = np.zeros(0, np.int64), before, np.concatenate([np.zeros((SYMBOLS, SYMBOLS)), -np.log2(parent)])
+    return Tables(CLASSES, SYMBOLS, models)
+
+
+def _scorer(shared, n_keep: int, text: int):
+    """Rows (kept columns, row, model, n_symbols, bits in the head), and rows (row, model, gram, n) for the places outside it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, number = shared.value, {lang: i for i, lang in enumerate(langs)}
+        head = shared.value
+        number = {lang: i for i, lang in enumerate(head.names)}
+        names = [*[f"c{i}" for i in range(n_keep)], "row", "model", "n_symbols", "bits", "gram", "n"]
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(at, 1000)
-                which = np.array([number.get(x, number[POOLED]) for x in part.column(n_keep).to_pylist()], np.int64)
-                ready = [prepare(t) if t else b"" for t in part.column(n_keep + 1).to_pylist()]
-                bits = model.bits(ready, which)
-                sizes = np.array([len(r) for r in ready], np.int64)
-                log2 = np.where(sizes > 0, bits / np.maximum(sizes, 1), 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:n_keep], pa.array([langs[w] for w in which], pa.string()), pa.array(sizes, pa.int64()), pa.array(log2, pa.float64())],
-                    [*[f"c{i}" for i in range(n_keep)], "model", "n_symbols", "bits"],
-                )
+            row, lang = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            named = lang.fill_null(POOLED).dictionary_encode()
+            which = np.array([number.get(x, number[POOLED]) for x in named.dictionary.to_pylist()], np.int64)
+            which = which[named.indices.to_numpy(zero_copy_only=False)] if len(named) else which[:0]
+            data, offsets = raw_texts(batch.column(text))
+            bits, sizes = np.zeros(len(which)), np.diff(offsets)
+            away = []
+            for at, end, context, symbol, part in places(CLASSES, SYMBOLS, data, offsets):
+                owner = np.repeat(np.arange(at, end), part)
+                value = np.zeros(len(context))
+                for k in np.unique(which[at:end]):
+                    own = which[owner] == k
+                    if not own.any():
+                        continue
+                    index, table = head.model(int(k))
+                    found = index[context[own]]
+                    inside = found >= 0
+                    value[np.flatnonzero(own)[inside]] = table.ravel()[found[inside].astype(np.int64) * SYMBOLS + symbol[own][inside]]
+                    if not inside.all():
+                        out = np.flatnonzero(own)[~inside]
+                        codes, counts = np.unique((owner[out] - at).astype(np.int64) * SYMBOLS**4 + context[out].astype(np.int64) * SYMBOLS + symbol[out], return_counts=True)
+                        away.append((codes // SYMBOLS**4 + at, codes % SYMBOLS**4, counts))
+                bits[at:end] += text_sums(value, part)
+            models = pa.DictionaryArray.from_arrays(pa.array(which, pa.int32()), pa.array(head.names, pa.string())).cast(pa.string())
+            nulls = pa.nulls(len(which), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], row, models, pa.array(sizes.astype(np.int64)), pa.array(bits), nulls, nulls], names)
+            for at in range(0, len(away), 8):
+                owner, gram, count = (np.concatenate(x) for x in zip(*away[at : at + 8], strict=True))
+                empty = [pa.nulls(len(owner), batch.column(i).type) for i in range(n_keep)]
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*empty, row.take(take), models.take(take), pa.nulls(len(owner), pa.int64()), pa.nulls(len(owner), pa.float64()), pa.array(gram), pa.array(count.astype(np.int64))], names)
 
     return run
 
 
 class QualityModel:
-    """A frozen model and each language's bar of log2 perplexity."""
+    """The sharded probabilities ``grams (lang, k, gram, p)`` and ``contexts (lang, k, context, gamma)``, the head, each model's bar of log2 perplexity."""
 
-    def __init__(self, langs: list[str], frozen: Frozen, bars: dict[str, float]):
-        self.langs, self.frozen, self.bars = langs, frozen, bars
+    def __init__(self, grams: DataFrame, contexts: DataFrame, head: Tables, bars: dict[str, float]):
+        self.grams, self.contexts, self.head, self.bars = grams, contexts, head, bars
 
 
-def score(docs: DataFrame, langs: list[str], frozen: Frozen, keep: tuple[str, ...]) -> DataFrame:
-    shared = frozen.shared(docs.sparkSession)
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "model string, n_symbols long, bits double"])
-    found = docs.select(*keep, F.col("lang").alias("__lang"), F.col("text").alias("__text")).mapInArrow(_scorer(shared, langs, len(keep)), schema)
-    return found.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
+def gram_bits(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``(model, gram, each)`` of distinct ``wanted (model, gram)``: the code length, interpolated or backed off through the orders. Bounded by the grams that a model can tell apart."""
+    found = wanted
+    p = F.lit(1 / SYMBOLS)
+    for k in (1, 2, 3, 4):
+        own = grams.where(F.col("k") == k).select(F.col("lang").alias("model"), F.col("gram").alias("__g"), F.col("p").alias(f"p{k}"))
+        weight = contexts.where(F.col("k") == k).select(F.col("lang").alias("model"), F.col("context").alias("__c"), F.col("gamma").alias(f"g{k}"))
+        found = found.withColumns({"__g": F.col("gram") % SYMBOLS**k, "__c": F.floor(F.col("gram") / SYMBOLS) % SYMBOLS ** (k - 1)})
+        found = found.join(own, ["model", "__g"], "left").join(weight, ["model", "__c"], "left").drop("__g", "__c")
+        p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"g{k}"), F.lit(1.0)) * p)
+    return found.select("model", "gram", (-F.log2(p)).alias("each"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
-    """A model of the trusted part of ``docs (doc_id, text, lang)``; None where no text is trusted."""
+def score(docs: DataFrame, grams: DataFrame, contexts: DataFrame, head: Tables, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep``, ``model``, ``n_symbols`` and ``bits`` (a symbol) of every row of ``docs``."""
+    kinds = dict(docs.dtypes)
+    columns = [*keep, *(["text"] if "text" not in keep else [])]
+    schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "row long, model string, n_symbols long, bits double, gram long, n long"])
+    chosen = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.monotonically_increasing_id().alias("__row"), F.col("lang").alias("__lang"))
+    passed = written(chosen.mapInArrow(_scorer(head.shared(docs.sparkSession), len(keep), columns.index("text")), schema), "scored")
+    away = passed.where("gram IS NOT NULL").select("row", "model", "gram", "n")
+    each = written(gram_bits(away.select("model", "gram").distinct(), grams, contexts), "gram-bits")
+    more = away.join(each, ["model", "gram"]).groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more"))
+    rows = passed.where("gram IS NULL").join(written(more, "more"), "row", "left")
+    total = F.col("bits") + F.coalesce("more", F.lit(0.0))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "model", "n_symbols", F.when(F.col("n_symbols") > 0, total / F.col("n_symbols")).otherwise(0.0).alias("bits"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, cells: int = HEAD_CELLS) -> QualityModel | None:
+    """A model of the trusted part of ``docs (doc_id, text, lang)``; None where no text is trusted.
+
+    Each language of at least LEAST_DOCS trusted documents has a model and a bar; one of all trusted text serves the others. A repeated document counts as often as it stands.
+    """
     good = trusted(docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND text <> ''"), labels)
-    counted = good.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").mapInArrow(count_grams(CLASSES, SYMBOLS, prepare), "lang string, gram long, n long")
-    by_lang = written(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    sizes = by_lang.where(F.col("lang") != POOLED).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    sizes = good.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").count().where(F.col("count") >= LEAST_DOCS).collect()  # one row for each language
     langs = sorted(row["lang"] for row in sizes) + [POOLED]
+    counted = good.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").mapInArrow(count_grams(CLASSES, SYMBOLS, raw_texts), "lang string, gram long, n long")
+    by_lang = written(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     pooled = by_lang.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
     if not pooled.take(1):
         return None
     counts = written(by_lang.where(F.col("lang").isin(langs[:-1])).union(pooled), "counts")
     grams, contexts = kneser_ney(counts)
-    frozen = freeze(grams, contexts, pooled, langs)
-    scored = score(good, langs, frozen, ())
+    head = freeze(grams, contexts, counts, langs, cells)
+    scored = written(score(good, grams, contexts, head, ()), "trusted-scores")
     quantiles = lambda df: df.agg(F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(UPPER)), 10_000).alias("q"))
-    scored = written(scored, "trusted-scores")
     bars = {row["model"]: row["q"] for row in quantiles(scored.groupBy("model")).collect()}
-    bars.setdefault(POOLED, quantiles(scored).first()["q"])
-    return QualityModel(langs, frozen, {m: q[1] + SPREAD * max(q[1] - q[0], 0.05) for m, q in bars.items()})
+    bars[POOLED] = quantiles(scored).first()["q"]
+    return QualityModel(grams, contexts, head, {m: q[1] + SPREAD * max(q[1] - q[0], 0.05) for m, q in bars.items()})
 
 
 def classify(docs: DataFrame, model: QualityModel | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``model`` (the language scored by, empty for the pooled one), ``n_symbols``, ``perplexity``, ``bar``, ``kept``.
 
-    One pass over whole texts without a shuffle. Null and empty texts have perplexity 1 and aren't kept. Without a model (nothing trusted) all texts that aren't empty are kept, with null perplexities.
+    Null and empty texts have perplexity 1 and aren't kept. Without a model (nothing trusted) all texts that aren't empty are kept, with null perplexities. A kept column that has the name of
+    one of the five results gives way to it. A text at its bar is kept. Repeated rows and equal ids are scored row by row; an empty table gives an empty one. What lies outside the
+    head is written to the shared folder and joined by row.
     """
+    keep = tuple(c for c in keep if c not in ("model", "n_symbols", "perplexity", "bar", "kept"))
     if model is None:
         null = F.lit(None).cast("double")
         return docs.select(*keep, F.lit(POOLED).alias("model"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), null.alias("perplexity"), null.alias("bar"), F.coalesce(F.col("text") != "", F.lit(False)).alias("kept"))
-    scored = score(docs, model.langs, model.frozen, keep)
-    bar = F.lit(model.bars[POOLED])
-    for lang, value in model.bars.items():
-        bar = F.when(F.col("model") == lang, F.lit(value)).otherwise(bar)
+    scored = score(docs, model.grams, model.contexts, model.head, keep)
+    bar = reduce(lambda rest, m: F.when(F.col("model") == m[0], F.lit(m[1])).otherwise(rest), model.bars.items(), F.lit(model.bars[POOLED]))
     # a short text's mean wavers, so its bar is higher by the square root of its length
     slack = bar + F.lit(3.0) / F.sqrt(F.greatest(F.col("n_symbols"), F.lit(1)))
     return scored.select(*keep, "model", "n_symbols", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), slack).alias("bar"), ((F.col("n_symbols") > 0) & (F.col("bits") <= slack)).alias("kept"))
