@@ -9,16 +9,30 @@ from loomdoc.llm import language_id, mixing, ngram_jaccard, piece_codec, quality
 from loomdoc.llm.common import written
 
 
+def _apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of the given names renamed, and the names to give back."""
+    new = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(new), {v: k for k, v in new.items()}
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their language's perplexity bar stay; the model is trained on the trusted ones among ``docs``."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model, tuple(docs.columns)).where("kept").select(docs.columns)
+    """Documents within their language's perplexity bar stay; the model is trained on the trusted ones among ``docs``.
+
+    Null and empty texts go; without a trusted text all others stay. Rows with null or repeated ids are judged row by row. Columns that ``docs`` has besides stay as they are, whatever their names.
+    """
+    rows, back = _apart(docs, ("model", "n_symbols", "perplexity", "bar", "kept"))
+    model = quality.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(rows, model, tuple(rows.columns)).where("kept").withColumnsRenamed(back).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose predicted language holds at least half of the code's weight stay."""
-    found = language_id.identify(docs, language_id.fit(docs), keep=tuple(docs.columns))
-    return found.where("lang_pred <> 'und' AND score >= 0.5").select(docs.columns)
+    """Documents with letters whose predicted language holds at least half of the code's weight stay.
+
+    Null texts and texts without a letter go. With no labelled text nothing can be predicted, and all go. Extra columns stay as they are, whatever their names.
+    """
+    rows, back = _apart(docs, ("lang_pred", "score", "bits_per_byte"))
+    found = language_id.identify(rows, language_id.fit(rows), keep=tuple(rows.columns))
+    return found.where("lang_pred <> 'und' AND score >= 0.5").withColumnsRenamed(back).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +48,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once for every time the mix takes words of it; documents of which it takes none go."""
-    mixed = mixing.mix_sources(mixing.word_sizes(docs))
+    """Each document once for every time the mix takes words of it; documents of which it takes none, texts without a word among them, go. A null source is a source. Extra columns stay as they are."""
+    rows, back = _apart(docs, ("size", "sources", "source_size", "target", "taken"))
+    mixed = mixing.mix_sources(mixing.word_sizes(rows))
     times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    return mixed.where("taken > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(docs.columns)
+    return mixed.where("taken > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).withColumnsRenamed(back).select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
