@@ -14,7 +14,7 @@ ORDER = 4
 #: Bytes of text taken at once.
 CHUNK_BYTES = 1_000_000
 
-#: Indexes of languages that a worker keeps at a time (4 bytes for each code of three symbols); others are built again.
+#: Indexes of languages that a worker keeps at a time; others are built again.
 INDEXES = 4
 
 Texts = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -86,6 +86,29 @@ def count_grams(classes: np.ndarray, size: int, texts: Texts) -> Callable:
     return run
 
 
+class Rows:
+    """Rows of codes of three symbols in a table of single symbols, then the contexts ``two``, then ``three``: -1 less the row of its longest listed suffix where a code isn't among ``three``.
+
+    The index is over the symbols that the listed contexts have, which is small for a language with its own script.
+    """
+
+    def __init__(self, size: int, two: np.ndarray, three: np.ndarray):
+        self.size = size
+        used = np.unique(np.concatenate([three // size**2, three // size % size, three % size, two // size, two % size]))
+        self.place = np.full(size, len(used), np.int32)
+        self.place[used] = np.arange(len(used), dtype=np.int32)
+        self.wide = len(used) + 1
+        self.index = np.zeros((self.wide,) * 3, np.int32)  # 0: no suffix but the last symbol
+        self.index[:, self.place[two // size], self.place[two % size]] = -1 - (size + np.arange(len(two), dtype=np.int32))
+        self.index[self.place[three // size**2], self.place[three // size % size], self.place[three % size]] = size + len(two) + np.arange(len(three), dtype=np.int32)
+
+    def of(self, context: np.ndarray) -> np.ndarray:
+        first, rest = np.divmod(context, self.size**2)
+        middle, last = np.divmod(rest, self.size)
+        row = self.index.ravel()[(self.place[first] * self.wide + self.place[middle]) * self.wide + self.place[last]]
+        return np.where(row == 0, -1 - last, row)
+
+
 class Tables:
     """For each model, code lengths in bits of every symbol in its contexts: rows of one symbol, then of the listed contexts of two and of three, both sorted. Broadcast compressed."""
 
@@ -107,16 +130,13 @@ class Tables:
             self._shared = spark.sparkContext.broadcast(self)
         return self._shared
 
-    def model(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The row of every code of three symbols, and the table. A code that isn't listed has -1 less the row of its longest listed suffix."""
+    def model(self, k: int) -> tuple[Rows, np.ndarray]:
+        """The rows of codes of three symbols, and the table."""
         if k not in self._held:
             if len(self._held) >= INDEXES:
                 self._held.pop(next(iter(self._held)))
             two, three, kind, shape, packed = self._packed[k]
-            rows = np.tile(-1 - np.arange(self.size, dtype=np.int32), self.size**2)
-            rows.reshape(self.size, self.size**2)[:, two] = -1 - (self.size + np.arange(len(two), dtype=np.int32))
-            rows[three] = self.size + len(two) + np.arange(len(three), dtype=np.int32)
-            self._held[k] = rows, np.frombuffer(zlib.decompress(packed), kind).reshape(shape)
+            self._held[k] = Rows(self.size, two, three), np.frombuffer(zlib.decompress(packed), kind).reshape(shape)
         return self._held[k]
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -125,7 +145,7 @@ class Tables:
         for at, end, context, symbol, sizes in places(self.classes, self.size, data, offsets):
             for k in range(len(self.names)):
                 rows, table = self.model(k)
-                row = rows[context]
+                row = rows.of(context)
                 row = np.where(row < 0, -1 - row, row)
                 out[at:end, k] += text_sums(table.ravel()[row.astype(np.int64) * self.size + symbol], sizes)
         return out

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.sources.shared import shared_dir, written  # noqa: F401
 
 
+#: Bytes of an Arrow batch, about; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def byte_batches(spark: SparkSession) -> None:
+    """Let the session cut Arrow batches by bytes, so that a task's memory doesn't follow the length of its texts times thousands of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character untouched."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

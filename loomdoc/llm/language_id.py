@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.byte_contexts import CHUNK_BYTES, Tables, count_grams
+from loomdoc.llm.common import byte_batches
 
 #: Documents of each language that its tree is fitted on, about (taken by hash of the id). Every language is learned.
 SAMPLE_DOCS = 400
@@ -81,6 +82,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Tables | None:
     The sample is by hash of ``doc_id``, about ``sample_docs`` documents of each language: whole texts, and all that a language has if it has no more. Rows with an equal
     or null id are drawn together. A language whose texts are all empty is not learned.
     """
+    byte_batches(docs.sparkSession)
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = labelled.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
@@ -131,6 +133,7 @@ def identify(docs: DataFrame, model: Tables | None, text_col: str = "text", keep
     keep = tuple(c for c in keep if c not in ("lang_pred", "score", "bits_per_byte"))
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
+    byte_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "lang_pred string, score double, bits_per_byte double"])
     found = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text")).mapInArrow(_predict(model.shared(docs.sparkSession)), schema)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.llm.common import byte_batches
+
 #: Blocks across a written frame, block rows in it at most, and frames a second.
 ACROSS, ROWS, FPS = 64, 16, 25
 
@@ -302,18 +304,28 @@ def padded(text: str | None) -> bytes:
     return raw + bytes(-len(raw) % 64 or (0 if raw else 64))
 
 
+#: Bytes of text that are stored before a batch is given out; a longer text is a batch of its own.
+STORE_BYTES = 1 << 20
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, texts = batch.column(0), batch.column(1)
-        for at in range(0, max(batch.num_rows, 1), 512):
-            part = [x.as_py() for x in texts.slice(at, 512)]
-            sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in part]
-            media = [write_avi(padded(t)) for t in part]
-            yield pa.RecordBatch.from_arrays([keys.slice(at, 512), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["row", "n_bytes", "media"])
+        keys, texts, at = batch.column(0), batch.column(1), 0
+        while at < batch.num_rows:
+            sizes, media, held = [], [], 0
+            begin = at
+            while at < batch.num_rows and (at == begin or held < STORE_BYTES):
+                text = texts[at].as_py()
+                sizes.append(len((text or "").encode("utf-8", "surrogatepass")))
+                media.append(write_avi(padded(text)))
+                held += sizes[-1]
+                at += 1
+            yield pa.RecordBatch.from_arrays([keys.slice(begin, at - begin), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["row", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes`` and ``media binary``: every whole text as an AVI file. Null texts count as empty (one frame of zeros); rows stay as they are."""
+    byte_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_store, f"row {kind}, n_bytes long, media binary").withColumnRenamed("row", id_col)
 
@@ -323,7 +335,11 @@ def _clip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, rows = [], []
         for key, media in zip(batch.column(0), batch.column(1), strict=True):
-            for clip in read_media(media.as_py())["clips"] if media.is_valid else []:
+            try:
+                clips = read_media(media.as_py())["clips"] if media.is_valid else []
+            except (ValueError, IndexError, KeyError, TypeError, OverflowError, struct.error):
+                clips = [{}]
+            for clip in clips:
                 keys.append(key.as_py())
                 rows.append(clip)
         clips = pa.array(rows, kind)
@@ -331,7 +347,7 @@ def _clip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_clips(table: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row for each shot of each AVI file: ``clip``, ``first_frame``, ``last_frame``, ``start_s``, ``end_s``, ``luma``. Null media give no row."""
+    """One row for each shot of each AVI file: ``clip``, ``first_frame``, ``last_frame``, ``start_s``, ``end_s``, ``luma``. Null media give no row, files that can't be read one row of nulls."""
     kind = dict(table.dtypes)[id_col]
     schema = f"row {kind}, clip int, first_frame int, last_frame int, start_s double, end_s double, luma double"
     return table.select(F.col(id_col), F.col(media_col)).mapInArrow(_clip_rows, schema).withColumnRenamed("row", id_col)

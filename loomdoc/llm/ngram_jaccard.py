@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import connected_components, written
+from loomdoc.llm.common import byte_batches, connected_components, written
 
 #: A shingle is ordered last if at least LOCAL_SHARED sets of a task hold it, SHARED of all such; they are broadcast, the most shared first, at most MOST_SHARED
 #: (8 bytes each). Which these are changes the work alone, not the result. A task counts so many codes at once.
@@ -283,6 +283,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     in the result; null ids give null components. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    byte_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     first = written(texts.mapInArrow(_first_pass(n), "doc long, n long, sid long, more long, code long, sets long, sketch array<long>"), "first")
     rows = first.where("code IS NULL").select("doc", "n", "sid", "more")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.llm.common import byte_batches
+
 MARK = "▁"
 
 #: Characters of new units that one run of merge rounds takes, and units that a worker remembers, at most.
@@ -309,6 +311,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     Columns: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if ``want_ids``, ``ids array<int>`` and ``decoded``. Null texts count as empty:
     no ids, an empty decoded text. Other columns of ``docs`` are left out.
     """
+    byte_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * want_ids
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_encoder(model_path, want_ids), schema).withColumnRenamed("row", id_col)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.byte_contexts import Tables, count_grams, places, raw_texts, text_sums
-from loomdoc.llm.common import written
+from loomdoc.llm.common import byte_batches, written
 
 #: Numbers in the head at most (32 MB before compression). Contexts beyond it are scored by joins.
 HEAD_CELLS = 4_000_000
@@ -139,7 +139,7 @@ def _scorer(shared, n_keep: int, text: int):
                     if not own.any():
                         continue
                     index, table = head.model(int(k))
-                    found = index[context[own]]
+                    found = index.of(context[own])
                     inside = found >= 0
                     value[np.flatnonzero(own)[inside]] = table.ravel()[found[inside].astype(np.int64) * SYMBOLS + symbol[own][inside]]
                     if not inside.all():
@@ -181,6 +181,7 @@ def gram_bits(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataF
 
 def score(docs: DataFrame, grams: DataFrame, contexts: DataFrame, head: Tables, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, ``model``, ``n_symbols`` and ``bits`` (a symbol) of every row of ``docs``."""
+    byte_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     columns = [*keep, *(["text"] if "text" not in keep else [])]
     schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "row long, model string, n_symbols long, bits double, gram long, n long"])
@@ -199,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, cells: int = HEAD_CELLS) -> QualityM
 
     Each language of at least LEAST_DOCS trusted documents has a model and a bar; one of all trusted text serves the others. A repeated document counts as often as it stands.
     """
+    byte_batches(docs.sparkSession)
     good = trusted(docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND text <> ''"), labels)
     sizes = good.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").count().where(F.col("count") >= LEAST_DOCS).collect()  # one row for each language
     langs = sorted(row["lang"] for row in sizes) + [POOLED]

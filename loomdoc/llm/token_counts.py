@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import written
+from loomdoc.llm.common import byte_batches, written
 
 #: The broadcast part of the vocabulary: words, and bytes of each, at most.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 48
@@ -148,6 +148,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and repeated or null ids keep a row each. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    byte_batches(spark)
     words = written(vocabulary(docs, tokenizer_path, text_col), "words")
     head = spark.sparkContext.broadcast(_head(words, head_words))
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
