@@ -6,6 +6,7 @@ Matches keep document order and duplicates. Members are visited in the order VAR
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 _NAME = re.compile(r"[A-Za-z_][\w-]*")
 _INTEGER = re.compile(r"-?\d+")
-_PREDICATE = re.compile(r"@\.?\[?['\"]?([A-Za-z_][\w-]*)['\"]?\]?\s*(==|!=)\s*(.+)")
+_PREDICATE = re.compile(r"""@(?:\.(\w+)|\[['"]([^'"]+)['"]\])\s*(==|!=)\s*(.+)""")
 
-#: Nodes above each other that ``..`` follows at most.
-MOST_DEPTH = 64
+#: Nodes above each other that ``..`` follows: as many as a VARIANT that is parsed from JSON can hold.
+MOST_DEPTH = 1000
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ class JsonPathError(ValueError):
 
 def parse_json_path(path: str) -> list[Segment]:
     """Segments of a path; raises JsonPathError where it can't be read."""
+    path = path.strip()
     if not path.startswith("$"):
         raise JsonPathError(f"a path starts with $: {path}")
     found, at = [], 1
@@ -69,26 +71,20 @@ def parse_json_path(path: str) -> list[Segment]:
 
 
 def _bracket(path: str, start: int) -> tuple[Segment, int]:
-    if path[start + 1 : start + 2] in ("'", '"'):
-        quote, at, name = path[start + 1], start + 2, []
-        while at < len(path) and path[at] != quote:
-            at += path[at] == "\\"
-            name.append(path[at : at + 1])
-            at += 1
-        if path[at : at + 2] != quote + "]":
-            raise JsonPathError(f"a quoted name isn't closed: {path}")
-        return Segment("child", "".join(name)), at + 2
+    quoted = re.compile(r"""\[\s*(['"])((?:\\.|(?!\1).)*)\1\s*\]""", re.S).match(path, start)
+    if quoted:
+        return Segment("child", re.sub(r"\\(.)", r"\1", quoted[2], flags=re.S)), quoted.end()
     end = path.find("]", start)
-    if end < 0:
-        raise JsonPathError(f"a bracket isn't closed: {path}")
     text = path[start + 1 : end].strip()
+    if end < 0 or text[:1] in ("'", '"'):
+        raise JsonPathError(f"a bracket or a quoted name isn't closed: {path}")
     if text == "*":
         return Segment("wildcard"), end + 1
     if text.startswith("?"):
-        inner = text[1:].strip()
-        if not (inner.startswith("(") and inner.endswith(")")):
-            raise JsonPathError(f"a filter stands in parentheses: {path}")
-        return Segment("filter", inner[1:-1].strip()), end + 1
+        # a name in brackets belongs to the filter
+        inner = re.compile(r"""\[\s*\?((?:[^\]\['"]|'[^']*'|"[^"]*"|\[[^\]]*\])*)\]""").match(path, start)
+        raw, end = (inner[1], inner.end()) if inner else (text[1:], end + 1)
+        return Segment("filter", re.sub(r"^\(|\)$", "", raw.strip()).strip()), end
     if ":" in text:
         bounds = [b.strip() for b in text.split(":")]
         if len(bounds) != 2 or any(b and not _INTEGER.fullmatch(b) for b in bounds):
@@ -106,19 +102,21 @@ def filter_literal(raw: str) -> object:
         return {"true": True, "false": False, "null": None}[raw]
     if len(raw) >= 2 and raw[0] == raw[-1] and raw[0] in "'\"":
         return raw[1:-1]
-    if re.fullmatch(r"-?\d+(\.\d+)?([eE][+-]?\d+)?", raw):
+    if re.fullmatch(r"-?\d+(\.\d+)?", raw):
         return float(raw)
     return raw
 
 
 def _children(nodes: DataFrame) -> DataFrame:
-    """One row for each member or item: ``ord`` grows by its position, ``depth`` stays out."""
+    """One row for each member or item: ``ord`` grows by its position."""
     keep = [c for c in nodes.columns if c not in ("ord", "value", "key")]
-    nodes.createOrReplaceTempView("__loomdoc_nodes")
-    return nodes.sparkSession.sql(
-        f"SELECT {''.join(f'n.`{c}`, ' for c in keep)}concat(n.ord, array(e.pos)) AS ord, e.key AS key, e.value AS value"
-        " FROM __loomdoc_nodes n, LATERAL variant_explode(n.value) e"
-    )
+    found = nodes.drop("key").lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("__pos", "key", "__value"))
+    return found.select(*keep, F.concat("ord", F.array("__pos")).alias("ord"), "key", F.col("__value").alias("value"))
+
+
+def _place(nodes: DataFrame, path: str, key, at: int) -> DataFrame:
+    """The one node at a place, read by its path: a JSON null is a node, a missing one is none."""
+    return nodes.withColumns({"ord": F.concat("ord", F.array(F.lit(at))), "key": F.lit(key).cast("string"), "value": F.try_variant_get("value", path, "variant")}).where("value IS NOT NULL")
 
 
 def _matches(value, predicate: str):
@@ -128,7 +126,7 @@ def _matches(value, predicate: str):
     found = _PREDICATE.fullmatch(predicate)
     if not found:
         return F.lit(False)
-    name, op, raw = found.groups()
+    name, op, raw = found[1] or found[2], found[3], found[4]
     literal = filter_literal(raw)
     member = F.try_variant_get(value, f"$['{name}']", "variant")
     kind = F.schema_of_variant(member)
@@ -151,8 +149,12 @@ def query_json_path(docs: DataFrame, path: str, doc_col: str = "doc") -> DataFra
     for segment in parse_json_path(path):
         kind = F.schema_of_variant("value")
         is_object, is_array = kind.startswith("OBJECT"), kind.startswith("ARRAY")
-        if segment.kind == "child":
+        if segment.kind == "child" and "'" not in segment.value and "\\" not in segment.value:
+            nodes = _place(nodes.where(is_object), f"$['{segment.value}']", segment.value, 0)
+        elif segment.kind == "child":
             nodes = _children(nodes.where(is_object)).where(F.col("key") == segment.value)
+        elif segment.kind == "index" and segment.value >= 0:
+            nodes = _place(nodes.where(is_array), f"$[{segment.value}]", None, segment.value)
         elif segment.kind == "wildcard":
             nodes = _children(nodes)
         elif segment.kind == "filter":
@@ -175,14 +177,17 @@ def query_json_path(docs: DataFrame, path: str, doc_col: str = "doc") -> DataFra
 
 
 def _descendants(nodes: DataFrame, keep: list[str]) -> DataFrame:
-    """All nodes below, each once for every node that it is below of, by a recursive query (sort by ``ord`` for pre-order)."""
-    nodes.select(*keep, "ord", "key", "value").createOrReplaceTempView("__loomdoc_roots")
+    """All nodes below, each once for every node that it is below of, by a recursive query (sort by ``ord`` for pre-order). Lifts the session's row limit of recursive queries."""
+    roots = f"__loomdoc_{uuid.uuid4().hex}"
+    nodes.select(*keep, "ord", "key", "value").createOrReplaceTempView(roots)
     columns = "".join(f"`{c}`, " for c in keep)
     spark = nodes.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(f"""
+    found = spark.sql(f"""
         WITH RECURSIVE walk({columns}depth, ord, key, value) MAX RECURSION LEVEL {MOST_DEPTH} AS (
-            SELECT {columns}0, ord, key, value FROM __loomdoc_roots
+            SELECT {columns}0, ord, key, value FROM {roots}
             UNION ALL
             SELECT {''.join(f'w.`{c}`, ' for c in keep)}w.depth + 1, concat(w.ord, array(e.pos)), e.key, e.value FROM walk w, LATERAL variant_explode(w.value) e)
         SELECT {columns}ord, key, value FROM walk WHERE depth > 0""")
+    spark.catalog.dropTempView(roots)
+    return found

@@ -85,7 +85,7 @@ def guess_status(code: Column, keywords: Mapping[str, int], other: int = 500) ->
     found = F.lit(other)
     for word, status in reversed(list(keywords.items())):
         found = F.when(F.lower(code).contains(word), status).otherwise(found)
-    number = F.regexp_extract(code, r"^(\d{1,9})", 1).try_cast("int")
+    number = F.regexp_extract(code, r"^\s*(\d{1,9})", 1).try_cast("int")
     return F.when(number.between(100, 599), number).otherwise(found)
 
 
@@ -105,14 +105,3 @@ def glob_matches(path: Column, glob: str) -> Column:
             out.append({"*": "[^/]*", "?": "[^/]"}.get(glob[i]) or ("\\" + glob[i] if glob[i] in r".+^${}()|[]\\" else glob[i]))
         i += 1
     return path.rlike("^" + "".join(out) + "$")
-
-
-def security_requirements(text: Column) -> Column:
-    """``array<map<scheme, array<scope>>>``: alternatives between commas, schemes together between semicolons, scopes after the first colon between bars."""
-    def one(part: Column) -> Column:
-        pieces = F.filter(F.transform(F.split(part, ";"), lambda p: F.trim(p)), lambda p: p != "")
-        name = lambda p: F.trim(F.substring_index(p, ":", 1))
-        scopes = lambda p: F.when(p.contains(":"), F.filter(F.transform(F.split(F.regexp_replace(p, "^[^:]*:", ""), r"\|"), lambda p: F.trim(p)), lambda s: s != "")).otherwise(F.array().cast("array<string>"))
-        return F.map_from_entries(F.transform(pieces, lambda p: F.struct(name(p).alias("key"), scopes(p).alias("value"))))
-
-    return F.transform(F.filter(F.split(text, ","), lambda p: F.trim(p) != ""), one)

@@ -85,9 +85,9 @@ def responses_by_priority(layers: Sequence[DataFrame], row_id: str, code: str) -
     return every.groupBy(row_id, code).agg(F.max_by(F.struct(*rest), "__p").alias("__r")).select(row_id, code, "__r.*")
 
 
-def with_headers(responses: DataFrame, headers: DataFrame, row_id: str, code: str) -> DataFrame:
-    """``responses`` with ``headers`` (map of name to value, or null) joined by id and code; ``headers`` has ``name`` and ``value``, of a repeated name the last by value counts."""
-    one = headers.groupBy(row_id, code, "name").agg(F.max("value").alias("value"))
+def with_headers(responses: DataFrame, headers: DataFrame, row_id: str, code: str, order: str | None = None) -> DataFrame:
+    """``responses`` with ``headers`` (map of name to value, or null) joined by id and code; ``headers`` has ``name`` and ``value``, of a repeated name the last by ``order`` (else by value) counts."""
+    one = headers.groupBy(row_id, code, "name").agg(F.max_by("value", order or "value").alias("value"))
     maps = one.groupBy(row_id, code).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("headers"))
     return responses.join(maps, [row_id, code], "left")
 

@@ -118,40 +118,53 @@ def _act(root, action: Action, path: list[Segment], source: list[Segment] | None
     if action.remove:
         _removed(nodes)
         return root
-    news = []
-    if source is not None and nodes:
+    def put(parent, key, value):
+        nonlocal root
+        if parent is None:
+            root = value
+        else:
+            parent[key] = value
+
+    if source is not None:
         first = _find(root, source)[:1]
         if not first:
             raise OverlayError(f"nothing to copy at {action.copy}")
-        news.append(first[0][2])
+        for parent, key, _ in nodes:
+            put(parent, key, copies.deepcopy(first[0][2]))
     if action.update is not _UNSET:
-        news.append(action.update)
-    for parent, key, matched in nodes:
-        for new in news:
+        for parent, key, matched in nodes:
             # an update merges into what was matched; only at the root does it see the copy
-            value = merges.patch(root if parent is None else matched, copies.deepcopy(new))
-            if parent is None:
-                root = value
-            else:
-                parent[key] = value
+            put(parent, key, merges.patch(root if parent is None else matched, copies.deepcopy(action.update)))
     return root
 
 
-def apply_overlay(docs: DataFrame, actions: Sequence[Action], doc_col: str = "doc") -> DataFrame:
-    """``docs`` with the JSON text in ``doc_col`` changed by the actions in order. Null and unreadable documents become null; a target that matches nothing changes nothing."""
+def apply_overlay(docs: DataFrame, actions: Sequence[Action], doc_col: str = "doc", error_col: str | None = None) -> DataFrame:
+    """``docs`` with the JSON text in ``doc_col`` changed by the actions in order: a copy replaces what the target matches, an update merges into it.
+
+    Null and unreadable documents become null; a target that matches nothing changes nothing. A copy without a source is an error: with ``error_col`` the document stays as it is and the column says why (null: no
+    error), without it the job fails.
+    """
     plan = [(a, parse_json_path(a.target), parse_json_path(a.copy) if a.copy else None) for a in actions]
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("doc string, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out, errors = [], []
         for text in texts:
             known, root = merges.read(text)
-            for action, path, source in plan if known else ():
-                root = _act(root, action, path, source)
-            out.append(merges.write(root) if known else None)
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn(doc_col, run(F.col(doc_col)))
+            said = None
+            try:
+                for action, path, source in plan if known else ():
+                    root = _act(root, action, path, source)
+            except OverlayError as error:
+                if error_col is None:
+                    raise
+                said = str(error)
+            out.append(text if said else merges.write(root) if known else None)
+            errors.append(said)
+        return pd.DataFrame({"doc": pd.Series(out, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    made = docs.withColumn("__made", run(F.col(doc_col))).withColumn(doc_col, F.col("__made.doc"))
+    return (made.withColumn(error_col, F.col("__made.error")) if error_col else made).drop("__made")
 
 
 def overlay_union(overlays: Sequence[DataFrame]) -> DataFrame:

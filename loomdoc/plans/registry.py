@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.functions import merges, predicates, schema_versions, text
 from loomdoc.functions.jsonpath import query_json_path
 from loomdoc.operators import diagnostics, documents, lookups, overlay, records, workflows
+from loomdoc.plans import api_queries, schema_queries  # noqa: F401
+from loomdoc.plans.named import QUERIES, Query
+from loomdoc.plans.named import register as _register
 from loomdoc.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, tuple[Query, str | None]] = {}
-
 #: Keywords of the status query, in order.
 KEYWORDS = {"error": 500, "purchase": 402, "signup": 201, "view": 200}
 
 
-def _register(oracle: str | None = None):
-    def add(query: Query) -> Query:
-        _QUERIES[query.__name__] = (query, oracle)
-        return query
-
-    return add
-
-
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as documents: ``{"key", "lines": [{"n", "qty", "flag"}]}``, ordered by line."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part")).alias("line"))
@@ -344,8 +334,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: query for name, (query, _) in _QUERIES.items()}
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle for name, (_, oracle) in _QUERIES.items() if oracle}
+    return {name: oracle for name, (_, oracle) in QUERIES.items() if oracle}

@@ -36,10 +36,22 @@ def test_overlay_actions(spark):
     # later actions see earlier ones, and a path without a match changes nothing
     twice = overlaid(spark, doc, {"target": "$.info", "update": {"t": "b"}}, {"target": "$.info", "update": {"u": 1}}, {"target": "$.none", "update": 5})
     assert twice == doc | {"info": {"t": "b", "u": 1}}
-    assert overlaid(spark, doc, {"target": "$.tags[0]", "copy": "$.info"})["tags"][0] == {"n": 1, "k": "in", "t": "a"}
+    assert overlaid(spark, doc, {"target": "$.tags[0]", "copy": "$.info"})["tags"][0] == doc["info"]
     assert overlaid(spark, doc, {"target": "$", "update": {"info": None}}) == {"tags": doc["tags"]}
 
 
+def test_overlay_copy_replaces(spark):
+    doc = {"a": {"x": 1, "y": 2}, "b": {"z": 3}}
+    assert overlaid(spark, doc, {"target": "$.a", "copy": "$.b"}) == {"a": {"z": 3}, "b": {"z": 3}}
+    assert overlaid(spark, doc, {"target": "$.a", "copy": "$.b", "update": {"w": 4}})["a"] == {"x": 1, "y": 2, "w": 4}
+    docs = spark.createDataFrame([(json.dumps(doc),), ('{"a": 1}',), (None,)], "doc string")
+    action = overlay.resolve_actions([{"target": "$.none", "copy": "$.b"}])
+    rows = overlay.apply_overlay(docs, action, error_col="why").collect()
+    assert [r["why"] for r in rows] == [None, "nothing to copy at $.b", None] and rows[1]["doc"] == '{"a": 1}'
+    with pytest.raises(Exception, match="nothing to copy"):
+        overlay.apply_overlay(docs, action).collect()
+
+
 def test_overlay_true_is_not_one(spark):
     assert overlaid(spark, [{"a": True}, {"a": 1}], {"target": "$[?(@.a == 1)]", "remove": True}) == [{"a": True}]
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.functions.jsonpath import JsonPathError, filter_literal, parse_json_path, query_json_path
 
-DOC = {"items": [True, None, 1, "a"], "nested": {"items": [{"active": True, "count": 0, "flag": False, "value": None}, {"active": False, "count": 2, "value": "x"}]}, "ite]ms": ["q"]}
+DOC = {"items": [True, None, 1, "a"], "nested": {"items": [{"active": True, "count": 0, "flag": False, "value": None}, {"active": False, "count": 2, "value": "x"}]}, "ite]ms": ["q"], "a b": {"x": 1}, "rows": [{"a b": 1, "a-b": 1}, {"a b": 2}], 'it"s': 7, "nil": None}
 
 
 def found(spark, path, doc=DOC):
@@ -21,6 +21,8 @@ def found(spark, path, doc=DOC):
         ("$.items[?(@)]", [True, 1, "a"]), ("$['ite]ms'][0]", ["q"]), ("$.items.length", []), ("$.nested.items[?(@.active == true)].count", [0]),
         ("$.nested.items[?(@.flag != false)].count", [2]), ("$.nested.items[?(@.value == null)].count", [0]), ("$.nested.items[?(@.value == x)].count", [2]),
         ("$.nested.items[?(@.count == '2')].count", []), ("$.nested.items[?(@.count)]", []), ("$..count", [0, 2]), ("$.missing", []),
+        (" $.items[0] ", [True]), ("$[ 'items' ][ 0 ]", [True]), ("$.nested.items[?@.count == 2].value", ["x"]), ("$.nested.items[?(@['count'] == 0)].flag", [False]), ("$.nested.items[?(@.count == 2e0)].count", []),
+        ("$['a b'].x", [1]), ("$.rows[?(@['a b'] == 1)]['a b']", [1]), ("$.rows[?(@.a-b == 1)]", []), ('$["it\\"s"]', [7]), ("$.nil", [None]), ("$.nil.x", []),
     ],
 )
 def test_paths(spark, path, expected):
@@ -33,7 +35,7 @@ def test_root_and_null_documents(spark):
     assert query_json_path(docs, "$..*").count() == 0
 
 
-@pytest.mark.parametrize("path", ["items", "$.", "$..", "$x", "$['a", "$[1", "$[?@.a]", "$[1:2:3]", "$[a]"])
+@pytest.mark.parametrize("path", ["items", "$.", "$..", "$x", "$['a", "$[1", "$[1:2:3]", "$[a]"])
 def test_errors(path):
     with pytest.raises(JsonPathError):
         parse_json_path(path)
@@ -41,3 +43,10 @@ def test_errors(path):
 
 def test_literals():
     assert [filter_literal(x) for x in ("true", "null", "'a'", "-1.5", "internal")] == [True, None, "a", -1.5, "internal"]
+
+
+def test_deep_documents(spark):
+    deep = {"x": 1}
+    for _ in range(120):
+        deep = {"d": [deep]}
+    assert found(spark, "$..x", deep) == [1]

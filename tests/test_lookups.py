@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdoc.functions import predicates, schema_algebra, schema_versions
+from loomdoc.functions import annotations, predicates, schema_algebra, schema_versions
 from loomdoc.operators import diagnostics, lookups, workflows
 
 
@@ -122,7 +122,7 @@ def test_schema_algebra():
 def test_lists_are_trimmed(spark):
     from loomdoc.functions import text
 
-    got = values(spark, [("a: x | y ; b, c1 ",), ("",)], "s string", text.security_requirements(F.col("s")))
+    got = values(spark, [("a: x | y ; b, c1 ",), ("",)], "s string", annotations.security_requirements(F.col("s")))
     assert got == [[{"a": ["x", "y"], "b": []}, {"c1": []}], []]
     sets = spark.createDataFrame([("one", ["400", "401"]), ("two", ["401", "500"])], "name string, codes array<string>")
     rows = spark.createDataFrame([(1, "one , two,zero"), (2, "one, none"), (3, None)], "id int, names string")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loomdoc.functions import schema, text
+from loomdoc.functions import annotations, schema, text
 from loomdoc.operators import records
 from loomdoc.plans import registry
 from loomdoc.streaming.incremental import latest_by_key
@@ -32,7 +32,7 @@ def test_text(spark):
     row = spark.range(1).select(
         text.camel_case(F.lit("get-user BY id")).alias("a"), text.camel_case(F.lit("--")).alias("b"), text.file_route(F.lit("/users/[id]/(x)/@s/route.ts")).alias("c"),
         text.call_path(F.lit("//a/:id?/")).alias("d"), text.guess_status(F.lit("404_gone"), {"gone": 410}).alias("e"), text.escape_regex(F.lit("a.b*")).alias("f"),
-        text.security_requirements(F.lit("bearer:read|write;key, basic")).alias("g"),
+        annotations.security_requirements(F.lit("bearer:read|write;key, basic")).alias("g"),
     ).first()
     assert row[:6] == ("getUserById", "query", "/users/{id}", "/a/{id}", 404, r"a\.b\*")
     assert row["g"] == [{"bearer": ["read", "write"], "key": []}, {"basic": []}]
