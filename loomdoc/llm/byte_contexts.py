@@ -110,18 +110,22 @@ class Rows:
 
 
 class Tables:
-    """For each model, code lengths in bits of every symbol in its contexts: rows of one symbol, then of the listed contexts of two and of three, both sorted. Broadcast compressed."""
+    """For each model, code lengths in bits of every symbol in its contexts: rows of one symbol, then of the listed contexts of two and of three, both sorted. Broadcast compressed.
 
-    def __init__(self, classes: np.ndarray, size: int, models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    ``columns`` may give each model the column of every symbol (symbols that a model never saw share one).
+    """
+
+    def __init__(self, classes: np.ndarray, size: int, models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], columns: dict[str, np.ndarray] | None = None):
         self.classes, self.size, self.names = classes, size, list(models)
+        self.columns = [np.arange(size, dtype=np.int64) if columns is None else columns[m].astype(np.int64) for m in models]
         self._packed = [(two, three, table.dtype, table.shape, zlib.compress(np.ascontiguousarray(table).tobytes(), 1)) for two, three, table in models.values()]
         self._shared, self._held = None, {}
 
     def __getstate__(self) -> tuple:
-        return self.classes, self.size, self.names, self._packed
+        return self.classes, self.size, self.names, self.columns, self._packed
 
     def __setstate__(self, state: tuple) -> None:
-        self.classes, self.size, self.names, self._packed = state
+        self.classes, self.size, self.names, self.columns, self._packed = state
         self._shared, self._held = None, {}
 
     def shared(self, spark):
@@ -139,13 +143,16 @@ class Tables:
             self._held[k] = Rows(self.size, two, three), np.frombuffer(zlib.decompress(packed), kind).reshape(shape)
         return self._held[k]
 
+    def lengths(self, k: int, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The code lengths of symbols in rows of a model's table."""
+        table = self.model(k)[1]
+        return table.ravel()[row.astype(np.int64) * table.shape[1] + self.columns[k][symbol]]
+
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Total bits of each text under every model, backing off to suffixes."""
         out = np.zeros((len(offsets) - 1, len(self.names)))
         for at, end, context, symbol, sizes in places(self.classes, self.size, data, offsets):
             for k in range(len(self.names)):
-                rows, table = self.model(k)
-                row = rows.of(context)
-                row = np.where(row < 0, -1 - row, row)
-                out[at:end, k] += text_sums(table.ravel()[row.astype(np.int64) * self.size + symbol], sizes)
+                row = self.model(k)[0].of(context)
+                out[at:end, k] += text_sums(self.lengths(k, np.where(row < 0, -1 - row, row), symbol), sizes)
         return out

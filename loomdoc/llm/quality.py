@@ -2,8 +2,8 @@
 
 Counts of all trusted text are combined in the tasks and sharded by language and context; the discounts, context masses and lower-order continuation
 counts are joined shard by shard to interpolated probabilities, one set for each language and a pooled one. Every place of every text is scored exactly: the rows
-of the most frequent contexts are a head of a bounded size that tasks hold, all other places leave the task as counts of grams for each document and are joined with the sharded probabilities, back off by
-back off, and summed. The head changes the work alone, not a result. A document is kept if its perplexity is within its language's bar, which is set by quantiles over
+of the most frequent contexts are a head of a bounded size that tasks hold. A language whose contexts all fit is scored by it alone; of any other, places outside the head leave the task as counts of grams for
+each document and are joined with the sharded probabilities, back off by back off, and summed. The head changes the work alone, not a result. A document is kept if its perplexity is within its language's bar, which is set by quantiles over
 the trusted documents of that language.
 """
 
@@ -79,45 +79,68 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.select("lang", "k", "gram", "p"), written(every.groupBy("lang", "k", "context").agg(F.first("gamma").alias("gamma"), F.max("mass").alias("mass")), "kn-contexts")
 
 
-def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list[str], cells: int = HEAD_CELLS) -> Tables:
-    """The head: for each model the rows of its contexts of three symbols that stand most often, whole frequency classes over all models, as far as there is room."""
+def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list[str], cells: int = HEAD_CELLS) -> tuple[Tables, list[bool]]:
+    """The head, and for each model whether it is whole: the rows of the contexts of three symbols that stand most often, whole frequency classes over all models, as far as there is room.
+
+    A row has a column for each symbol that the model has seen and one for all others. A model with all its contexts in the head backs off to the rows of their suffixes; places outside the head of
+    another one are joined.
+    """
+    seen = counts.select("lang", (F.col("gram") % SYMBOLS).alias("s")).distinct().groupBy("lang").agg(F.sort_array(F.collect_list("s")).alias("s")).collect()  # at most SYMBOLS for each language
+    columns = {}
+    for row in seen:
+        columns[row["lang"]] = np.full(SYMBOLS, len(row["s"]))
+        columns[row["lang"]][row["s"]] = np.arange(len(row["s"]))
     ranked = written(counts.groupBy("lang", F.floor(F.col("gram") / SYMBOLS).alias("context")).agg(F.sum("n").alias("n")).withColumn("f", F.floor(F.log2("n") * 4).cast("int")), "contexts")
     held, least = 0, 1 << 30
-    for row in ranked.groupBy("f").count().orderBy(F.desc("f")).collect():  # at most four rows for each power of two
-        held += row["count"]
-        if held * SYMBOLS > cells:
+    sizes: dict[int, int] = {}
+    total: dict[str, int] = {}
+    for row in ranked.groupBy("f", "lang").count().collect():  # at most four rows for each power of two and language
+        sizes[row["f"]] = sizes.get(row["f"], 0) + row["count"] * (columns[row["lang"]].max() + 1)
+        total[row["lang"]] = total.get(row["lang"], 0) + row["count"]
+    for f in sorted(sizes, reverse=True):
+        held += sizes[f]
+        if held > cells:
             break
-        least = row["f"]
+        least = f
     three = ranked.where(F.col("f") >= least).select("lang", F.lit(4).alias("k"), "context")
     kept = three.union(three.select("lang", F.lit(3), F.col("context") % SYMBOLS**2).distinct()).union(three.select("lang", F.lit(2), F.col("context") % SYMBOLS).distinct())
     kept = written(kept.union(three.select("lang", F.lit(1), F.lit(0).cast("long")).distinct()), "head")
     rows = grams.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).join(kept, ["lang", "k", "context"], "left_semi").select("lang", "k", "gram", "p").toArrow()
     weights = contexts.join(kept, ["lang", "k", "context"], "left_semi").select("lang", "k", "context", "gamma").toArrow()
     lists = kept.toArrow()
-    models = {}
+    models, whole = {}, []
     for lang in langs:
         own = lambda t: t.filter(pa.compute.equal(t.column("lang"), lang))  # noqa: E731, B023
         r, w, c = own(rows), own(weights), own(lists)
         r_k, r_gram, r_p = r.column("k").to_numpy(), r.column("gram").to_numpy(), r.column("p").to_numpy()
         w_k, w_context, w_gamma = w.column("k").to_numpy(), w.column("context").to_numpy(), w.column("gamma").to_numpy()
         c_k, c_context = c.column("k").to_numpy(), c.column("context").to_numpy()
-        parent, before = np.full((1, SYMBOLS), 1 / SYMBOLS), np.zeros(1, np.int64)
+        place = columns[lang]
+        width = int(place.max()) + 1
+        parent, before, made = np.full((1, width), 1 / SYMBOLS), np.zeros(1, np.int64), []
         for k in (1, 2, 3, 4):
             wanted = np.sort(c_context[c_k == k])
             below = parent if k == 1 else parent[np.searchsorted(before, wanted % SYMBOLS ** (k - 2))]
             gamma = np.ones(len(wanted))
             gamma[np.searchsorted(wanted, w_context[w_k == k])] = w_gamma[w_k == k]
-            parent = (below if len(wanted) else np.zeros((0, SYMBOLS))) * gamma[:, None]
+            parent = (below if len(wanted) else np.zeros((0, width))) * gamma[:, None]
             gram = r_gram[r_k == k]
-            parent[np.searchsorted(wanted, gram // SYMBOLS), gram % SYMBOLS] = r_p[r_k == k]
+            parent[np.searchsorted(wanted, gram // SYMBOLS), place[gram % SYMBOLS]] = r_p[r_k == k]
             before = wanted
-        # the rows of shorter contexts are not used: places outside the head are joined
-        models[lang] = np.zeros(0, np.int64), before, np.concatenate([np.zeros((SYMBOLS, SYMBOLS)), -np.log2(parent)])
-    return Tables(CLASSES, SYMBOLS, models)
+            made.append((wanted, parent))
+        complete = len(before) == total[lang] and len(made[0][1]) == 1
+        whole.append(complete)
+        one = np.ones((SYMBOLS, width))
+        if complete:
+            one[:] = made[0][1]
+            one[made[1][0]] = made[1][1]
+        two = made[2] if complete else (np.zeros(0, np.int64), np.zeros((0, width)))
+        models[lang] = two[0], before, -np.log2(np.concatenate([one, two[1], parent]))
+    return Tables(CLASSES, SYMBOLS, models, columns), whole
 
 
-def _scorer(shared, n_keep: int, text: int):
-    """Rows (kept columns, row, model, n_symbols, bits in the head), and rows (row, model, gram, n) for the places outside it."""
+def _scorer(shared, whole: list[bool], n_keep: int, text: int):
+    """Rows (kept columns, row, model, n_symbols, bits in the head, n: grams outside it), and rows (row, model, gram, n) for these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
@@ -129,7 +152,7 @@ def _scorer(shared, n_keep: int, text: int):
             which = np.array([number.get(x, number[POOLED]) for x in named.dictionary.to_pylist()], np.int64)
             which = which[named.indices.to_numpy(zero_copy_only=False)] if len(named) else which[:0]
             data, offsets = raw_texts(batch.column(text))
-            bits, sizes = np.zeros(len(which)), np.diff(offsets)
+            bits, sizes, outside = np.zeros(len(which)), np.diff(offsets), np.zeros(len(which), np.int64)
             away = []
             for at, end, context, symbol, part in places(CLASSES, SYMBOLS, data, offsets):
                 owner = np.repeat(np.arange(at, end), part)
@@ -138,18 +161,21 @@ def _scorer(shared, n_keep: int, text: int):
                     own = which[owner] == k
                     if not own.any():
                         continue
-                    index, table = head.model(int(k))
-                    found = index.of(context[own])
+                    found = head.model(int(k))[0].of(context[own])
+                    if whole[k]:
+                        value[own] = head.lengths(int(k), np.where(found < 0, -1 - found, found), symbol[own])
+                        continue
                     inside = found >= 0
-                    value[np.flatnonzero(own)[inside]] = table.ravel()[found[inside].astype(np.int64) * SYMBOLS + symbol[own][inside]]
+                    value[np.flatnonzero(own)[inside]] = head.lengths(int(k), found[inside], symbol[own][inside])
                     if not inside.all():
                         out = np.flatnonzero(own)[~inside]
                         codes, counts = np.unique((owner[out] - at).astype(np.int64) * SYMBOLS**4 + context[out].astype(np.int64) * SYMBOLS + symbol[out], return_counts=True)
                         away.append((codes // SYMBOLS**4 + at, codes % SYMBOLS**4, counts))
+                        np.add.at(outside, away[-1][0], 1)
                 bits[at:end] += text_sums(value, part)
             models = pa.DictionaryArray.from_arrays(pa.array(which, pa.int32()), pa.array(head.names, pa.string())).cast(pa.string())
             nulls = pa.nulls(len(which), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], row, models, pa.array(sizes.astype(np.int64)), pa.array(bits), nulls, nulls], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], row, models, pa.array(sizes.astype(np.int64)), pa.array(bits), nulls, pa.array(outside)], names)
             for at in range(0, len(away), 8):
                 owner, gram, count = (np.concatenate(x) for x in zip(*away[at : at + 8], strict=True))
                 empty = [pa.nulls(len(owner), batch.column(i).type) for i in range(n_keep)]
@@ -162,7 +188,7 @@ def _scorer(shared, n_keep: int, text: int):
 class QualityModel:
     """The sharded probabilities ``grams (lang, k, gram, p)`` and ``contexts (lang, k, context, gamma)``, the head, each model's bar of log2 perplexity."""
 
-    def __init__(self, grams: DataFrame, contexts: DataFrame, head: Tables, bars: dict[str, float]):
+    def __init__(self, grams: DataFrame, contexts: DataFrame, head: tuple[Tables, list[bool]], bars: dict[str, float]):
         self.grams, self.contexts, self.head, self.bars = grams, contexts, head, bars
 
 
@@ -179,20 +205,27 @@ def gram_bits(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataF
     return found.select("model", "gram", (-F.log2(p)).alias("each"))
 
 
-def score(docs: DataFrame, grams: DataFrame, contexts: DataFrame, head: Tables, keep: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, grams: DataFrame, contexts: DataFrame, head: tuple[Tables, list[bool]], keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, ``model``, ``n_symbols`` and ``bits`` (a symbol) of every row of ``docs``."""
     byte_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     columns = [*keep, *(["text"] if "text" not in keep else [])]
     schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "row long, model string, n_symbols long, bits double, gram long, n long"])
     chosen = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.monotonically_increasing_id().alias("__row"), F.col("lang").alias("__lang"))
-    passed = written(chosen.mapInArrow(_scorer(head.shared(docs.sparkSession), len(keep), columns.index("text")), schema), "scored")
+    tables, whole = head
+    passed = chosen.mapInArrow(_scorer(tables.shared(docs.sparkSession), whole, len(keep), columns.index("text")), schema)
+    mean = lambda total: F.when(F.col("n_symbols") > 0, total / F.col("n_symbols")).otherwise(0.0).alias("bits")
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
+    if all(whole):
+        return passed.select(*kept, "model", "n_symbols", mean(F.col("bits")))
+    passed = written(passed, "scored")
     away = passed.where("gram IS NOT NULL").select("row", "model", "gram", "n")
     each = written(gram_bits(away.select("model", "gram").distinct(), grams, contexts), "gram-bits")
-    more = away.join(each, ["model", "gram"]).groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more"))
-    rows = passed.where("gram IS NULL").join(written(more, "more"), "row", "left")
-    total = F.col("bits") + F.coalesce("more", F.lit(0.0))
-    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "model", "n_symbols", F.when(F.col("n_symbols") > 0, total / F.col("n_symbols")).otherwise(0.0).alias("bits"))
+    more = written(away.join(each, ["model", "gram"]).groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more")), "more")
+    rows = passed.where("gram IS NULL")
+    # rows with nothing outside the head aren't shuffled
+    joined = rows.where("n > 0").join(more, "row").select(*kept, "model", "n_symbols", mean(F.col("bits") + F.col("more")))
+    return rows.where("n = 0").select(*kept, "model", "n_symbols", mean(F.col("bits"))).union(joined)
 
 
 def fit(docs: DataFrame, labels: DataFrame, cells: int = HEAD_CELLS) -> QualityModel | None:
