@@ -12,7 +12,7 @@ import pyarrow as pa
 ORDER = 4
 
 #: Bytes of text taken at once.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 #: Indexes of languages that a worker keeps at a time; others are built again.
 INDEXES = 4

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.byte_contexts import CHUNK_BYTES, Tables, count_grams
-from loomdoc.llm.common import byte_batches
+from loomdoc.llm.common import byte_batches, giving_back
 
 #: Documents of each language that its tree is fitted on, about (taken by hash of the id). Every language is learned.
 SAMPLE_DOCS = 400
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Tables | None:
         return None
     most = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], int(1e6 * min(1, sample_docs / row["count"])) + 1)])
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000))
-    counted = labelled.where(draw < most[F.col("lang")]).select("lang", "text").mapInArrow(count_grams(CLASSES, SYMBOLS, prepared), "lang string, gram long, n long")
+    counted = labelled.where(draw < most[F.col("lang")]).select("lang", "text").mapInArrow(giving_back(count_grams(CLASSES, SYMBOLS, prepared)), "lang string, gram long, n long")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = table.column(0).combine_chunks().dictionary_encode()
     own, gram, n = langs.indices.to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy()
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: Tables | None, text_col: str = "text", keep
     byte_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "lang_pred string, score double, bits_per_byte double"])
-    found = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text")).mapInArrow(_predict(model.shared(docs.sparkSession)), schema)
+    found = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text")).mapInArrow(giving_back(_predict(model.shared(docs.sparkSession))), schema)
     return found.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
 
 

@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import byte_batches, connected_components, written
+from loomdoc.llm.common import byte_batches, connected_components, giving_back, written
 
 #: A shingle is ordered last if at least LOCAL_SHARED sets of a task hold it, SHARED of all such; they are broadcast, the most shared first, at most MOST_SHARED
 #: (8 bytes each). Which these are changes the work alone, not the result. A task counts so many codes at once.
-LOCAL_SHARED, SHARED, MOST_SHARED, COUNTED_CODES = 2, 6, 1 << 20, 4_000_000
+LOCAL_SHARED, SHARED, MOST_SHARED, COUNTED_CODES = 2, 6, 1 << 20, 2_000_000
 
 #: Short lists that a set of at least FEW shingles must share with a partner of at least FEW; 1 if either is smaller.
 SHORT_HITS, FEW = 4, 8
@@ -41,7 +41,7 @@ SHORT_HITS, FEW = 4, 8
 LEADERS, DRAWN = 16, 48
 
 #: Bytes of text taken at once, bits of the filters that are broadcast (8 MB each; a full one only lets more through to the joins), bits of a set's sketch, longs of a folded one.
-CHUNK_BYTES, FILTER_BITS, SKETCH_BITS, FOLDED = 1_500_000, 1 << 26, 2048, 8
+CHUNK_BYTES, FILTER_BITS, SKETCH_BITS, FOLDED = 500_000, 1 << 26, 2048, 8
 
 
 #: Fixed values of the polynomial word hash: a random number for each byte (A-Z as a-z) and an odd base.
@@ -285,7 +285,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     spark = docs.sparkSession
     byte_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    first = written(texts.mapInArrow(_first_pass(n), "doc long, n long, sid long, more long, code long, sets long, sketch array<long>"), "first")
+    first = written(texts.mapInArrow(giving_back(_first_pass(n)), "doc long, n long, sid long, more long, code long, sets long, sketch array<long>"), "first")
     rows = first.where("code IS NULL").select("doc", "n", "sid", "more")
     often = first.where("code IS NOT NULL").groupBy("code").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= SHARED)
     often = written(often, "shared")
@@ -300,10 +300,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
 
     # merge the short lists: a key is shared if two sets hold it
     kind = "key long, sid long, n int, pos int"
-    lists = texts.mapInArrow(_short_lists(n, percent, shared), kind).groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("key")
+    lists = texts.mapInArrow(giving_back(_short_lists(n, percent, shared)), kind).groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("key")
     lists = written(lists, "keys")
     wanted = spark.sparkContext.broadcast(_filter_bits(lists, "key"))
-    entries = texts.mapInArrow(_short_lists(n, percent, shared, wanted), kind)
+    entries = texts.mapInArrow(giving_back(_short_lists(n, percent, shared, wanted)), kind)
     members = written(entries.join(lists, "key").groupBy("key", "sid").agg(F.max("n").alias("n"), F.min("pos").alias("pos")), "members")
     enough = members.groupBy("sid").agg(F.count("*").alias("hits"), F.max("n").alias("n")).where((F.col("hits") >= SHORT_HITS) | ~hits_needed(F.col("n"), percent)).select("sid")
     enough = written(enough, "enough")
@@ -313,7 +313,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     sketches = written(first.where("code IS NULL").join(enough, "sid", "left_semi").select("sid", "n", "sketch").dropDuplicates(["sid"]), "sketches")
     bits = spark.sparkContext.broadcast(_filter_bits(enough, "sid"))
     # equal sets come from several tasks: their bytes are equal too
-    sets = written(texts.mapInArrow(_wanted_sets(n, bits), "sid long, codes binary").dropDuplicates(["sid"]), "sets")
+    sets = written(texts.mapInArrow(giving_back(_wanted_sets(n, bits)), "sid long, codes binary").dropDuplicates(["sid"]), "sets")
 
     def with_both(pairs: DataFrame, table: DataFrame, a: str, b: str, column: str) -> DataFrame:
         left = pairs.join(table.withColumnsRenamed({"sid": a, column: "left"}), a)

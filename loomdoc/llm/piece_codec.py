@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import byte_batches
+from loomdoc.llm.common import byte_batches, giving_back
 
 MARK = "▁"
 
 #: Characters of new units that one run of merge rounds takes, and units that a worker remembers, at most.
-ROUND_CHARS, KEPT_UNITS = 4_000_000, 300_000
+ROUND_CHARS, KEPT_UNITS = 1_000_000, 200_000
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NONE = np.iinfo(np.int32).max
@@ -281,7 +281,7 @@ def _encoder(path: str, want_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(path)
         for batch in batches:
-            for start, texts in _slices(batch.column(1), 2_000_000):
+            for start, texts in _slices(batch.column(1), 500_000):
                 cut = [units_of(t) for t in texts]
                 kept = remembered(model, cut)
                 counts, id_sums, text_sums, id_lists = [], [], [], []
@@ -314,7 +314,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     byte_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * want_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_encoder(model_path, want_ids), schema).withColumnRenamed("row", id_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(giving_back(_encoder(model_path, want_ids)), schema).withColumnRenamed("row", id_col)
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.byte_contexts import Tables, count_grams, places, raw_texts, text_sums
-from loomdoc.llm.common import byte_batches, written
+from loomdoc.llm.common import byte_batches, giving_back, written
 
 #: Numbers in the head at most (32 MB before compression). Contexts beyond it are scored by joins.
 HEAD_CELLS = 4_000_000
@@ -213,7 +213,7 @@ def score(docs: DataFrame, grams: DataFrame, contexts: DataFrame, head: tuple[Ta
     schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "row long, model string, n_symbols long, bits double, gram long, n long"])
     chosen = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.monotonically_increasing_id().alias("__row"), F.col("lang").alias("__lang"))
     tables, whole = head
-    passed = chosen.mapInArrow(_scorer(tables.shared(docs.sparkSession), whole, len(keep), columns.index("text")), schema)
+    passed = chosen.mapInArrow(giving_back(_scorer(tables.shared(docs.sparkSession), whole, len(keep), columns.index("text"))), schema)
     mean = lambda total: F.when(F.col("n_symbols") > 0, total / F.col("n_symbols")).otherwise(0.0).alias("bits")
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
     if all(whole):
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, cells: int = HEAD_CELLS) -> QualityM
     good = trusted(docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND text <> ''"), labels)
     sizes = good.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").count().where(F.col("count") >= LEAST_DOCS).collect()  # one row for each language
     langs = sorted(row["lang"] for row in sizes) + [POOLED]
-    counted = good.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").mapInArrow(count_grams(CLASSES, SYMBOLS, raw_texts), "lang string, gram long, n long")
+    counted = good.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").mapInArrow(giving_back(count_grams(CLASSES, SYMBOLS, raw_texts)), "lang string, gram long, n long")
     by_lang = written(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     pooled = by_lang.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
     if not pooled.take(1):
