@@ -9,9 +9,10 @@ from loomdoc.functions import http, registries
 from loomdoc.functions.text import path_parameters
 from loomdoc.operators.chains import effects, unknown_methods
 from loomdoc.operators.diagnostics import rows_where
+from loomdoc.sources.files import IGNORED_FOLDERS
+
+
 
-#: Folders that scans leave out.
-IGNORED_FOLDERS = ("node_modules", ".git", ".next", "dist", "build", "coverage")
 
 
 def _said(*parts: Column | str) -> Column:

@@ -12,5 +12,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON files as ``(file, doc variant)``; broken files have a null document."""
-    read = spark.read.option("wholetext", True).text(path)
+    read = spark.read.text(path, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
