@@ -3,7 +3,7 @@
 1. One pass over the texts cuts pre-tokens and sums their frequencies; the vocabulary of distinct pre-tokens is counted with map-side combining.
 2. Each distinct pre-token's pieces are counted once, and the vocabulary is written to the shared folder.
 3. A second pass joins each document's frequencies with the vocabulary. The most frequent pre-tokens (``HEAD_WORDS`` at most, of ``HEAD_BYTES`` bytes
-   at most each, so a broadcast of a fixed bound) are joined inside the pass; all others go through a shuffled join on the pre-token. Hot
+   together, so a broadcast of a fixed bound) are joined inside the pass; all others go through a shuffled join on the pre-token. Hot
    pre-tokens are in the head, so no join key is hot.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from loomdoc.llm.common import byte_batches, written
 
-#: The broadcast part of the vocabulary: words, and bytes of each, at most.
-HEAD_WORDS, HEAD_BYTES = 1 << 18, 48
+#: The broadcast part of the vocabulary: words, bytes of all together, and bytes of a word at most (a longer one is too much text itself to stand in many documents).
+HEAD_WORDS, HEAD_BYTES, LONGEST = 1 << 18, 12 << 20, 1 << 16
 
 #: Texts whose pre-tokens are combined before rows leave a task, in characters.
 CHUNK_CHARS = 16_000_000
@@ -104,12 +104,12 @@ def vocabulary(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
 
 def _head(words: DataFrame, most: int) -> dict[str, int]:
     """The most frequent words that fit the bound, whole frequency classes at a time."""
-    short = words.where(F.octet_length("word") <= HEAD_BYTES)
-    classes = short.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("c")).count().orderBy(F.desc("c")).collect()
-    held, least = 0, None
+    short = words.where(F.octet_length("word") <= LONGEST)
+    classes = short.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("c")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.desc("c")).collect()
+    held, size, least = 0, 0, None
     for row in classes:
-        held += row["count"]
-        if held > most:
+        held, size = held + row["words"], size + row["bytes"]
+        if held > most or size > HEAD_BYTES:
             break
         least = row["c"]
     if least is None:
