@@ -32,7 +32,7 @@ from loomdoc.llm.common import byte_batches, connected_components, giving_back,
 
 #: A shingle is ordered last if at least LOCAL_SHARED sets of a task hold it, SHARED of all such; they are broadcast, the most shared first, at most MOST_SHARED
 #: (8 bytes each). Which these are changes the work alone, not the result. A task counts so many codes at once.
-LOCAL_SHARED, SHARED, MOST_SHARED, COUNTED_CODES = 2, 6, 1 << 20, 2_000_000
+LOCAL_SHARED, SHARED, MOST_SHARED, COUNTED_CODES = 2, 6, 1 << 20, 1_500_000
 
 #: Short lists that a set of at least FEW shingles must share with a partner of at least FEW; 1 if either is smaller.
 SHORT_HITS, FEW = 4, 8
@@ -56,7 +56,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
+            steps = np.full(max(n, 1 << 19), base, np.uint64)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers

@@ -21,8 +21,8 @@ from loomdoc.llm.common import byte_batches, giving_back
 
 MARK = "▁"
 
-#: Characters of new units that one run of merge rounds takes, and units that a worker remembers, at most.
-ROUND_CHARS, KEPT_UNITS = 1_000_000, 200_000
+#: Characters of new units that one run of merge rounds takes, and units that a task remembers, at most.
+ROUND_CHARS, KEPT_UNITS = 1_000_000, 100_000
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NONE = np.iinfo(np.int32).max
@@ -281,7 +281,7 @@ def _encoder(path: str, want_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(path)
         for batch in batches:
-            for start, texts in _slices(batch.column(1), 500_000):
+            for start, texts in _slices(batch.column(1), 1_000_000):
                 cut = [units_of(t) for t in texts]
                 kept = remembered(model, cut)
                 counts, id_sums, text_sums, id_lists = [], [], [], []
@@ -301,6 +301,7 @@ def _encoder(path: str, want_ids: bool):
                     columns += [pa.array([x[0] for x in id_lists], pa.list_(pa.int32())), pa.array([x[1] for x in id_lists], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        model.kept.clear()  # the worker lives on
 
     return run
 
