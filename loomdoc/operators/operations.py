@@ -79,6 +79,16 @@ def parameters(rows: DataFrame, path: bool = False, where: str | None = None) ->
     )
 
 
+def parameter_schemas(rows: DataFrame) -> DataFrame:
+    """The members ``(owner, name, key, value)`` of property rows' schemas: those under ``schema`` if there are, else all but the parameter's own keys; text where no keyword of a schema is left."""
+    inner = F.try_variant_get("value", "$.schema", "variant")
+    found = rows.select("owner", "name", inner.isNotNull().alias("__given"), F.coalesce(inner, F.col("value")).alias("__s"))
+    members = found.lateralJoin(found.sparkSession.tvf.variant_explode(F.col("__s").outer()).toDF("__pos", "key", "value"))
+    kept = members.where(F.col("key").isNotNull() & (F.col("__given") | ~F.col("key").isin(*PARAMETER_KEYS))).select("owner", "name", "key", "value")
+    bare = found.where(~F.col("__given")).join(kept.where(F.col("key").isin(*SCHEMA_KEYS)).select("owner", "name"), ["owner", "name"], "left_anti")
+    return kept.unionByName(bare.select("owner", "name", F.lit("type").alias("key"), F.parse_json(F.lit('"string"')).alias("value")))
+
+
 def _one_of(value: Column, keys: Sequence[str]) -> Column:
     out = F.lit(False)
     for key in keys:
