@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import embedding_dedup, language_id, license_scan, media_columns, mixing, ngram_jaccard, piece_codec, quality, token_counts, url_filters
+from loomdoc.llm import embedding_dedup, fill_in_middle, language_id, license_scan, media_columns, mixing, ngram_jaccard, piece_codec, quality, token_counts, url_filters
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_mixing": mixing.op9_mixing,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
 }
 
-ORACLE_SQL = {"op7_url_filters": url_filters.oracle_sql()}
+ORACLE_SQL = {"op7_url_filters": url_filters.oracle_sql(), "op11_fill_in_middle": fill_in_middle.oracle_sql()}
