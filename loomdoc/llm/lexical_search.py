@@ -88,8 +88,9 @@ class Trees:
         self.leaves = 1 << max(0, math.ceil(math.log2(max(1, -(-len(n) // LEAF)))))
         self.where = {t: i for i, t in enumerate(self.names.tolist())}
         self.nodes = np.zeros((len(self.names), 2 * self.leaves), np.int64)  # node i has the children 2i and 2i+1
-        row = np.arange(len(self.names)).repeat(np.diff(self.first))
-        np.maximum.at(self.nodes.reshape(-1), row * 2 * self.leaves + self.leaves + self.docs // LEAF, self.scores)
+        place = np.arange(len(self.names)).repeat(np.diff(self.first)) * self.leaves + self.docs // LEAF
+        np.maximum.at(self.nodes[:, self.leaves :], np.divmod(place, self.leaves), self.scores)
+        self.postings = np.searchsorted(place, np.arange(len(self.names) * self.leaves + 1))  # where a term's postings of a leaf begin
         at = self.leaves
         while at > 1:
             self.nodes[:, at // 2 : at] = np.maximum(self.nodes[:, at : 2 * at : 2], self.nodes[:, at + 1 : 2 * at : 2])
@@ -101,30 +102,32 @@ class Trees:
     def bound(self, item: list[int]) -> int:
         return int(self.nodes[self.rows(item), 1].sum())
 
+    def _leaf(self, lists: np.ndarray, low: int) -> list[int]:
+        """The exact scores of a leaf's documents."""
+        a, sizes = self.postings[lists], self.postings[lists + 1] - self.postings[lists]
+        at = np.arange(sizes.sum()) + (a - np.cumsum(sizes) + sizes).repeat(sizes)
+        total = np.zeros(LEAF, np.int64)
+        np.add.at(total, self.docs[at] - low, self.scores[at])
+        return total.tolist()
+
     def search(self, item: list[int], ids: list[tuple], k: int, least: int) -> list[tuple]:
         """The ``k`` best (score, place) of an item with a score of at least ``least``, ordered by score and then id; 0 is never in."""
         rows = self.rows(item)
         if not rows:
             return []
-        own = self.nodes[rows]
+        bounds = self.nodes[rows].sum(axis=0).tolist()
+        begins = np.array(rows) * self.leaves - self.leaves
         best: list[tuple] = []  # the worst one first: (score, id turned around, place)
-        least, opened = max(1, least), [(-int(own[:, 1].sum()), 1)]
+        least, opened = max(1, least), [(-bounds[1], 1)]
         while opened and -opened[0][0] >= least:
             _, node = heapq.heappop(opened)
             if node < self.leaves:
-                left, right = own[:, 2 * node : 2 * node + 2].sum(axis=0).tolist()
-                for bound, child in ((left, 2 * node), (right, 2 * node + 1)):
-                    if bound >= least:
-                        heapq.heappush(opened, (-bound, child))
+                for child in (2 * node, 2 * node + 1):
+                    if bounds[child] >= least:
+                        heapq.heappush(opened, (-bounds[child], child))
                 continue
             low = (node - self.leaves) * LEAF
-            total = [0] * LEAF
-            for r, held in zip(rows, own[:, node].tolist(), strict=True):
-                if held:
-                    a, b = self.first[r], self.first[r + 1]
-                    x, y = a + np.searchsorted(self.docs[a:b], (low, low + LEAF))
-                    for d, s in zip(self.docs[x:y].tolist(), self.scores[x:y].tolist(), strict=True):
-                        total[d - low] += s
+            total = self._leaf(begins + node, low)
             for d, score in enumerate(total):
                 if score >= least:
                     entry = (score, _Turned(ids[low + d]), low + d)
