@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import embedding_dedup, fill_in_middle, language_id, lexical_search, license_scan, media_columns, mixing, ngram_jaccard, piece_codec, quality, token_counts, url_filters
+from loomdoc.llm import embedding_dedup, fill_in_middle, language_id, lexical_search, license_scan, lm_scoring, media_columns, mixing, ngram_jaccard, piece_codec, quality, token_counts, url_filters
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_ranked_search": lexical_search.op12_ranked_search,
+    "op13_lm_scores": lm_scoring.op13_lm_scores,
 }
 
 ORACLE_SQL = {"op7_url_filters": url_filters.oracle_sql(), "op11_fill_in_middle": fill_in_middle.oracle_sql(), "op12_ranked_search": lexical_search.oracle_sql()}
