@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc.functions.text import METHODS
+from loomdoc.sources.shared import written
 
 COLLATION = "UNICODE_CI_AI"
 
@@ -176,25 +177,25 @@ def path_object_candidates(routes: DataFrame, properties: DataFrame) -> DataFram
     return hits.where("__k = __n").groupBy("route").agg(F.min("schema_name").alias("schema_name"))
 
 
-def inlined(nodes: DataFrame, excluded: DataFrame, schemas: DataFrame, key: str, rounds: int = 16) -> DataFrame:
+def inlined(nodes: DataFrame, excluded: DataFrame, schemas: DataFrame, key: str) -> DataFrame:
     """Nodes ``(key, pointer, value)`` with references to excluded schemas ``(key, name)`` replaced by the schemas' own nodes ``(key, name, below, value)``, round by round until none is left.
 
-    A schema that leads back to itself stays a reference where it does: the schemas that a place came through are carried along. ``rounds`` bounds chains of different schemas.
+    A schema that leads back to itself stays a reference where it does: the schemas that a place came through are carried along, so rounds end with the longest chain of different schemas.
+    A reference to an excluded schema without nodes loses its place.
     """
     prefix = "#/components/schemas/"
+    hidden = written(excluded.select(key, "name").distinct(), "hidden")
     done, open_ = None, nodes.withColumn("__via", F.array().cast("array<string>"))
-    hidden = excluded.select(key, "name").distinct()
-    for _ in range(rounds):
+    while True:
         name = F.when(F.col("pointer").endswith("/$ref"), F.regexp_extract("value", rf'^"{prefix}([^"]+)"$', 1))
-        named = open_.withColumn("name", name)
-        is_open = named.join(hidden.withColumn("__hidden", F.lit(True)), [key, "name"], "left").withColumn("__go", F.coalesce(F.col("__hidden") & ~F.array_contains("__via", F.col("name")), F.lit(False)))
-        rest = is_open.where("NOT __go").select(key, "pointer", "value")
+        named = open_.withColumn("name", name).join(hidden.withColumn("__hidden", F.lit(True)), [key, "name"], "left")
+        named = written(named.withColumn("__go", F.coalesce(F.col("__hidden") & ~F.array_contains("__via", F.col("name")), F.lit(False))), "inlined")
+        rest = named.where("NOT __go").select(key, "pointer", "value")
         done = rest if done is None else done.unionByName(rest)
-        going = is_open.where("__go").select(key, "name", F.regexp_replace("pointer", r"/\$ref$", "").alias("__at"), "__via")
+        going = named.where("__go").select(key, "name", F.regexp_replace("pointer", r"/\$ref$", "").alias("__at"), "__via")
         if going.isEmpty():
             return done
         open_ = going.join(schemas.withColumnRenamed("value", "__v"), [key, "name"]).select(key, F.concat("__at", "below").alias("pointer"), F.col("__v").alias("value"), F.array_append("__via", F.col("name")).alias("__via"))
-    return done.unionByName(open_.select(key, "pointer", "value"))
 
 
 def scheme_texts(codes: DataFrame, template: str, variables: dict[str, str]) -> DataFrame:

@@ -122,7 +122,10 @@ TYPE_NAMES = {
 
 
 def type_name_schema(name: Column) -> Column:
-    """``(type, format, more, ref, wrappers)`` of a type's name: wrappers (``Promise``, ``Awaited``, ``InstanceType``, ``Array`` and ``[]``, ``Set``) are taken off, the last two are listed from the outside; other names are references."""
+    """``(type, format, more, literal, ref, arrays)`` of a type's name: ``Promise``, ``Awaited``, ``InstanceType`` and ``Readonly`` are taken off, ``Array`` and ``[]`` are counted; other names are references.
+
+    What is no name then (maps, unions, object literals) has no value at all: ``type_trees`` reads whole expressions.
+    """
     wrapped, listed = r"^(?:Promise|Awaited|InstanceType|Readonly)<(.+)>$", r"^(?:(?:Array|ReadonlyArray)<(.+)>|(.+)\[\])$"
 
     def peel(state: Column) -> Column:
@@ -144,7 +147,7 @@ def _bare_schema(bare: Column, depth: Column) -> Column:
     kind = F.when(literal, F.when(bare.isin("true", "false"), "boolean").when(bare.rlike("^[\"']"), "string").otherwise("number")).when(known, F.nullif(pick(0), F.lit("")))
     return F.struct(
         kind.alias("type"), F.when(known, F.nullif(pick(1), F.lit(""))).alias("format"), F.when(known, F.nullif(pick(2), F.lit(""))).alias("more"), F.when(literal, F.regexp_replace(bare, "^[\"']|[\"']$", "")).alias("literal"),
-        F.when(~literal & ~known, F.concat(F.lit("#/components/schemas/"), bare)).alias("ref"), depth.alias("arrays"),
+        F.when(~literal & ~known & bare.rlike(r"^[\p{L}_$][\p{L}\p{N}_$.]*$"), F.concat(F.lit("#/components/schemas/"), bare)).alias("ref"), depth.alias("arrays"),
     )
 
 

@@ -35,8 +35,8 @@ def _token(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
-def nodes(documents: DataFrame, key: str, doc: str = "doc") -> DataFrame:
-    """The leaves of documents ``(key, doc variant)`` as ``(key, pointer, value)``; null documents have none. One recursive query; lifts the session's row limit of these."""
+def _walk(documents: DataFrame, key: str, doc: str) -> DataFrame:
+    """Every node of documents as ``(k, pointer, v, kind)``, in one recursive query."""
     roots = f"__loomdoc_{uuid.uuid4().hex}"
     spark = documents.sparkSession
     documents.where(F.col(doc).isNotNull()).select(F.col(key).alias("k"), F.col(doc).alias("v")).createOrReplaceTempView(roots)
@@ -48,9 +48,19 @@ def nodes(documents: DataFrame, key: str, doc: str = "doc") -> DataFrame:
             SELECT w.k, concat(w.pointer, '/', coalesce(replace(replace(e.key, '~', '~0'), '/', '~1'), cast(e.pos AS string))), e.value FROM walk w, LATERAL variant_explode(w.v) e)
         SELECT k, pointer, v, schema_of_variant(v) AS kind FROM walk""")
     spark.catalog.dropTempView(roots)
+    return walk
+
+
+def nodes(documents: DataFrame, key: str, doc: str = "doc") -> DataFrame:
+    """The leaves of documents ``(key, doc variant)`` as ``(key, pointer, value)``; null documents have none. Lifts the session's row limit of recursive queries."""
     value = F.to_json("v")
     inner = F.col("kind").rlike("^(OBJECT|ARRAY)<") & ~value.isin("{}", "[]")
-    return walk.where(~inner).select(F.col("k").alias(key), "pointer", value.alias("value"))
+    return _walk(documents, key, doc).where(~inner).select(F.col("k").alias(key), "pointer", value.alias("value"))
+
+
+def lists(documents: DataFrame, key: str, doc: str = "doc") -> DataFrame:
+    """The pointers ``(key, pointer)`` of lists in documents."""
+    return _walk(documents, key, doc).where("kind LIKE 'ARRAY<%'").select(F.col("k").alias(key), "pointer")
 
 
 def _under(pointer: Column, pattern: str) -> Column:

@@ -148,7 +148,7 @@ def document_checks(spark, sf):
 
 @register(
     "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 3 THEN 'number' WHEN 4 THEN 'object' END AS type, CASE p_size % 6 WHEN 0 THEN 'date-time' WHEN 1 THEN 'int64' END AS format, "
-    "CASE p_size % 6 WHEN 2 THEN '#/components/schemas/P' || p_partkey WHEN 5 THEN '#/components/schemas/Map<string, X>' END AS ref, CASE p_size % 6 WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS arrays, CASE p_size % 6 WHEN 3 THEN '42' END AS literal FROM part"
+    "CASE p_size % 6 WHEN 2 THEN '#/components/schemas/P' || p_partkey END AS ref, CASE p_size % 6 WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS arrays, CASE p_size % 6 WHEN 3 THEN '42' END AS literal FROM part"
 )
 def type_names(spark, sf):
     names = F.array(F.lit("Promise<Date[]>"), F.lit("bigint"), F.concat(F.lit("Array<P"), "p_partkey", F.lit("[]>")), F.lit("42"), F.lit("Readonly<Promise<object>>"), F.lit("Map<string, X>"))
