@@ -1,15 +1,16 @@
 """Chains of schema methods as rows: each call is ``(key, ord, type, method, arg)``, its effect is rows of attributes, and of an attribute's rows the last in the chain counts.
 
-``arg`` is text as it stands in the call (a number, a text, a list between commas or JSON). Values of attributes are text too: numbers and flags as they are written in JSON, texts bare.
+``type`` is a JSON type, or ``tuple`` for a list with fixed items. ``arg`` is text as it stands in the call (a number, a text, a list between commas or JSON). Values of attributes are text too: numbers and flags as they are written in JSON, texts bare.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc.functions import registries
 from loomdoc.functions.text import escape_regex
+from loomdoc.sources.shared import written
 
 #: What a format method comes to; formats that are none of these are registered ones or come to a pattern.
 FORMATS = {
@@ -35,25 +36,29 @@ PLAIN = {
 }
 WITH_ARGUMENT = {"regex": "pattern", "multipleOf": "multipleOf", "step": "multipleOf", "minSize": "minLength", "maxSize": "maxLength", "default": "default"}
 NO_EFFECT = ("optional", "trim", "toLowerCase", "toUpperCase", "finite", "refine", "superRefine", "transform", "overwrite", "nonoptional", "brand", "strip", "exactOptional")
-BOUNDS = {"min": {"string": "minLength", "number": "minimum", "integer": "minimum", "array": "minItems"}, "max": {"string": "maxLength", "number": "maximum", "integer": "maximum", "array": "maxItems"}}
+BOUNDS = {
+    "min": {"string": "minLength", "number": "minimum", "integer": "minimum", "array": "minItems", "tuple": "minItems"}, "max": {"string": "maxLength", "number": "maximum", "integer": "maximum", "array": "maxItems", "tuple": "maxItems"},
+}
 CHECKS = {"gt": "min", "gte": "min", "lt": "max", "lte": "max", "minLength": "min", "maxLength": "max", "minimum": "min", "maximum": "max"}
 OTHER = ("describe", "length", "nonempty", "rest", "startsWith", "endsWith", "includes", "safe", "mime", "prefault", "catch", "meta", "passthrough", "catchall", "strict", "min", "max")
 KNOWN = (*FORMAT_METHODS, *PLAIN, *WITH_ARGUMENT, *NO_EFFECT, *OTHER)
 
 
 def format_effects(name: Column) -> Column:
-    """What a format's name sets, as ``(attribute, value)`` rows: a registered format, an encoding, either of two formats (``anyOf``), a media type; ``unregistered`` for any other, with a pattern (where the chain has none) if one is known."""
+    """What a format's name sets, as ``(attribute, value)`` rows: a registered format; an encoding, a media type or ``unregistered`` (with a pattern, where the chain has none, if one is known) in place of a format;
+    either of two formats (``anyOf``) in place of all that the chain has set (``*``)."""
     one = lambda a, v: F.array(F.struct(F.lit(a).alias("attribute"), (F.lit(v) if isinstance(v, str) else v).alias("value")))
     table = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
     either = {k: "|".join(v) for k, v in EITHER.items()}
+    gone = one("format", F.lit(None).cast("string"))
     return (
         F.when(F.map_contains_key(table(FORMATS), name), one("format", F.try_element_at(table(FORMATS), name)))
-        .when(F.map_contains_key(table(either), name), one("anyOf", F.try_element_at(table(either), name)))
-        .when(F.map_contains_key(table(ENCODINGS), name), one("contentEncoding", F.try_element_at(table(ENCODINGS), name)))
-        .when(name == "binary", one("contentMediaType", "application/octet-stream"))
+        .when(F.map_contains_key(table(either), name), F.concat(one("*", F.lit(None).cast("string")), one("anyOf", F.try_element_at(table(either), name))))
+        .when(F.map_contains_key(table(ENCODINGS), name), F.concat(gone, one("contentEncoding", F.try_element_at(table(ENCODINGS), name))))
+        .when(name == "binary", F.concat(gone, one("contentMediaType", "application/octet-stream")))
         .when(registries.is_registered_format(name), one("format", name))
-        .when(F.map_contains_key(table(PATTERNS), name), F.concat(one("unregistered", name), one("?pattern", F.try_element_at(table(PATTERNS), name))))
-        .otherwise(one("unregistered", name))
+        .when(F.map_contains_key(table(PATTERNS), name), F.concat(gone, one("unregistered", name), one("?pattern", F.try_element_at(table(PATTERNS), name))))
+        .otherwise(F.concat(gone, one("unregistered", name)))
     )
 
 
@@ -63,7 +68,7 @@ def effects(kind: Column, method: Column, arg: Column) -> Column:
     none = F.array().cast("array<struct<attribute:string,value:string>>")
     bound = {m: F.create_map(*[F.lit(x) for p in t.items() for x in p]) for m, t in BOUNDS.items()}
     low, high = F.try_element_at(bound["min"], kind), F.try_element_at(bound["max"], kind)
-    sized = kind.isin("string", "array")
+    sized = kind.isin("string", "array", "tuple")
     number = F.when(arg.rlike(r"^-?\d+(\.\d+)?$"), arg)
     items = F.filter(F.transform(F.split(arg, ","), lambda x: F.trim(x)), lambda x: x != "")
     words = F.trim(F.regexp_replace(arg, "^@deprecated", ""))
@@ -76,14 +81,16 @@ def effects(kind: Column, method: Column, arg: Column) -> Column:
     out = out.when((method == "min") & low.isNotNull() & number.isNotNull(), F.array(pair(low, number))).when((method == "max") & high.isNotNull() & number.isNotNull(), F.array(pair(high, number)))
     out = out.when((method == "length") & sized & number.isNotNull(), F.array(pair(low, number), pair(high, number)))
     out = out.when((method == "nonempty") & sized, F.array(pair(F.concat(F.lit("+"), low), "1")))
-    out = out.when((method == "rest") & (kind == "array"), F.array(pair("maxItems", F.lit(None)), pair("items", arg)))
+    out = out.when((method == "rest") & (kind == "array"), F.array(pair("maxItems", F.lit(None)))).when((method == "rest") & (kind == "tuple"), F.array(pair("maxItems", F.lit(None)), pair("items", arg)))
     out = out.when(method == "startsWith", F.array(pair("pattern", F.concat(F.lit("^"), escape_regex(arg))))).when(method == "endsWith", F.array(pair("pattern", F.concat(escape_regex(arg), F.lit("$"))))).when(method == "includes", F.array(pair("pattern", escape_regex(arg))))
     out = out.when(method == "safe", F.array(pair("minimum", "-9007199254740991"), pair("maximum", "9007199254740991")))
     out = out.when((method == "mime") & (F.size(items) == 1), F.array(pair("contentMediaType", items[0]))).when((method == "mime") & (F.size(items) > 1), F.array(pair("contentMediaType", F.lit(None)), pair("x-contentMediaTypes", F.array_join(items, ","))))
     out = out.when(method.isin("prefault", "catch") & arg.isNotNull(), F.array(pair("?default", arg)))
-    fields = F.from_json(arg, "map<string,string>")
-    members = F.filter(F.map_entries(fields), lambda e: (e["key"] != "id") & ((e["key"] != "deprecated") | (e["value"] == "true")))
-    out = out.when((method == "meta") & fields.isNotNull(), F.transform(members, lambda e: pair(e["key"], e["value"])))
+    # a title and a description are texts, examples are a list and deprecated is true, or they do nothing; anything else is taken as it is
+    fields = F.from_json(arg, "map<string,variant>")
+    of = lambda e: F.schema_of_variant(e["value"])
+    fits = lambda e: F.when(e["key"].isin("title", "description"), of(e) == "STRING").when(e["key"] == "examples", of(e).startswith("ARRAY")).when(e["key"] == "deprecated", F.to_json(e["value"]) == "true").otherwise(e["key"] != "id")
+    out = out.when((method == "meta") & fields.isNotNull(), F.transform(F.filter(F.map_entries(fields), fits), lambda e: pair(e["key"], F.when(of(e) == "STRING", F.try_variant_get(e["value"], "$", "string")).otherwise(F.to_json(e["value"])))))
     out = out.when((method == "catchall") & (kind == "object"), F.array(pair("additionalProperties", F.coalesce(arg, F.lit("true"))))).when((method == "passthrough") & (kind == "object"), F.array(pair("additionalProperties", "true")))
     out = out.when((method == "strict") & (kind == "object"), F.array(pair("additionalProperties", "false")))
     return F.coalesce(out, none)
@@ -97,6 +104,9 @@ def chain_attributes(calls: DataFrame, keys: list[str]) -> DataFrame:
     method = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in CHECKS.items() for x in p]), F.col("method")), F.col("method"))
     each = calls.select(*keys, "ord", F.posexplode(effects(F.col("type"), method, F.col("arg"))).alias("__i", "__e")).select(*keys, "ord", "__i", F.regexp_replace("__e.attribute", r"^[+?]", "").alias("attribute"), F.substr("__e.attribute", F.lit(1), F.lit(1)).alias("__how"), "__e.value")
     plain = F.col("__how").isin("+", "?")
+    # a call that begins anew takes away what stands before it
+    anew = F.max(F.when(F.col("attribute") == "*", F.struct("ord", "__i"))).over(Window.partitionBy(*keys))
+    each = each.withColumn("__anew", anew).where("__anew IS NULL OR struct(ord, __i) > __anew")
     last = each.groupBy(*keys, "attribute").agg(
         F.max_by(F.struct("value"), F.when(~plain, F.struct("ord", "__i"))).alias("__set"), F.max(F.when(~plain, F.col("ord"))).alias("__at"), F.min_by(F.struct("value"), F.when(F.col("__how") == "?", F.col("ord"))).alias("__else"),
         F.max(F.when(F.col("__how") == "+", F.col("ord"))).alias("__raised"),
@@ -152,17 +162,31 @@ def _bare_schema(bare: Column, depth: Column) -> Column:
 
 
 def enum_schema(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Enums of member rows ``(keys, ord, name, value)``: numbers if any value is a number, members with 0 or no value by their names, values in order."""
+    """Enums of member rows ``(keys, ord, name, value)``: numbers if any value is a number, members with 0, an empty or no value by their names, values in order."""
     numeric = F.max(F.coalesce(F.col("value").rlike(r"^-?\d+(\.\d+)?$"), F.lit(False)))
-    shown = F.when(F.coalesce("value", F.lit("0")) == "0", F.col("name")).otherwise(F.col("value"))
+    shown = F.when(F.coalesce("value", F.lit("")).isin("", "0"), F.col("name")).otherwise(F.col("value"))
     return members.groupBy(*keys).agg(F.when(numeric, "number").otherwise("string").alias("type"), F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("v")))), lambda x: x["v"]).alias("enum"))
 
 
 def extended_interfaces(properties: DataFrame, parents: DataFrame) -> DataFrame:
-    """Properties ``(owner, name, value, required)`` of interfaces with those of their parents ``(owner, parent)`` that they lack; a parent's properties are copied without being required."""
-    own = properties.withColumn("__rank", F.lit(0))
-    more = parents.join(properties.withColumnRenamed("owner", "parent"), "parent").select("owner", "name", "value", F.lit(False).alias("required"), F.lit(1).alias("__rank"))
-    return own.unionByName(more).groupBy("owner", "name").agg(F.min_by(F.struct("value", "required"), "__rank").alias("__p")).select("owner", "name", "__p.*")
+    """Properties ``(owner, name, value, required)`` of interfaces with those of all their ancestors ``(owner, parent, ord)`` that they lack, which are not required; of two parents' properties the later parent's counts.
+
+    Without ``ord`` parents go by name. Each round goes one generation up; an interface that leads back to itself adds nothing there.
+    """
+    ranked = parents if "ord" in parents.columns else parents.withColumn("ord", F.row_number().over(Window.partitionBy("owner").orderBy("parent")))
+    above = written(ranked.where("owner IS NOT NULL AND parent IS NOT NULL").select(F.col("owner").alias("child"), "parent", (-F.col("ord")).cast("long").alias("place")), "parents")
+    # the way up to an ancestor: of two the one counts that is less, so a nearer one before a farther one on its way, and a later parent before an earlier one
+    way = written(above.select(F.col("child").alias("owner"), F.col("parent").alias("at"), F.array("place").alias("way"), F.array("child", "parent").alias("seen")).where("owner <> at"), "ancestors")
+    found = None
+    while way.take(1):
+        found = way.select("owner", "at", "way") if found is None else written(found.unionByName(way.select("owner", "at", "way")), "ancestors")
+        up = way.join(above, F.col("at") == F.col("child")).where("NOT array_contains(seen, parent)")
+        way = written(up.select("owner", F.col("parent").alias("at"), F.array_append("way", F.col("place")).alias("way"), F.array_append("seen", F.col("parent")).alias("seen")), "ancestors")
+    own = properties.select("owner", "name", "value", "required", F.array().cast("array<bigint>").alias("way"))
+    if found is not None:
+        more = found.join(properties.select(F.col("owner").alias("at"), "name", "value"), "at").select("owner", "name", "value", F.lit(False).alias("required"), "way")
+        own = own.unionByName(more)
+    return own.groupBy("owner", "name").agg(F.min_by(F.struct("value", "required"), "way").alias("__p")).select("owner", "name", "__p.*")
 
 
 def template_pattern(parts: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import merges, predicates, schema_versions, text
 from loomdoc.functions.jsonpath import query_json_path
 from loomdoc.operators import diagnostics, documents, lookups, overlay, records, workflows
-from loomdoc.plans import api_queries, catalog_queries, schema_queries, tree_queries  # noqa: F401
+from loomdoc.plans import api_queries, catalog_queries, helper_queries, schema_queries, tree_queries  # noqa: F401
 from loomdoc.plans.named import QUERIES, Query
 from loomdoc.plans.named import register as _register
 from loomdoc.sources.tables import table

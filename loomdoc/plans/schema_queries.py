@@ -80,7 +80,7 @@ def _calls(spark, sf):
     made = (
         F.when(F.col("m") == 0, F.array(call("string", "min", q), call("string", "email", None), call("string", "min", "3"), call("string", "nonempty", None), call("string", "trim", None)))
         .when(F.col("m") == 1, F.array(call("number", "min", q), call("number", "positive", None), call("number", "int", None), call("integer", "lte", "900"), call("number", "catch", "1"), call("number", "default", q)))
-        .when(F.col("m") == 2, F.array(call("array", "length", q), call("array", "rest", "#/R"), call("array", "meta", '{"id":"x","title":"T"}'), call("array", "nullable", None), call("array", "describe", "@deprecated old")))
+        .when(F.col("m") == 2, F.array(call("tuple", "length", q), call("tuple", "rest", "#/R"), call("array", "meta", '{"id":"x","title":"T"}'), call("array", "nullable", None), call("array", "describe", "@deprecated old")))
         .otherwise(F.array(call("string", "ulid", None), call("string", "startsWith", "a.b"), call("string", "mime", "a/b, c/d"), call("object", "strict", None), call("string", "odd", None)))
     )
     return lines.select("l_orderkey", "l_linenumber", F.posexplode(made).alias("ord", "c")).select("l_orderkey", "l_linenumber", "ord", "c.*")
