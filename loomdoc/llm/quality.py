@@ -1,10 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of byte 4-grams, trained on trusted text.
 
 Counts of all trusted text are combined in the tasks and sharded by language and context; the discounts, context masses and lower-order continuation
-counts are joined shard by shard to interpolated probabilities, one set for each language and a pooled one. Every place of every text is scored exactly: the rows
-of the most frequent contexts are a head of a bounded size that tasks hold. A language whose contexts all fit is scored by it alone; of any other, places outside the head leave the task as counts of grams for
-each document and are joined with the sharded probabilities, back off by back off, and summed. The head changes the work alone, not a result. A document is kept if its perplexity is within its language's bar, which is set by quantiles over
-the trusted documents of that language.
+counts are joined shard by shard to interpolated probabilities, one set for each language and a pooled one. Every place of every text is scored exactly, in one way at every size: places leave the task as counts of
+grams for each document and are joined with the sharded probabilities, back off by back off, and summed. Contexts as frequent as spaces would be hot keys there, so the rows of those that make up ``HEAD_SHARE`` of a language's trusted text
+are a head that tasks hold, and whose places are summed before rows leave; its size has a bound, beyond which it covers less. The head changes the work alone, not a result. A document is kept if its perplexity is within its
+language's bar, which is set by quantiles over the trusted documents of that language.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from loomdoc.llm.byte_contexts import Tables, count_grams, places, raw_texts, text_sums
 from loomdoc.llm.common import byte_batches, giving_back, written
 
-#: Numbers in the head at most (32 MB before compression). Contexts beyond it are scored by joins.
-HEAD_CELLS = 4_000_000
+#: The part of each language's trusted places whose contexts, the most frequent ones, are in the head, and the head's numbers at most (32 MB before compression).
+HEAD_SHARE, HEAD_CELLS = 0.99, 4_000_000
 
 #: Symbols: letters by case, one for digits, space, newline, each punctuation, one for other control bytes, each byte from 128 up.
 CLASSES = np.zeros(256, np.uint8)
@@ -79,11 +79,10 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.select("lang", "k", "gram", "p"), written(every.groupBy("lang", "k", "context").agg(F.first("gamma").alias("gamma"), F.max("mass").alias("mass")), "kn-contexts")
 
 
-def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list[str], cells: int = HEAD_CELLS) -> tuple[Tables, list[bool]]:
-    """The head, and for each model whether it is whole: the rows of the contexts of three symbols that stand most often, whole frequency classes over all models, as far as there is room.
+def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list[str], cells: int = HEAD_CELLS, share: float = HEAD_SHARE) -> Tables:
+    """The head: of each model the rows of the contexts of three symbols that stand most often, whole frequency classes at a time until they make up ``share`` of its places; the rarest classes of all models go while there is no room.
 
-    A row has a column for each symbol that the model has seen and one for all others. A model with all its contexts in the head backs off to the rows of their suffixes; places outside the head of
-    another one are joined.
+    A row has a column for each symbol that the model has seen and one for all others.
     """
     seen = counts.select("lang", (F.col("gram") % SYMBOLS).alias("s")).distinct().groupBy("lang").agg(F.sort_array(F.collect_list("s")).alias("s")).collect()  # at most SYMBOLS for each language
     columns = {}
@@ -91,24 +90,29 @@ def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list
         columns[row["lang"]] = np.full(SYMBOLS, len(row["s"]))
         columns[row["lang"]][row["s"]] = np.arange(len(row["s"]))
     ranked = written(counts.groupBy("lang", F.floor(F.col("gram") / SYMBOLS).alias("context")).agg(F.sum("n").alias("n")).withColumn("f", F.floor(F.log2("n") * 4).cast("int")), "contexts")
-    held, least = 0, 1 << 30
-    sizes: dict[int, int] = {}
+    classes = ranked.groupBy("f", "lang").agg(F.count("*").alias("contexts"), F.sum("n").alias("places")).collect()  # at most four rows for each power of two and language
     total: dict[str, int] = {}
-    for row in ranked.groupBy("f", "lang").count().collect():  # at most four rows for each power of two and language
-        sizes[row["f"]] = sizes.get(row["f"], 0) + row["count"] * (columns[row["lang"]].max() + 1)
-        total[row["lang"]] = total.get(row["lang"], 0) + row["count"]
-    for f in sorted(sizes, reverse=True):
-        held += sizes[f]
-        if held > cells:
-            break
-        least = f
-    three = ranked.where(F.col("f") >= least).select("lang", F.lit(4).alias("k"), "context")
+    for row in classes:
+        total[row["lang"]] = total.get(row["lang"], 0) + row["places"]
+    inside, reached = [], dict.fromkeys(total, 0)
+    for row in sorted(classes, key=lambda r: (-r["f"], r["lang"])):
+        if reached[row["lang"]] < share * total[row["lang"]]:
+            reached[row["lang"]] += row["places"]
+            inside.append((row["f"], row["lang"], row["contexts"] * (int(columns[row["lang"]].max()) + 1)))
+    while sum(size for _, _, size in inside) > cells:
+        rarest = inside[-1][0]
+        inside = [x for x in inside if x[0] > rarest]
+    least: dict[str, int] = {}
+    for f, lang, _ in inside:
+        least[lang] = min(f, least.get(lang, f))
+    enough = reduce(lambda rest, m: F.when(F.col("lang") == m[0], F.lit(m[1])).otherwise(rest), least.items(), F.lit(1 << 30))
+    three = ranked.where(F.col("f") >= enough).select("lang", F.lit(4).alias("k"), "context")
     kept = three.union(three.select("lang", F.lit(3), F.col("context") % SYMBOLS**2).distinct()).union(three.select("lang", F.lit(2), F.col("context") % SYMBOLS).distinct())
     kept = written(kept.union(three.select("lang", F.lit(1), F.lit(0).cast("long")).distinct()), "head")
     rows = grams.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).join(kept, ["lang", "k", "context"], "left_semi").select("lang", "k", "gram", "p").toArrow()
     weights = contexts.join(kept, ["lang", "k", "context"], "left_semi").select("lang", "k", "context", "gamma").toArrow()
     lists = kept.toArrow()
-    models, whole = {}, []
+    models = {}
     for lang in langs:
         own = lambda t: t.filter(pa.compute.equal(t.column("lang"), lang))  # noqa: E731, B023
         r, w, c = own(rows), own(weights), own(lists)
@@ -128,18 +132,11 @@ def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list
             parent[np.searchsorted(wanted, gram // SYMBOLS), place[gram % SYMBOLS]] = r_p[r_k == k]
             before = wanted
             made.append((wanted, parent))
-        complete = len(before) == total[lang] and len(made[0][1]) == 1
-        whole.append(complete)
-        one = np.ones((SYMBOLS, width))
-        if complete:
-            one[:] = made[0][1]
-            one[made[1][0]] = made[1][1]
-        two = made[2] if complete else (np.zeros(0, np.int64), np.zeros((0, width)))
-        models[lang] = two[0], before, -np.log2(np.concatenate([one, two[1], parent]))
-    return Tables(CLASSES, SYMBOLS, models, columns), whole
-
-
-def _scorer(shared, whole: list[bool], n_keep: int, text: int):
+        models[lang] = np.zeros(0, np.int64), before, -np.log2(np.concatenate([np.ones((SYMBOLS, width)), parent]))
+    return Tables(CLASSES, SYMBOLS, models, columns)
+
+
+def _scorer(shared, n_keep: int, text: int):
     """Rows (kept columns, row, model, n_symbols, bits in the head, n: grams outside it), and rows (row, model, gram, n) for these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +159,6 @@ def _scorer(shared, whole: list[bool], n_keep: int, text: int):
                     if not own.any():
                         continue
                     found = head.model(int(k))[0].of(context[own])
-                    if whole[k]:
-                        value[own] = head.lengths(int(k), np.where(found < 0, -1 - found, found), symbol[own])
-                        continue
                     inside = found >= 0
                     value[np.flatnonzero(own)[inside]] = head.lengths(int(k), found[inside], symbol[own][inside])
                     if not inside.all():
@@ -188,7 +182,7 @@ def _scorer(shared, whole: list[bool], n_keep: int, text: int):
 class QualityModel:
     """The sharded probabilities ``grams (lang, k, gram, p)`` and ``contexts (lang, k, context, gamma)``, the head, each model's bar of log2 perplexity."""
 
-    def __init__(self, grams: DataFrame, contexts: DataFrame, head: tuple[Tables, list[bool]], bars: dict[str, float]):
+    def __init__(self, grams: DataFrame, contexts: DataFrame, head: Tables, bars: dict[str, float]):
         self.grams, self.contexts, self.head, self.bars = grams, contexts, head, bars
 
 
@@ -205,19 +199,16 @@ def gram_bits(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataF
     return found.select("model", "gram", (-F.log2(p)).alias("each"))
 
 
-def score(docs: DataFrame, grams: DataFrame, contexts: DataFrame, head: tuple[Tables, list[bool]], keep: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, grams: DataFrame, contexts: DataFrame, head: Tables, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, ``model``, ``n_symbols`` and ``bits`` (a symbol) of every row of ``docs``."""
     byte_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     columns = [*keep, *(["text"] if "text" not in keep else [])]
     schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "row long, model string, n_symbols long, bits double, gram long, n long"])
     chosen = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.monotonically_increasing_id().alias("__row"), F.col("lang").alias("__lang"))
-    tables, whole = head
-    passed = chosen.mapInArrow(giving_back(_scorer(tables.shared(docs.sparkSession), whole, len(keep), columns.index("text"))), schema)
+    passed = chosen.mapInArrow(giving_back(_scorer(head.shared(docs.sparkSession), len(keep), columns.index("text"))), schema)
     mean = lambda total: F.when(F.col("n_symbols") > 0, total / F.col("n_symbols")).otherwise(0.0).alias("bits")
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
-    if all(whole):
-        return passed.select(*kept, "model", "n_symbols", mean(F.col("bits")))
     passed = written(passed, "scored")
     away = passed.where("gram IS NOT NULL").select("row", "model", "gram", "n")
     each = written(gram_bits(away.select("model", "gram").distinct(), grams, contexts), "gram-bits")
@@ -228,7 +219,7 @@ def score(docs: DataFrame, grams: DataFrame, contexts: DataFrame, head: tuple[Ta
     return rows.where("n = 0").select(*kept, "model", "n_symbols", mean(F.col("bits"))).union(joined)
 
 
-def fit(docs: DataFrame, labels: DataFrame, cells: int = HEAD_CELLS) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, cells: int = HEAD_CELLS, share: float = HEAD_SHARE) -> QualityModel | None:
     """A model of the trusted part of ``docs (doc_id, text, lang)``; None where no text is trusted.
 
     Each language of at least LEAST_DOCS trusted documents has a model and a bar; one of all trusted text serves the others. A repeated document counts as often as it stands.
@@ -244,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, cells: int = HEAD_CELLS) -> QualityM
         return None
     counts = written(by_lang.where(F.col("lang").isin(langs[:-1])).union(pooled), "counts")
     grams, contexts = kneser_ney(counts)
-    head = freeze(grams, contexts, counts, langs, cells)
+    head = freeze(grams, contexts, counts, langs, cells, share)
     scored = written(score(good, grams, contexts, head, ()), "trusted-scores")
     quantiles = lambda df: df.agg(F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(UPPER)), 10_000).alias("q"))
     bars = {row["model"]: row["q"] for row in quantiles(scored.groupBy("model")).collect()}

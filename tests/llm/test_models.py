@@ -41,16 +41,16 @@ def brute_kneser_ney(texts):
     return p
 
 
-@pytest.mark.parametrize(("parts", "cells"), [(1, quality.HEAD_CELLS), (7, 40 * S), (50, 0)])
-def test_quality_equals_brute_force(spark, parts, cells):
-    """Perplexities under each language's model, with a whole head, a small one and none, dealt over 1, 7 and 50 partitions."""
+@pytest.mark.parametrize(("parts", "cells", "share"), [(1, quality.HEAD_CELLS, quality.HEAD_SHARE), (1, quality.HEAD_CELLS, 1.0), (7, 40 * S, 0.9), (50, 0, 0.5)])
+def test_quality_equals_brute_force(spark, parts, cells, share):
+    """Perplexities under each language's model, with a head of nearly all places, of all, a small one and none, dealt over 1, 7 and 50 partitions."""
     rnd = random.Random(7)
     words = {"en": ["the", "of", "Tree", "12", "ink,"], "fr": ["été", "le", "où", "Ça!", "7"], "xx": ["qq"]}
     rows = [(i, " ".join(rnd.choices(words[lang], k=rnd.randint(1, 12))), lang) for i, lang in enumerate(["en"] * 25 + ["fr"] * 22 + ["xx"] * 3)]
     rows += [(50, None, "en"), (51, "", "fr"), (52, "%% zz été \n the 99", None), (53, "never 日本", "de"), (0, "the of", "en"), (None, "the été", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 50)] + [(52, 0, 0)], "doc_id long, quality int, toxic int")
-    model = quality.fit(docs, labels, cells)
+    model = quality.fit(docs, labels, cells, share)
     got = quality.classify(docs.withColumn("model", F.lit(1)).withColumn("row", F.lit("clash")), model, ("doc_id", "text", "lang", "model", "row")).collect()
     assert len(got) == len(rows)
     good = [r for r in rows if r[0] is not None and 1 <= r[0] < 50]
