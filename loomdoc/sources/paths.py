@@ -21,7 +21,7 @@ def nearest_files(places: DataFrame, files: DataFrame, names: list[str], place:
     ``places`` are files or folders with their slash at the end (a folder holds itself), ``files`` has ``path``. Places without any file have no row.
     """
     p = F.col(place)
-    asked = places.select(place).distinct().select(place, F.posexplode(ancestors(F.when(p.endswith("/"), F.concat(p, F.lit("x"))).otherwise(p))).alias("depth", "folder"))
+    asked = places.where(p.isNotNull()).select(place).distinct().select(place, F.posexplode(ancestors(F.when(p.endswith("/"), F.concat(p, F.lit("x"))).otherwise(p))).alias("depth", "folder"))
     f = F.col("marker")
     parent = F.when(~f.contains("/"), ".").otherwise(F.coalesce(F.nullif(F.regexp_replace(f, "/+[^/]*$", ""), F.lit("")), F.lit("/")))
     order = F.array_position(F.array(*[F.lit(n) for n in names]), F.substring_index(f, "/", -1))
