@@ -17,18 +17,26 @@ from loomdoc.functions.registries import EXTENSIONS, VERSIONS
 from loomdoc.operators.diagnostics import rows_where
 from loomdoc.sources.shared import written
 
-#: Where fields stand that older versions hold as extensions (a pattern of the pointer before the field).
-_CONTENT = r"(?:/[^/]+)*/content/[^/]+"
-_EXAMPLE = r"(?:/[^/]+)*/examples/[^/]+"
-_RESPONSE = r"(?:(?:/[^/]+)*/responses/[^/]+)"
+#: The grammar of a document from its root. What stands in values, examples' values, schemas and extensions is in none of these places.
+_ITEM = r"/(?:paths|webhooks)/[^/]+"
+_OPERATION = rf"{_ITEM}/(?:get|put|post|delete|options|head|patch|trace|query|additionalOperations/[^/]+)"
+_PARAMETER = rf"(?:{_ITEM}/parameters/\d+|{_OPERATION}/parameters/\d+|/components/parameters/[^/]+)"
+_BODY = rf"(?:{_OPERATION}/requestBody|/components/requestBodies/[^/]+)"
+_RESPONSE = rf"(?:{_OPERATION}/responses/[^/]+|/components/responses/[^/]+)"
+_CONTENT = rf"(?:{_PARAMETER}|{_BODY}|{_RESPONSE})/content/[^/]+"
+_EXAMPLE = rf"(?:{_PARAMETER}|{_CONTENT})/examples/[^/]+"
+_SCHEME = r"/components/securitySchemes/[^/]+"
+
+#: Where fields stand that older versions hold as extensions, and those of them that no version takes back.
 PLACES = {
     "$self": "", "identifier": "/info/license", "name": r"/servers/\d+", "summary": _RESPONSE, "itemSchema": _CONTENT, "itemEncoding": _CONTENT, "prefixEncoding": _CONTENT, "dataValue": _EXAMPLE, "serializedValue": _EXAMPLE,
-    "deviceAuthorization": r"/components/securitySchemes/[^/]+/flows", "deprecated": r"/components/securitySchemes/[^/]+",
+    "deviceAuthorization": rf"{_SCHEME}/flows", "deprecated": _SCHEME,
 }
+ONLY_DOWN = ("itemSchema", "deprecated")
 
 #: What a version drops (from the version in front on, it is kept).
 DROPPED = (("3.1", r"^/jsonSchemaDialect(/|$)"), ("3.1", r"^/webhooks(/|$)"), ("3.2", r"^/components/mediaTypes(/|$)"), ("3.2", r"^/tags/\d+/(summary|parent|kind)(/|$)"), ("3.2", r"^/components/securitySchemes/[^/]+/oauth2MetadataUrl(/|$)"))
-_ITEM = r"^(/(?:paths|webhooks)/[^/]+)"
+_PATH = rf"^({_ITEM})"
 
 
 def _token(key: Column) -> Column:
@@ -71,7 +79,8 @@ def _under(pointer: Column, pattern: str) -> Column:
 def move_extensions(rows: DataFrame, key: str, version: str) -> DataFrame:
     """Nodes with fields that a version lacks under their extensions' names and with extensions of fields that it has under the fields' names.
 
-    A field takes the place of an extension that is there too when it moves down; an extension stays where its field is there. References without a description keep their summary.
+    A field takes the place of an extension that is there too when it moves down; an extension stays where its field is there. Responses that are references without a description keep their summary, examples that are references
+    their values.
     Each node names the places whose field or extension it lies in; what moves is decided once for each place and joined back to these nodes alone.
     """
     rank, p = VERSIONS.index(version), F.col("pointer")
@@ -79,8 +88,10 @@ def move_extensions(rows: DataFrame, key: str, version: str) -> DataFrame:
     for field, place in PLACES.items():
         extension, since = EXTENSIONS[field]
         down = rank < VERSIONS.index(since)
+        if field in ONLY_DOWN and not down:
+            continue
         source, goal = (field, extension) if down else (extension, field)
-        for name, side in ((source, "from"), (goal, "to"), *((("$ref", "ref"), ("description", "said")) if field == "summary" else ())):
+        for name, side in ((source, "from"), (goal, "to"), *((("$ref", "ref"), ("description", "said")) if field == "summary" else (("$ref", "ref"),) if place == _EXAMPLE else ())):
             at = _under(p, f"{place}/{name.replace('$', chr(92) + '$')}")
             hit = F.struct(F.lit(field).alias("field"), F.regexp_replace(at, r"/[^/]*$", "").alias("parent"), F.lit(side).alias("side"), F.lit(goal).alias("goal"), F.lit(down).alias("down"), F.length(at).alias("length"))
             found.append(F.when(at != "", hit))
@@ -102,10 +113,10 @@ def path_items(rows: DataFrame, key: str, version: str) -> DataFrame:
     p = F.col("pointer")
     extension = "x-oai-additionalOperations"
     if VERSIONS.index(version) < VERSIONS.index("3.2"):
-        new = F.regexp_replace(F.regexp_replace(p, _ITEM + r"/query(/|$)", rf"$1/{extension}/query$2"), _ITEM + r"/additionalOperations(/|$)", rf"$1/{extension}$2")
+        new = F.regexp_replace(F.regexp_replace(p, _PATH + r"/query(/|$)", rf"$1/{extension}/query$2"), _PATH + r"/additionalOperations(/|$)", rf"$1/{extension}$2")
     else:
-        new = F.regexp_replace(F.regexp_replace(p, _ITEM + rf"/{extension}/query(/|$)", "$1/query$2"), _ITEM + rf"/{extension}(/|$)", "$1/additionalOperations$2")
-    moved = rows.withColumns({"__new": new, "__root": F.regexp_extract(new, _ITEM + rf"/(?:query|additionalOperations/[^/]+|{extension}/[^/]+)(?=/|$)", 0)})
+        new = F.regexp_replace(F.regexp_replace(p, _PATH + rf"/{extension}/query(/|$)", "$1/query$2"), _PATH + rf"/{extension}(/|$)", "$1/additionalOperations$2")
+    moved = rows.withColumns({"__new": new, "__root": F.regexp_extract(new, _PATH + rf"/(?:query|additionalOperations/[^/]+|{extension}/[^/]+)(?=/|$)", 0)})
     stay = moved.where("__root <> '' AND __new = pointer").select(key, "__root").distinct()
     clash = moved.where("__root <> '' AND __new <> pointer").join(stay, [key, "__root"], "left_anti")
     return moved.where("__root = '' OR __new = pointer").unionByName(clash).select(key, F.col("__new").alias("pointer"), "value")
@@ -121,20 +132,24 @@ def examples_as_values(rows: DataFrame, key: str) -> DataFrame:
 
 
 def finalize(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """Nodes of documents for a version: what it lacks is dropped or held as an extension, what it has is native again, ``openapi`` says the version. Schemas are left to ``schema_versions``."""
+    """Nodes of documents for a version: what it lacks is dropped or held as an extension, what it has is native again, ``openapi`` says the version.
+
+    Fields are known by their place in a document's structure, so example payloads, extensions and schemas may hold the same names; schemas are left to ``schema_versions``. Operations that an extension holds
+    move as they are.
+    """
     rank = VERSIONS.index(version)
     rows = written(rows, "nodes")
     for since, pattern in DROPPED:
         if rank < VERSIONS.index(since):
             rows = rows.where(~F.col("pointer").rlike(pattern))
-    rows = path_items(rows, key, version)
     if rank < VERSIONS.index("3.2"):
         rows = examples_as_values(rows, key)
-        location = F.col("pointer").rlike(r"/parameters/[^/]+/in$") & (F.col("value") == '"querystring"')
+        location = F.col("pointer").rlike(rf"^{_PARAMETER}/in$") & (F.col("value") == '"querystring"')
         rows = rows.withColumn("value", F.when(location, F.lit('"query"')).otherwise(F.col("value")))
-    rows = move_extensions(rows, key, version)
+    rows = path_items(move_extensions(rows, key, version), key, version)
     said = {"3.0": "3.0.0", "3.1": "3.1.0", "3.2": "3.2.0"}.get(version, version)
-    return rows.withColumn("value", F.when(F.col("pointer") == "/openapi", F.lit(f'"{said}"')).otherwise(F.col("value")))
+    head = rows.select(key).distinct().select(key, F.lit("/openapi").alias("pointer"), F.lit(f'"{said}"').alias("value"))
+    return rows.where("pointer <> '/openapi'").unionByName(head)
 
 
 def tag_definitions(rows: DataFrame, key: str, version: str) -> DataFrame:

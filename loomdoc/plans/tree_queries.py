@@ -140,3 +140,29 @@ def aliased_imports(spark, sf):
     source = F.when(k % 5 == 0, F.concat(F.lit("@/lib/x"), k)).when(k % 5 == 1, F.concat(F.lit("@/b"), "p_size")).when(k % 5 == 2, "@/exact").when(k % 5 == 3, "@/exact/y").otherwise(F.concat(F.lit("react"), "p_size"))
     aliases = spark.createDataFrame([("@/*", "src/*"), ("@/lib/*", "src/lib/*"), ("@/exact", "only/exact"), ("~/*", "home/*")], "alias string, path string")
     return paths.aliased(table(spark, sf, "part").select("p_partkey", source.alias("source")), aliases).select("p_partkey", "target")
+
+
+_AT = "/paths/~1a/get/parameters/0"
+_OUT = "/paths/~1a/get/responses/200"
+_STRUCTURE = (
+    ("/openapi", """'"3.1.0"'"""), (f"{_AT}/in", """'"query"'"""), (f"{_AT}/name", """'"q"'"""), (f"{_AT}/examples/e/x-oai-dataValue/examples/z/dataValue", "k"), (f"{_AT}/examples/e/x-oai-dataValue/parameters/0/in", """'"querystring"'"""),
+    (f"{_AT}/examples/e/value/examples/z/dataValue", "k"), (f"{_AT}/examples/e/value/parameters/0/in", """'"querystring"'"""), (f"{_AT}/examples/r/$ref", """'"#/x"'"""), (f"{_AT}/examples/r/dataValue", "'2'"), (f"{_OUT}/x-oai-summary", """'"s"'"""),
+    (f"{_OUT}/description", """'"d"'"""), (f"{_OUT}/content/m~1t/x-oai-itemSchema/properties/responses/properties/summary/type", "k"), (f"{_OUT}/content/m~1t/x-own/responses/200/summary", "k"), ("/components/securitySchemes/S/x-oai-deprecated", "'true'"),
+    ("/components/schemas/responses/properties/summary/examples/e/dataValue", "k"), ("/x-team/paths/~1a/get/responses/200/summary", "k"),
+)
+
+
+@register(" UNION ALL ".join(f"SELECT p_partkey, '{pointer}' AS pointer, {'CAST(p_partkey AS VARCHAR)' if value == 'k' else value} AS value FROM part WHERE p_partkey % 3 > 0 OR '{pointer}' <> '/components/securitySchemes/S/x-oai-deprecated'" for pointer, value in _STRUCTURE))
+def finalized_structures(spark, sf):
+    """Documents for an older version whose examples, extensions and schemas hold the names of fields that move elsewhere; some say no version."""
+    k = "@k@"
+    scheme = ',"securitySchemes":{"S":{"deprecated":true}}'
+    payload = f'{{"examples":{{"z":{{"dataValue":{k}}}}},"parameters":[{{"in":"querystring"}}]}}'
+    parameter = f'{{"in":"querystring","name":"q","examples":{{"e":{{"dataValue":{payload}}},"r":{{"$ref":"#/x","dataValue":2}}}}}}'
+    media = f'{{"itemSchema":{{"properties":{{"responses":{{"properties":{{"summary":{{"type":{k}}}}}}}}}}},"x-own":{{"responses":{{"200":{{"summary":{k}}}}}}}}}'
+    operation = f'{{"parameters":[{parameter}],"responses":{{"200":{{"summary":"s","description":"d","content":{{"m/t":{media}}}}}}}}}'
+    inner = f'{{"responses":{{"properties":{{"summary":{{"examples":{{"e":{{"dataValue":{k}}}}}}}}}}}}}'
+    text = f'{{@v@"paths":{{"/a":{{"get":{operation}}}}},"components":{{"schemas":{inner}@s@}},"x-team":{{"paths":{{"/a":{{"get":{{"responses":{{"200":{{"summary":{k}}}}}}}}}}}}}}}'
+    third = F.col("p_partkey") % 3
+    filled = F.replace(F.replace(F.replace(F.lit(text), F.lit("@k@"), F.col("p_partkey").cast("string")), F.lit("@v@"), F.when(third == 1, '"openapi":"3.2.0",').otherwise("")), F.lit("@s@"), F.when(third > 0, scheme).otherwise(""))
+    return nodes.finalize(nodes.nodes(table(spark, sf, "part").select("p_partkey", F.parse_json(filled).alias("doc")), "p_partkey"), "p_partkey", "3.1")
