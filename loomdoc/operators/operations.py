@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.functions import http, registries
 from loomdoc.functions.text import default_success_code as success_code
+from loomdoc.operators.records import computed_once
 
 #: Keys of a parameter that its schema doesn't have, keywords that make a schema, keys of the configuration that a document drops.
 PARAMETER_KEYS = ("in", "name", "required", "example", "content", "style", "explode", "allowReserved")
@@ -179,7 +180,7 @@ def responses(rows: DataFrame) -> DataFrame:
     redirect = F.try_to_number(code, F.lit("999")).between(300, 399)
     empty = F.struct(code.alias("code"), text.alias("description"), F.lit(None).cast("string").alias("content_type"), F.lit(False).alias("sequential"), F.lit(None).cast("struct<type:string,ref:string,depth:int>").alias("schema"), F.lit(None).cast("struct<type:string,ref:string,depth:int>").alias("item_schema"), F.coalesce(redirect, F.lit(False)).alias("location_header"))
     full = F.struct(code.alias("code"), text.alias("description"), kind.alias("content_type"), sequential.alias("sequential"), F.when(item.isNull(), type_reference(F.col("type"))).alias("schema"), F.when(item.isNotNull(), type_reference(item)).alias("item_schema"), F.lit(False).alias("location_header"))
-    return rows.withColumn("response", F.when(untyped, empty).otherwise(full))
+    return computed_once(rows, response=F.when(untyped, empty).otherwise(full))
 
 
 def named_responses(rows: DataFrame, default: str | None = None) -> DataFrame:

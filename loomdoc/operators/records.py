@@ -81,5 +81,15 @@ def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
         new = ahead.select("src", "dst").distinct().join(found, ["src", "dst"], "left_anti").withColumn("steps", F.lit(steps))
 
 
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns that are computed once a row, however many fields of theirs are used later.
+
+    The optimiser writes a struct's whole expression out again for each field that is read from it; it doesn't do that across the generator that stands in between here.
+    """
+    held = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("__held")
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, held).select(*kept, *[F.col("__held")[name].alias(name) for name in columns])
+
+
 def severity_counts(rows: DataFrame, severity: Column) -> DataFrame:
     return rows.groupBy(severity.alias("severity")).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import annotations, http, registries
 from loomdoc.functions import text as texts
 from loomdoc.operators import operations
+from loomdoc.operators.records import computed_once
 from loomdoc.plans.named import register
 from loomdoc.sources.tables import table
 
@@ -45,8 +46,9 @@ def annotation_lines(spark, sf):
 )
 def annotation_bodies(spark, sf):
     c = F.col("c")
-    body, items, response, said, query = annotations.request_body(c), annotations.item_types(c), annotations.response(c), annotations.response_summaries(c), annotations.querystring(c)
-    return _comments(spark, sf).select(
+    parts = {"body": annotations.request_body(c), "items": annotations.item_types(c), "response": annotations.response(c), "said": annotations.response_summaries(c), "query": annotations.querystring(c)}
+    body, items, response, said, query = (F.col(name) for name in parts)
+    return computed_once(_comments(spark, sf), **parts).select(
         "o_orderkey", body["type"].alias("body_type"), body["required"].alias("body_required"), items["request"].alias("request_item"), items["response"].alias("response_item"), response["code"].alias("code"), response["type"].alias("response_type"),
         response["description"].alias("response_text"), said["primary"].alias("summary"), said["by_status"]["2XX"].alias("ok_summary"), query["type"].alias("querystring"), query["name"].alias("querystring_name"),
     )
