@@ -44,6 +44,14 @@ def steady_heap() -> None:
         libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of the names that are taken (case doesn't tell names apart)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character untouched."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -208,7 +208,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with what a scan of each whole text finds (columns of these names are replaced; repeated rows stay).
 
     ``n_words`` counts words; ``base`` is the array of ``struct<start, label>`` places of the base phrases; ``detections`` the array of
-    unsuppressed spans. Null texts count as empty: no words, empty arrays.
+    unsuppressed spans. Null texts count as empty: no words, empty arrays. Other columns stay as they are, whatever their names; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     gate = F.lit(False)
@@ -217,8 +217,9 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         gate = gate | low.contains(word)
     base_kind = "array<struct<start:int,label:string>>"
     kind = "array<struct<start:int,stop:int,priority:int,label:string,weight:double>>"
-    held = docs.withColumn("__low", F.lower(text)).withColumn("__gate", gate)
-    held = held.withColumn("__exact", F.when(F.col("__gate"), ascii_lower(text)))
+    # a row's own columns are held in one, so that none of theirs meets a name that is used here
+    held = docs.select(F.struct(*docs.columns).alias("__held"), text.alias("__text")).withColumn("__low", F.lower("__text")).withColumn("__gate", gate)
+    held = held.withColumn("__exact", F.when(F.col("__gate"), ascii_lower(F.col("__text"))))
     held = held.withColumn("__words", F.when(low.contains("license"), F.regexp_extract_all("__exact", F.lit(WORD), F.lit(0))))
     words = F.col("__words")
 
@@ -226,13 +227,15 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.transform(phrase_starts(words, phrase), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
 
     base = F.array_sort(F.flatten(F.array(*[places(phrase, label) for phrase, label in BASE])))
-    return held.withColumns(
+    results = held.withColumns(
         {
-            "n_words": F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long"),
+            "n_words": F.regexp_count("__text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long"),
             "base": F.when(low.contains("license"), base).otherwise(F.array().cast(base_kind)),
             "detections": F.when(F.col("__gate"), detections(F.col("__exact"))).otherwise(F.array().cast(kind)),
         }
-    ).drop("__low", "__gate", "__exact", "__words")
+    )
+    made = ["n_words", "base", "detections"]
+    return results.select(*[F.col("__held")[c].alias(c) for c in docs.columns if c not in made], *made)
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -99,12 +99,14 @@ def mix_sources(
 
     ``sources_col`` is ``array<string>`` (a null item is a source of its own; an empty or null array belongs to no source and takes 0),
     ``size_col`` the words of a document. ``taken`` is at most ``most`` times the size. Reruns agree; rows with equal ids and sizes may share their order
-    in the bucket where a pattern's rest ends, which leaves the multiset of results as it is. An empty table gives an empty one.
+    in the bucket where a pattern's rest ends, which leaves the multiset of results as it is. An empty table gives an empty one. Columns besides stay as they are, whatever their names; those named as the three results give way to them.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumn("__p", F.array_sort(F.array_distinct(F.coalesce(F.col(sources_col), F.array().cast("array<string>")))))
-    keyed = keyed.withColumn("__u", F.xxhash64(F.lit(seed), F.col(id_col))).withColumn("__b", F.shiftrightunsigned("__u", 50).cast("int"))
-    buckets = written(keyed.groupBy("__p", "__b").agg(F.sum(size_col).alias("words")), "buckets")
+    # a row's own columns are held in one, so that none of theirs meets a name that is used here
+    given = docs.select(F.struct(*docs.columns).alias("__held"), F.col(id_col).alias("__id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("__size"), F.coalesce(F.col(sources_col), F.array().cast("array<string>")).alias("__sources"))
+    keyed = given.withColumn("__p", F.array_sort(F.array_distinct("__sources")))
+    keyed = keyed.withColumn("__u", F.xxhash64(F.lit(seed), F.col("__id"))).withColumn("__b", F.shiftrightunsigned("__u", 50).cast("int"))
+    buckets = written(keyed.groupBy("__p", "__b").agg(F.sum("__size").alias("words")), "buckets")
     capacity = {tuple(r["__p"]): int(r["words"] or 0) for r in buckets.groupBy("__p").agg(F.sum("words").alias("words")).collect()}
     sizes: dict = {}
     for pattern, words in capacity.items():
@@ -114,10 +116,10 @@ def mix_sources(
     flow = route(capacity, {s: round(t) for s, t in goal.items()}, most)
     rows = []
     for pattern, words in capacity.items():
-        given = sum(flow[pattern].values())
-        copies = given // words if words else 0
+        routed = sum(flow[pattern].values())
+        copies = routed // words if words else 0
         first = pattern[0] if pattern else None
-        rows.append((list(pattern), int(copies), int(given - copies * words), int(sizes[first]) if pattern else 0, float(goal[first]) if pattern else 0.0))
+        rows.append((list(pattern), int(copies), int(routed - copies * words), int(sizes[first]) if pattern else 0, float(goal[first]) if pattern else 0.0))
     plan = spark.createDataFrame(rows, "__p array<string>, __copies long, __rest long, source_size long, target double")
     order = Window.partitionBy("__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = buckets.withColumn("__upto", F.sum("words").over(order)).withColumn("__before", F.col("__upto") - F.col("words"))
@@ -127,12 +129,13 @@ def mix_sources(
     bounds = spark.createDataFrame([tuple(r) for r in found], plan.schema.add("__end", "integer").add("__left", "long"))
     # one row for each membership pattern: the size of the source catalogue
     placed = keyed.join(F.broadcast(bounds), "__p")
-    size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
+    size = F.col("__size")
     full = placed.where("__b <> __end").withColumn("taken", size * (F.col("__copies") + F.when(F.col("__b") < F.col("__end"), 1).otherwise(0)))
-    line = Window.partitionBy("__p").orderBy("__u", F.col(id_col), size).rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("__p").orderBy("__u", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     last = placed.where("__b = __end").withColumn("__before", F.coalesce(F.sum(size).over(line), F.lit(0)))
     last = last.withColumn("taken", size * F.col("__copies") + F.greatest(F.lit(0), F.least(size, F.col("__left") - F.col("__before"))))
-    columns = [c for c in docs.columns if c not in ("source_size", "target", "taken")] + ["source_size", "target", "taken"]
+    results = ["source_size", "target", "taken"]
+    columns = [*[F.col("__held")[c].alias(c) for c in docs.columns if c not in results], *results]
     return full.select(columns).union(last.select(columns))
 
 
