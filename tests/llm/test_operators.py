@@ -220,6 +220,6 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "pages", "embeddings", "labels"):
+    for table in ("documents", "pages", "embeddings", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
