@@ -6,57 +6,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm import language_id, mixing, ngram_jaccard, piece_codec, quality
-from loomdoc.llm.common import written
+from loomdoc.llm.common import free_name, written
 
 
-def _apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with columns of the given names renamed, and the names to give back."""
-    new = {c: f"__own_{c}" for c in docs.columns if c in names}
-    return docs.withColumnsRenamed(new), {v: k for k, v in new.items()}
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a key for each row, and the key's name: one that no column has. So rows with null or repeated ids, and repeated rows, are told apart."""
+    key = free_name(docs.columns, "row_key")
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their language's perplexity bar stay; the model is trained on the trusted ones among ``docs``.
 
-    Null and empty texts go; without a trusted text all others stay. Rows with null or repeated ids are judged row by row. Columns that ``docs`` has besides stay as they are, whatever their names.
+    Null and empty texts go; without a trusted text all others stay. Rows with null or repeated ids are judged row by row. Columns that ``docs`` has besides stay as they are, whatever their names. An empty table gives an empty one.
+    Texts may be of any length. Only keys and texts go through the scoring pass; its verdicts are joined to the rows.
     """
-    rows, back = _apart(docs, ("model", "n_symbols", "perplexity", "bar", "kept"))
+    rows, key = _keyed(docs)
     model = quality.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(rows, model, tuple(rows.columns)).where("kept").withColumnsRenamed(back).select(docs.columns)
+    kept = quality.classify(rows.select(F.col(key).alias("row_key"), "text", "lang"), model, ("row_key",)).where("kept")
+    return rows.join(kept.select(F.col("row_key").alias(key)), key, "left_semi").select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose predicted language holds at least half of the code's weight stay.
 
-    Null texts and texts without a letter go. With no labelled text nothing can be predicted, and all go. Extra columns stay as they are, whatever their names.
+    Null texts and texts without a letter go. With no labelled text nothing can be predicted, and all go. Extra columns stay as they are, whatever their names. Repeated rows are judged row by row, an empty table gives an empty one.
+    Texts may be of any length.
     """
-    rows, back = _apart(docs, ("lang_pred", "score", "bits_per_byte"))
-    found = language_id.identify(rows, language_id.fit(rows), keep=tuple(rows.columns))
-    return found.where("lang_pred <> 'und' AND score >= 0.5").withColumnsRenamed(back).select(docs.columns)
+    rows, key = _keyed(docs)
+    found = language_id.identify(rows.select(F.col(key).alias("row_key"), "text"), language_id.fit(rows), keep=("row_key",))
+    kept = found.where("lang_pred <> 'und' AND score >= 0.5")
+    return rows.join(kept.select(F.col("row_key").alias(key)), key, "left_semi").select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of rows whose five-word shingles reach a Jaccard similarity of 0.8 one row of the smallest id stays; nulls come last."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = written(ngram_jaccard.jaccard_components(rows, n=5, percent=80, id_col="__row").select("__row", "component_id"), "row-components")
+    """Of each component of rows whose five-word shingles reach a Jaccard similarity of 0.8 one row of the smallest id stays; nulls come last.
+
+    Texts without a word, empty and null ones are like no other and all stay. Extra columns stay as they are, whatever their names; an empty table gives an empty one. Texts may be of any length.
+    """
+    rows, key = _keyed(docs)
+    texts = rows.select(F.col(key).alias("row_key"), "doc_id", "text")
+    found = written(ngram_jaccard.jaccard_components(texts.select("row_key", "text"), n=5, percent=80, id_col="row_key").select("row_key", "component_id"), "row-components")
     # a component of one row has that row's key; the others hold at least one row with another key
-    several = found.where("component_id <> __row").select("component_id").distinct()
-    members = found.join(several, "component_id", "left_semi").join(rows.select("__row", "doc_id"), "__row")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("first"))
-    gone = written(members.join(first, "component_id").where("__row <> first").select("__row"), "copies")
-    return rows.join(gone, "__row", "left_anti").select(docs.columns)
+    several = found.where("component_id <> row_key").select("component_id").distinct()
+    members = found.join(several, "component_id", "left_semi").join(texts.select("row_key", "doc_id"), "row_key")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("first"))
+    gone = written(members.join(first, "component_id").where("row_key <> first").select(F.col("row_key").alias(key)), "copies")
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once for every time the mix takes words of it; documents of which it takes none, texts without a word among them, go. A null source is a source. Extra columns stay as they are."""
-    rows, back = _apart(docs, ("size", "sources", "source_size", "target", "taken"))
-    mixed = mixing.mix_sources(mixing.word_sizes(rows))
+    """Each document once for every time the mix takes words of it; documents of which it takes none, texts without a word among them, go.
+
+    A null source is a source. Rows with null or repeated ids are taken row by row. Extra columns stay as they are, whatever their names; an empty table gives an empty one. Texts may be of any length.
+    """
+    given = docs.select(F.struct(*docs.columns).alias("held"), "doc_id", "text", "source")
+    sized = mixing.word_sizes(given).select("held", "doc_id", "size", "sources")
+    mixed = mixing.mix_sources(sized).where("taken > 0")
     times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    return mixed.where("taken > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).withColumnsRenamed(back).select(docs.columns)
+    return mixed.select("held", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select(*[F.col("held")[c].alias(c) for c in docs.columns])
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text, and whether they decode to it."""
+    """``doc_id``, ``ids`` (tokens of the whole text), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row; other columns are left out.
+
+    Null and empty texts have no ids. Repeated rows, and rows with null or repeated ids, have a row each; an empty table gives an empty one. Texts may be of any length.
+    """
     import public_tokenizers
 
     found = piece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
