@@ -57,10 +57,14 @@ def shallow(base: Json, more: Json) -> Json:
 KINDS: dict[str, Callable[[Json, Json], Json]] = {"fragment": fragment, "override": override, "patch": patch, "shallow": shallow}
 
 
+def _refuse(name: str) -> Json:
+    raise ValueError(name)
+
+
 def read(text: str | None) -> tuple[bool, Json]:
-    """Whether ``text`` is JSON, and its value."""
+    """Whether ``text`` is JSON, and its value; ``NaN`` and ``Infinity`` are no JSON."""
     try:
-        return True, json.loads(text)
+        return True, json.loads(text, parse_constant=_refuse)
     except (TypeError, ValueError):
         return False, None
 

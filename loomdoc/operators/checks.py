@@ -123,3 +123,17 @@ def overlay_formats(overlays: DataFrame) -> DataFrame:
     """Errors for overlays ``(file, target_format, doc variant)`` whose document has another format than the one they are for."""
     found = http.detected_format(F.col("doc"))
     return rows_where(overlays, ~http.format_matches(F.col("doc"), F.col("target_format")), "OVERLAY_TARGET_FORMAT_MISMATCH", "error", F.col("file"), _said('Overlay targetFormat "', F.col("target_format"), '" does not match the target document format "', found, '".'))
+
+
+#: Hints on what a handler does, by the flag that says so: the code and what is said.
+HANDLER_HINTS = {
+    "not_found": ("unsupported-route-feature", "Handler calls notFound(); add an explicit @response for 404 if you want it documented in OpenAPI."),
+    "streams": ("stream-response-hint", "Handler appears to return a streaming body. Consider @responseContentType text/event-stream (or another sequential media type) with @itemSchema for accurate OpenAPI output."),
+}
+
+
+def handler_hints(handlers: DataFrame) -> DataFrame:
+    """Information on handlers ``(file, not_found, streams)`` that show nothing or a stream; nulls are no."""
+    found = F.array_compact(F.array(*[F.when(F.col(flag), F.struct(F.lit(code).alias("code"), F.lit(said).alias("message"))) for flag, (code, said) in HANDLER_HINTS.items()]))
+    each = handlers.select("file", F.explode(found).alias("h"))
+    return each.select(F.col("h.code").alias("code"), F.lit("info").alias("severity"), F.col("file").cast("string").alias("subject"), F.col("h.message").alias("message"))

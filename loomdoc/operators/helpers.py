@@ -20,7 +20,7 @@ HELPERS = {
     "never": '{"not":{}}', "function": _ANY, "file": _BINARY, "symbol": _TEXT,
 }
 INSTANCES = {"File": _BINARY, "Blob": _BINARY, "Date": '{"type":"string","format":"date-time"}', "RegExp": _TEXT, "URL": _TEXT, "URLSearchParams": _TEXT}
-FILES = ("File", "Blob", "Buffer", "ArrayBuffer", "Uint8Array")
+FILES = ("File", "Blob", "Buffer", "ArrayBuffer", "Uint8Array", "ReadableStream")
 TARGET_LAST = ("pipeline", "pipe", "codec")
 COMBINED = ("literal", "instanceof", "promise", "preprocess", *TARGET_LAST, "lazy", "object", "strictObject", "looseObject", "templateLiteral", "custom")
 
@@ -90,7 +90,7 @@ def unknown_helpers(calls: DataFrame, subject: str) -> DataFrame:
     """A warning for each call of a helper that nothing is known of, once for each name of a subject."""
     name = F.regexp_replace("helper", r"^coerce\.", "")
     rows = calls.where(~name.isin(*HELPERS, *COMBINED)).select(subject, name.alias("name")).distinct()
-    return rows_where(rows, F.lit(True), "unknown-zod-helper", "warning", F.col(subject), F.concat(F.lit("Unknown Zod helper: "), "name"))
+    return rows_where(rows, F.lit(True), "unknown-zod-helper", "warning", F.col(subject), F.concat(F.lit('Unknown Zod helper "'), "name", F.lit('" was approximated as a string schema.')))
 
 
 def two_sided(stages: DataFrame, keys: list[str]) -> DataFrame:

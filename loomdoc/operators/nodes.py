@@ -157,19 +157,39 @@ def tag_definitions(rows: DataFrame, key: str, version: str) -> DataFrame:
     return rows if VERSIONS.index(version) >= VERSIONS.index("3.2") else rows.where(~F.col("pointer").rlike(DROPPED[3][1]))
 
 
+#: What overlays below a version lack, by the pointer of its root: the version, the pattern, the code and what is said.
+OVERLAY_LACKS = (
+    ("1.1", r"^/actions/\d+/copy$", "OVERLAY_COPY_UNSUPPORTED", "Overlay 1.0 does not support the copy action; the action was omitted."),
+    ("1.2", r"^/\$self$", "OVERLAY_SELF_UNSUPPORTED", "Overlay 1.0 and 1.1 do not support $self; the field was omitted."),
+    ("1.2", r"^/targetFormat$", "OVERLAY_TARGET_FORMAT_UNSUPPORTED", "Overlay 1.0 and 1.1 do not support targetFormat; the field was omitted."),
+)
+REUSABLE_INLINED = ("OVERLAY_REUSABLE_ACTION_INLINED", "Overlay 1.0 and 1.1 do not support reusable actions; $ref actions were inlined and components were omitted.")
+
+
 def overlay_versions(rows: DataFrame, key: str, version: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes of overlays for 1.0, 1.1 or 1.2, and a warning for each thing that a version drops: ``copy`` (from 1.1), ``$self`` and the target's format (from 1.2)."""
-    checks = (
-        ("1.1", r"^/actions/\d+/copy$", "OVERLAY_COPY_UNSUPPORTED", "Overlay 1.0 does not support the copy action; the action was omitted."),
-        ("1.2", r"^/\$self$", "OVERLAY_SELF_UNSUPPORTED", "Overlay 1.0 and 1.1 do not support $self; the field was omitted."),
-        ("1.2", r"^/targetFormat$", "OVERLAY_TARGET_FORMAT_UNSUPPORTED", "Overlay 1.0 and 1.1 do not support targetFormat; the field was omitted."),
-    )
+    """Nodes of overlays for 1.0, 1.1 or 1.2, and a warning for each thing that a version drops: ``copy`` (from 1.1), ``$self``, the target's format and reusable actions (from 1.2).
+
+    An action that is a reference to a reusable one takes that one's fields, its own go before them; one that refers to none keeps its own.
+    """
     found = None
-    for since, pattern, code, said in checks:
+    for since, pattern, code, said in OVERLAY_LACKS:
         if version < since:
             hit = rows_where(rows, F.col("pointer").rlike(pattern), code, "warning", F.col(key), F.lit(said))
             found = hit if found is None else found.unionByName(hit)
             rows = rows.where(~F.col("pointer").rlike(pattern))
+    if version < "1.2":
+        p = F.col("pointer")
+        reusable, reference = r"^/components/actions(/|$)", r"^(/actions/\d+)/\$ref$"
+        uses = rows.where(p.rlike(reusable) | p.rlike(reference)).select(key).distinct()
+        found = found.unionByName(rows_where(uses, F.lit(True), REUSABLE_INLINED[0], "warning", F.col(key), F.lit(REUSABLE_INLINED[1])))
+        field = r"^/components/actions/([^/]+)/fields(/.+)$"
+        bodies = rows.where(p.rlike(field)).select(key, F.regexp_extract(p, field, 1).alias("name"), F.regexp_extract(p, field, 2).alias("below"), "value")
+        asked = rows.where(p.rlike(reference)).select(key, F.regexp_extract(p, reference, 1).alias("at"), F.regexp_extract("value", r'^"#/components/actions/([^"]+)"$', 1).alias("name"))
+        own = rows.where(~p.rlike(reference) & ~p.rlike(reusable))
+        top = F.regexp_extract("below", "^(/[^/]+)", 1)
+        given = own.where(p.rlike(r"^/actions/\d+/")).select(key, F.regexp_extract(p, r"^(/actions/\d+)", 1).alias("at"), F.regexp_extract(p, r"^/actions/\d+(/[^/]+)", 1).alias("top")).distinct()
+        taken = asked.join(bodies, [key, "name"]).withColumn("top", top).join(given, [key, "at", "top"], "left_anti")
+        rows = own.unionByName(taken.select(key, F.concat("at", "below").alias("pointer"), "value"))
     empty = rows_where(rows, F.lit(False), "", "", F.col(key), F.lit(""))
     return rows, empty if found is None else found
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomdoc.operators import chains, helpers, timings
+from loomdoc.operators import chains, checks, configs, helpers, nodes, timings
 from loomdoc.plans.named import register
 from loomdoc.sources.tables import table
 
@@ -99,3 +99,49 @@ def timed_phases(spark, sf):
 def phase_averages(spark, sf):
     """Events as timed phases of their users' runs."""
     return timings.averages(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_type").alias("phase"), F.col("value").alias("ms")))
+
+
+_SETTINGS = tuple((name, f"'{default}'") for name, default in configs.DEFAULTS.items() if name not in ("apiDir", "schemaType", "cache", "routerType")) + (
+    ("apiDir", """'"c' || c_custkey || '"'"""), ("schemaType", """CASE WHEN c_custkey % 2 = 0 THEN '["zod","typescript","zod"]' ELSE '"typescript"' END"""), ("cache", "CASE WHEN c_custkey % 2 = 0 THEN 'false' ELSE 'true' END"), ("routerType", """'"app"'"""),
+    ("schemaBackends", """CASE WHEN c_custkey % 2 = 0 THEN '["zod","typescript"]' ELSE '["typescript"]' END"""), ("openapiVersion", """'"' || CASE c_custkey % 4 WHEN 0 THEN '3.1' WHEN 1 THEN '3.3-preview' WHEN 2 THEN '3.2' ELSE '3.0' END || '"'"""),
+    ("framework.kind", """CASE c_custkey % 3 WHEN 0 THEN '"nextjs"' WHEN 1 THEN '"reactrouter"' END"""), ("framework.router", """CASE c_custkey % 3 WHEN 0 THEN '"app"' END"""), ("framework.adapterPath", """CASE WHEN c_custkey % 3 > 0 THEN '"a.ts"' END"""),
+    ("framework.modulePath", """CASE WHEN c_custkey % 3 > 0 THEN '"a.ts"' END"""), ("authPresets.bearer", """'"Own"'"""), ("authPresets.basic", """'"BasicAuth"'"""), ("authPresets.apikey", """'"ApiKeyAuth"'"""), ("authPresets.more", """'"M"'"""), ("arazzo", """'{"a":1}'"""),
+)
+
+
+@register(" UNION ALL ".join(f"SELECT c_custkey, '{name}' AS name, {value} AS value FROM customer WHERE {value} IS NOT NULL" for name, value in _SETTINGS))
+def normalized_configs(spark, sf):
+    """Every customer's configuration with its defaults."""
+    k = F.col("c_custkey")
+    version = F.element_at(F.array(*[F.lit(v) for v in ("3.1.9", "3.3.0-preview", "4.1", "odd")]), (k % 4 + 1).cast("int"))
+    framework = F.when(k % 3 > 0, F.struct(F.when(k % 3 == 1, "react-router").otherwise("unheard").alias("kind"), F.lit("a.ts").alias("adapterPath")))
+    doc = F.struct(F.concat(F.lit("c"), k).alias("apiDir"), F.when(k % 2 == 0, F.array(F.lit("zod"), F.lit("typescript"), F.lit("zod"))).alias("schemaType"), F.when(k % 2 == 0, F.lit(False)).alias("cache"), version.alias("openapi"), framework.alias("framework"),
+                   F.struct(F.lit("Own").alias("bearer"), F.lit("M").alias("more")).alias("authPresets"), F.struct(F.lit(1).alias("a")).alias("arazzo"))
+    return configs.normalized(table(spark, sf, "customer").select("c_custkey", F.parse_json(F.to_json(doc)).alias("doc")), "c_custkey")
+
+
+@register("""
+    SELECT CAST(c_custkey AS VARCHAR) AS subject, v.code FROM customer JOIN (VALUES (1, 'unsupported-route-feature'), (2, 'stream-response-hint'), (3, 'unsupported-route-feature'), (3, 'stream-response-hint')) v(i, code) ON c_custkey % 4 = v.i
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'unknown-framework' FROM customer WHERE c_custkey % 5 = 0
+""")
+def handler_hints(spark, sf):
+    """Hints on handlers that answer with nothing or a stream, and configurations of unknown frameworks."""
+    rows = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    hints = checks.handler_hints(rows.select(k.alias("file"), (k % 4).isin(1, 3).alias("not_found"), F.when(k % 4 > 1, True).alias("streams")))
+    kind = F.when(k % 5 == 0, '{"framework":{"kind":"odd"}}').when(k % 5 == 1, '{"framework":{"kind":"hono"}}').otherwise("{}")
+    unknown = configs.unknown_frameworks(rows.select("c_custkey", F.parse_json(kind).alias("doc")), "c_custkey")
+    return hints.unionByName(unknown).select("subject", "code")
+
+
+@register("""
+    SELECT n_nationkey, p AS pointer, CASE v WHEN 'k' THEN CAST(n_nationkey AS VARCHAR) ELSE v END AS value FROM nation JOIN (VALUES ('/actions/0/target', '"$.own"'), ('/actions/0/update/a', 'k'), ('/actions/1/target', '"$.b"'), ('/actions/1/remove', 'true'),
+        ('/actions/2/description', '"lost"')) t(p, v) ON true
+    UNION ALL SELECT n_nationkey, 'OVERLAY_REUSABLE_ACTION_INLINED', 'warning' FROM nation UNION ALL SELECT n_nationkey, 'OVERLAY_TARGET_FORMAT_UNSUPPORTED', 'warning' FROM nation
+""")
+def overlay_reusable(spark, sf):
+    """Overlays with reusable actions for a version without them: the actions are written out, and warnings say what went."""
+    body = '{"targetFormat":"arazzo","components":{"actions":{"R":{"fields":{"target":"$.r","update":{"a":@k@}}}}},"actions":[{"$ref":"#/components/actions/R","target":"$.own"},{"target":"$.b","remove":true},{"$ref":"#/components/actions/None","description":"lost"}]}'
+    docs = table(spark, sf, "nation").select("n_nationkey", F.parse_json(F.replace(F.lit(body), F.lit("@k@"), F.col("n_nationkey").cast("string"))).alias("doc"))
+    rows, said = nodes.overlay_versions(nodes.nodes(docs, "n_nationkey"), "n_nationkey", "1.1")
+    return rows.unionByName(said.select(F.col("subject").cast("int").alias("n_nationkey"), F.col("code").alias("pointer"), F.col("severity").alias("value")))

@@ -32,7 +32,7 @@ def watch(
     """Keep the state of fragments under ``folder`` as JSON files arrive in ``source``; returns what stops it.
 
     Micro-batches run one at a time, which queues changes while one runs; ``every`` (a time such as ``120 milliseconds``) gathers a burst of changes into one, without it what is there is worked off once. A batch
-    that fails is run again from the checkpoint. Each batch writes a new version of the state and then names it, so a reader sees whole versions; ``reset`` drops all.
+    that fails is run again from the checkpoint. Each batch writes a new version of the state and then names it, so a reader sees whole versions. ``keyed`` keeps the same in the state store, touches a batch's files alone, and knows deletions and resets.
     """
 
     def one(batch: DataFrame, number: int) -> None:
