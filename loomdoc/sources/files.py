@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdoc.sources.shared import written
+
 try:
     import yaml
 except ImportError:  # YAML documents are unreadable then
@@ -135,6 +138,42 @@ def write_documents(docs: DataFrame, folder: str, text: str = "text", name: str
     docs.select(F.col(text).alias("value"), F.col(name).alias("name")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("name").text(folder)
 
 
+def _named_writer(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        made = set()
+        for batch in batches:
+            sizes = []
+            for name, text in zip(batch["name"], batch["text"], strict=True):
+                place = f"{root}/{name}"
+                parent = place.rpartition("/")[0]
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                data = text.encode()
+                # beside its place first, under a name of this try, then moved: a reader sees the old file or the new one
+                part = f"{parent}/.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as file:
+                    file.write(data)
+                system.move(part, place)
+                sizes.append(len(data))
+            yield pd.DataFrame({"name": batch["name"], "bytes": sizes})
+
+    return run
+
+
+def write_named(docs: DataFrame, folder: str, text: str = "text", name: str = "name") -> DataFrame:
+    """Each text as one file of its own name (which may hold folders) below ``folder``, written by the tasks into that shared place; returns ``(name, bytes)`` of what was written.
+
+    Of texts of one name the least counts, null texts and names are left out, names that lead out of the folder are an error. A file appears whole or not at all, and a task that runs again writes the same files again.
+    """
+    rows = docs.where(F.col(name).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(text).alias("text"))
+    inside = F.when(F.col("name").rlike(r"(^|/)\.\.?(/|$)|^/|^$|/$"), F.raise_error(F.concat(F.lit("no name of a file: "), "name"))).otherwise(F.col("name"))
+    return written(rows.select(inside.alias("name"), "text").mapInPandas(_named_writer(folder), "name string, bytes long"), "named-files")
+
+
 def write_record(rows: DataFrame, folder: str) -> None:
     """A run's state (fingerprints, fragments) as a Parquet table, committed whole."""
     rows.write.mode("overwrite").parquet(folder)

@@ -78,3 +78,18 @@ def test_catalog_rest(spark):
     columns = spark.createDataFrame([("c", "type", "string")], "col string, attribute string, value string")
     more = spark.createDataFrame([("c", "type", "email"), ("c", "minLength", "3")], "col string, attribute string, value string")
     assert sorted(r["value"] for r in catalog.refined_columns(columns, more, ["col"]).collect()) == ["3", "email"]
+
+
+def test_named_files(spark, tmp_path):
+    import pytest
+
+    folder = str(tmp_path / "out")
+    rows = [("a.json", '{"x":1}'), ("deep/er/b.yaml", "é: 1\n"), ("a.json", "{}~ later"), (None, "x"), ("c", None)]
+    done = files.write_named(spark.createDataFrame(rows, "name string, text string"), folder)
+    assert sorted((r["name"], r["bytes"]) for r in done.collect()) == [("a.json", 7), ("deep/er/b.yaml", 6)]
+    found = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file())
+    assert found == ["a.json", "deep/er/b.yaml"] and (tmp_path / "out/a.json").read_text() == '{"x":1}'
+    files.write_named(spark.createDataFrame([("a.json", "new")], "name string, text string"), f"file://{folder}")
+    assert (tmp_path / "out/a.json").read_text() == "new"
+    with pytest.raises(Exception, match="no name of a file"):
+        files.write_named(spark.createDataFrame([("../up", "x")], "name string, text string"), folder)
