@@ -8,6 +8,7 @@ Schemas follow level by level from the deepest bracket: tokens become operands,
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,14 +91,19 @@ def _obj(**fields: Column | str) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _flagged(schema: Column, name: str) -> Column:
     """A schema's text with a flag that is true."""
-    return F.when(F.get_json_object(schema, f"$.{name}") == "true", schema).when(schema == "{}", f'{{"{name}":true}}').otherwise(F.concat(F.substr(schema, F.lit(1), F.length(schema) - 1), F.lit(f',"{name}":true}}')))
+    return _let(schema, lambda s: F.when(F.get_json_object(s, f"$.{name}") == "true", s).when(s == "{}", f'{{"{name}":true}}').otherwise(F.concat(F.substr(s, F.lit(1), F.length(s) - 1), F.lit(f',"{name}":true}}'))))
 
 
 def _text(value: Column) -> Column:
     """A text as JSON."""
-    return F.substr(F.to_json(F.array(value)), F.lit(2), F.length(F.to_json(F.array(value))) - 2)
+    return _let(F.to_json(F.array(value)), lambda t: F.substr(t, F.lit(2), F.length(t) - 2))
 
 
 def _bare(token: Column) -> Column:
@@ -111,9 +117,13 @@ def _list(values: Column) -> Column:
 
 def _properties(names: Column, values: Column) -> Column:
     """The JSON object of names and values (later ones count, first places stay)."""
-    kept = F.array_distinct(names)
-    pairs = F.transform(kept, lambda n: F.concat(_text(n), F.lit(":"), F.try_element_at(F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda p: p["n"] == n), F.lit(-1))["v"]))
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+    def listed(both: Column) -> Column:
+        names = F.array_distinct(F.transform(both, lambda p: p["n"]))
+        pairs = F.transform(names, lambda n: F.concat(_text(n), F.lit(":"), F.try_element_at(F.filter(both, lambda p: p["n"] == n), F.lit(-1))["v"]))
+        return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+    return _let(F.arrays_zip(names.alias("n"), values.alias("v")), listed)
 
 
 def _object(members: Column) -> Column:
@@ -163,18 +173,28 @@ def _named() -> Column:
 def _operand(items: Column) -> Column:
     """``(schema, literal, of, nullish)`` of an operand's tokens ``(pos, token, members)``."""
     before = F.size(F.filter(items, lambda x: x["token"].isin(*_BEFORE) & x["members"].isNull()))
-    rest = F.slice(items, before + 1, F.greatest(F.size(items), F.lit(1)))
-    word, own = F.get(rest, F.lit(0))["token"], F.coalesce(F.get(rest, F.lit(0))["members"], F.array())
-    generic = F.try_element_at(rest, F.lit(2))["token"] == "<"
-    given = F.when(generic, F.try_element_at(rest, F.lit(2))["members"])
+    generic = lambda rest: F.coalesce(F.try_element_at(rest, F.lit(2))["token"] == "<", F.lit(False))
+    behind = lambda rest: F.slice(rest, F.when(generic(rest), 3).otherwise(2), F.greatest(F.size(rest), F.lit(1)))
+
+    def cut(rest: Column) -> Column:
+        """A word, the members that it opens, its arguments and what stands behind it."""
+        given = F.when(generic(rest), F.try_element_at(rest, F.lit(2))["members"])
+        return F.struct(F.get(rest, F.lit(0))["token"].alias("word"), F.coalesce(F.get(rest, F.lit(0))["members"], F.array()).alias("own"), generic(rest).alias("generic"), given.alias("given"), behind(rest).alias("behind"))
+
+    parts = _let(F.slice(items, before + 1, F.greatest(F.size(items), F.lit(1))), cut)
+    return _let(F.struct(before.alias("before"), parts.alias("p")), lambda v: _read(items, v["before"], v["p"]))
+
+
+def _read(items: Column, before: Column, parts: Column) -> Column:
+    """An operand's schema, from its tokens, the number of words before its type, and that type's parts."""
+    word, own, generic, given, behind = (parts[n] for n in ("word", "own", "generic", "given", "behind"))
     first = F.try_element_at(given, F.lit(1))["schema"]
-    behind = F.when(generic, F.slice(rest, 3, F.greatest(F.size(rest), F.lit(1)))).otherwise(F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1))))
     fixed = F.try_element_at(_named(), word)
     literal = F.when(word.rlike("""^["']"""), _text(_bare(word))).when(word.rlike("^[0-9]"), F.regexp_replace(word, r"\.0+$", "")).when(word.isin("true", "false"), word)
     kind = F.when(word.rlike("""^["']"""), '"string"').when(word.isin("true", "false"), '"boolean"').otherwise('"number"')
     basic = (
         F.when(word == "{", _object(own)).when(word == "[", _tuple(own)).when(word == "(", F.coalesce(F.try_element_at(own, F.lit(1))["schema"], F.lit('{"type":"object"}')))
-        .when(literal.isNotNull(), _obj(type=kind, enum=_list(F.array(literal)))).when(word.startswith("`"), _template(word)).when(fixed.isNotNull() & ~F.coalesce(generic, F.lit(False)), fixed)
+        .when(literal.isNotNull(), _obj(type=kind, enum=_list(F.array(literal)))).when(word.startswith("`"), _template(word)).when(fixed.isNotNull() & ~generic, fixed)
         .when(word.isin(*_UNWRAPPED) & (first.isNotNull() | word.isin("Promise", "Awaited")), F.coalesce(first, F.lit("{}")))
         .when(word.isin(*_LISTS), F.when(first.isNotNull(), _obj(type='"array"', items=first)).otherwise('{"type":"array"}'))
         .when(word.isin(*_SETS), F.when(first.isNotNull(), _obj(type='"array"', items=first, uniqueItems="true")).otherwise('{"type":"array","uniqueItems":true}'))
@@ -230,7 +250,7 @@ def _union(alternatives: Column) -> Column:
     same = (F.size(real) > 0) & F.forall(real, lambda a: a["literal"].isNotNull() & (a["of"] == F.get(real, F.lit(0))["of"]))
     several = F.when(same, _obj(type=F.get(real, F.lit(0))["of"], enum=_list(F.transform(real, lambda a: a["literal"])))).when(F.size(real) == 1, F.get(real, F.lit(0))["schema"]).otherwise(_obj(oneOf=_list(F.transform(real, lambda a: a["schema"]))))
     none = F.lit(None).cast("string")
-    return F.struct(F.when(nullable, _flagged(several, "nullable")).otherwise(several).alias("schema"), none.alias("literal"), none.alias("of"), none.alias("nullish"))
+    return F.struct(_let(several, lambda s: F.when(nullable, _flagged(s, "nullable")).otherwise(s)).alias("schema"), none.alias("literal"), none.alias("of"), none.alias("nullish"))
 
 
 def _fold(level: DataFrame, key: str) -> DataFrame:
