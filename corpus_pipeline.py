@@ -15,28 +15,41 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
+def _of_verdict(docs: DataFrame, judged: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The rows of ``docs`` whose columns ``by`` are some row's of ``judged (h1, h2)``, which has their hashes of 128 bits: a verdict that follows from a text alone needs no key for each row, so the input isn't written once more."""
+    h1, h2 = (free_name(docs.columns, name) for name in ("h1", "h2"))
+    kept = judged.select(F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct()
+    first, second = _hashes(by)
+    return docs.withColumns({h1: first, h2: second}).join(kept, [h1, h2], "left_semi").select(docs.columns)
+
+
+def _hashes(by: tuple[str, ...]) -> tuple:
+    """Two hashes of the columns, of which nulls are told apart from empty texts."""
+    parts = [c for name in by for c in (F.col(name).isNull(), F.col(name))]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *reversed(parts))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their language's perplexity bar stay; the model is trained on the trusted ones among ``docs``.
 
-    Null and empty texts go; without a trusted text all others stay. Rows with null or repeated ids are judged row by row. Columns that ``docs`` has besides stay as they are, whatever their names. An empty table gives an empty one.
-    Texts may be of any length. Only keys and texts go through the scoring pass; its verdicts are joined to the rows.
+    Null and empty texts go; without a trusted text all others stay. A verdict follows from text and language, so repeated rows and rows with null or repeated ids stay or go with their texts. Columns that ``docs`` has besides stay as they
+    are, whatever their names. An empty table gives an empty one. Texts may be of any length. Only hashes and texts go through the scoring pass; its verdicts are joined to the rows.
     """
-    rows, key = _keyed(docs)
-    model = quality.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality.classify(rows.select(F.col(key).alias("row_key"), "text", "lang"), model, ("row_key",)).where("kept")
-    return rows.join(kept.select(F.col("row_key").alias(key)), key, "left_semi").select(docs.columns)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    h1, h2 = _hashes(("text", "lang"))
+    texts = docs.select("text", "lang", h1.alias("h1"), h2.alias("h2"))
+    return _of_verdict(docs, quality.classify(texts, model, ("h1", "h2")).where("kept"), ("text", "lang"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose predicted language holds at least half of the code's weight stay.
 
-    Null texts and texts without a letter go. With no labelled text nothing can be predicted, and all go. Extra columns stay as they are, whatever their names. Repeated rows are judged row by row, an empty table gives an empty one.
-    Texts may be of any length.
+    Null texts and texts without a letter go. With no labelled text nothing can be predicted, and all go. Extra columns stay as they are, whatever their names. A verdict follows from the text alone, repeated rows stay or go together; an
+    empty table gives an empty one. Texts may be of any length.
     """
-    rows, key = _keyed(docs)
-    found = language_id.identify(rows.select(F.col(key).alias("row_key"), "text"), language_id.fit(rows), keep=("row_key",))
-    kept = found.where("lang_pred <> 'und' AND score >= 0.5")
-    return rows.join(kept.select(F.col("row_key").alias(key)), key, "left_semi").select(docs.columns)
+    h1, h2 = _hashes(("text",))
+    found = language_id.identify(docs.select("text", h1.alias("h1"), h2.alias("h2")), language_id.fit(docs), keep=("h1", "h2"))
+    return _of_verdict(docs, found.where("lang_pred <> 'und' AND score >= 0.5"), ("text",))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
