@@ -82,7 +82,7 @@ def inherited_properties(spark, sf):
     return chains.extended_interfaces(own, parents)
 
 
-@register("SELECT 'read' AS phase, count(*) AS rows, sum(o_totalprice) AS amount FROM orders UNION ALL SELECT 'kept', count(*), sum(o_totalprice) FROM orders WHERE o_orderstatus = 'F'")
+@register("SELECT 'read' AS phase, count(*) AS rows, round(sum(o_totalprice), 1) AS amount FROM orders UNION ALL SELECT 'kept', count(*), round(sum(o_totalprice), 1) FROM orders WHERE o_orderstatus = 'F'")
 def timed_phases(spark, sf):
     """Counts of two phases, taken in the pass that writes nothing but runs both."""
     taken = timings.Timings(spark, "r")
@@ -92,13 +92,14 @@ def timed_phases(spark, sf):
     kept.write.format("noop").mode("overwrite").save()
     taken.done("read")
     taken.done("kept")
-    return taken.rows().select("phase", "rows", F.col("amounts")["price"].alias("amount"))
+    return taken.rows().select("phase", "rows", F.round(F.col("amounts")["price"], 1).alias("amount"))
 
 
-@register("SELECT event_type AS phase, count(DISTINCT user_id) AS runs, avg(ms) AS mean_ms, min(ms) AS least_ms, max(ms) AS most_ms, avg(ms) / sum(avg(ms)) OVER () AS share FROM (SELECT user_id, event_type, sum(value) AS ms FROM events GROUP BY ALL) GROUP BY event_type")
+@register("SELECT event_type AS phase, count(DISTINCT user_id) AS runs, round(avg(ms), 4) AS mean_ms, round(min(ms), 4) AS least_ms, round(max(ms), 4) AS most_ms, round(avg(ms) / sum(avg(ms)) OVER (), 6) AS share FROM (SELECT user_id, event_type, sum(value) AS ms FROM events GROUP BY ALL) GROUP BY event_type")
 def phase_averages(spark, sf):
     """Events as timed phases of their users' runs."""
-    return timings.averages(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_type").alias("phase"), F.col("value").alias("ms")))
+    made = timings.averages(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_type").alias("phase"), F.col("value").alias("ms")))
+    return made.select("phase", "runs", *[F.round(c, 4).alias(c) for c in ("mean_ms", "least_ms", "most_ms")], F.round("share", 6).alias("share"))
 
 
 _SETTINGS = tuple((name, f"'{default}'") for name, default in configs.DEFAULTS.items() if name not in ("apiDir", "schemaType", "cache", "routerType")) + (
