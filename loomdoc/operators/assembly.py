@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomdoc.sources.shared import written
 
 #: How many levels are folded before the rows are written.
-WRITTEN_LEVELS = 4
+WRITTEN_LEVELS = 8
 
 
 def _name(pointer: Column) -> Column:
@@ -25,31 +25,37 @@ def assemble(rows: DataFrame, key: str, lists: DataFrame | None = None) -> DataF
 
     ``lists`` has the pointers ``(key, pointer)`` of lists (``nodes.lists``): their members go by number, gaps close. Without it, what has the names 0 to n-1 alone is a list.
     All other inner nodes are objects. Of rows with one pointer the least value counts, and a leaf with rows below it gives way to these. Each level is one grouping by
-    (key, parent), so a wide document is spread over tasks until its last levels. Keys without a row have no document.
+    (key, parent) with the marks of lists among its rows, so a wide document is spread over tasks until its last levels. Keys without a row have no document.
     """
     rows = written(rows.groupBy(key, "pointer").agg(F.min("value").alias("value")).withColumn("depth", F.size(F.split("pointer", "/")) - 1), "nodes")
-    marked = None if lists is None else written(lists.select(key, F.col("pointer").alias("parent"), F.lit(True).alias("listed")).distinct(), "lists")
+    parent = F.regexp_replace("pointer", "/[^/]*$", "").alias("parent")
+    marked = None if lists is None else lists.select(key, F.col("pointer").alias("parent"), F.lit(None).cast("struct<n:int,name:string,leaf:boolean,value:string>").alias("member"), F.lit(True).alias("listed"), F.size(F.split("pointer", "/")).alias("depth"))
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     folded = None
     for depth in range(deepest, 0, -1):
-        level = rows.where(F.col("depth") == depth).select(key, "pointer", "value")
+        level = rows.where(F.col("depth") == depth).select(key, "pointer", "value", F.lit(True).alias("leaf"))
         if folded is not None:
-            level = folded.unionByName(level.join(folded.select(key, "pointer"), [key, "pointer"], "left_anti"))
-        at = level.select(key, F.regexp_replace("pointer", "/[^/]*$", "").alias("parent"), _name(F.col("pointer")).alias("name"), "value")
-        number = F.col("name").try_cast("int")
-        members = F.array_sort(F.collect_list(F.struct(number.alias("n"), "name", "value")))
-        numbered = (F.count("*") == F.count_if(number.isNotNull() & (number.cast("string") == F.col("name")))) & (F.min(number) == 0) & (F.max(number) == F.count("*") - 1)
-        grouped = at.groupBy(key, "parent").agg(members.alias("members"), F.coalesce(numbered, F.lit(False)).alias("listed"))
+            level = level.unionByName(folded)
+        name = _name(F.col("pointer"))
+        at = level.select(key, parent, F.struct(name.try_cast("int").alias("n"), name.alias("name"), "leaf", "value").alias("member"), F.lit(False).alias("listed"))
         if marked is not None:
-            grouped = grouped.drop("listed").join(marked, [key, "parent"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+            at = at.unionByName(marked.where(F.col("depth") == depth).drop("depth"))
+        grouped = at.groupBy(key, "parent").agg(F.array_sort(F.collect_list("member")).alias("members"), F.max("listed").alias("listed"))
+        # of a leaf and what was folded below it the latter stands in front
+        alone = F.filter("members", lambda m, i: (i == 0) | (F.get("members", i - 1)["name"] != m["name"]))
+        grouped = grouped.where(F.size("members") > 0).select(key, "parent", alone.alias("members"), "listed")
+        if marked is None:
+            size = F.size("members")
+            fits = F.size(F.filter("members", lambda m: m["n"].cast("string") == m["name"])) == size
+            grouped = grouped.withColumn("listed", fits & (F.get("members", F.lit(0))["n"] == 0) & (F.get("members", size - 1)["n"] == size - 1))
         values = F.array_join(F.transform("members", lambda m: m["value"]), ",")
         fields = F.array_join(F.transform("members", lambda m: F.concat(_quoted(m["name"]), F.lit(":"), m["value"])), ",")
         text = F.when(F.col("listed"), F.concat(F.lit("["), values, F.lit("]"))).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
-        folded = grouped.select(key, F.col("parent").alias("pointer"), text.alias("value"))
+        folded = grouped.select(key, F.col("parent").alias("pointer"), text.alias("value"), F.lit(False).alias("leaf"))
         if depth > 1 and depth % WRITTEN_LEVELS == 0:
             folded = written(folded, "folded")
     roots = rows.where("depth = 0").select(key, "pointer", "value")
-    whole = roots if folded is None else folded.unionByName(roots.join(folded.select(key, "pointer"), [key, "pointer"], "left_anti"))
+    whole = roots if folded is None else folded.drop("leaf").unionByName(roots.join(folded.select(key, "pointer"), [key, "pointer"], "left_anti"))
     return whole.select(key, F.parse_json("value").alias("doc"))
 
 

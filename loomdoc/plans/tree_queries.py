@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomdoc.operators import assembly, exports, nodes, references, type_trees
 from loomdoc.plans.named import register
 from loomdoc.sources import paths
-from loomdoc.sources.tables import table
+from loomdoc.sources.tables import spread, table
 
 
 @register("""
@@ -34,7 +34,7 @@ def type_texts_tree(spark, sf):
 
 
 def _documents(spark, sf):
-    rows = table(spark, sf, "orders").select(
+    rows = spread(table(spark, sf, "orders")).select(
         "o_orderkey", F.array(F.col("o_orderstatus"), F.lit(None).cast("string")).alias("list"), F.array().cast("array<int>").alias("none"), F.create_map(F.lit("a/b"), F.col("o_custkey")).alias("~x"),
         F.when(F.col("o_orderkey") % 3 == 0, F.create_map(F.lit("0"), F.lit("z"))).alias("zero"), F.array(F.array(F.struct(F.array(F.col("o_orderkey")).alias("in"))), F.array().cast("array<struct<in:array<bigint>>>")).alias("deep"),
     )
@@ -44,8 +44,8 @@ def _documents(spark, sf):
 @register("""SELECT o_orderkey, '{"deep":[[{"in":[' || o_orderkey || ']}],[]],"list":["' || o_orderstatus || '",null],"none":[]' || CASE WHEN o_orderkey % 3 = 0 THEN ',"zero":{"0":"z"}' ELSE '' END || ',"~x":{"a/b":' || o_custkey || '}}' AS doc FROM orders""")
 def assembled_documents(spark, sf):
     """Documents to node rows and back: escaped names, empty containers, nulls, lists of lists, and an object whose only name is a number."""
-    docs = _documents(spark, sf)
-    return assembly.assemble(nodes.nodes(docs, "o_orderkey"), "o_orderkey", nodes.lists(docs, "o_orderkey")).select("o_orderkey", F.to_json("doc").alias("doc"))
+    leaves, lists = nodes.nodes_and_lists(_documents(spark, sf), "o_orderkey")
+    return assembly.assemble(leaves, "o_orderkey", lists).select("o_orderkey", F.to_json("doc").alias("doc"))
 
 
 @register("""SELECT c_nationkey, '{"openapi":"3.1.0","paths":{' || string_agg('"/c/{id}/' || c_custkey || '":{"get":{"operationId":"op' || c_custkey || '","parameters":[{' || CASE WHEN c_custkey % 2 = 0 THEN '"example":7' ELSE '"example":123' END || ',"in":"path","name":"id"}]}}', ',' ORDER BY CAST(c_custkey AS VARCHAR)) || '}}' AS doc FROM customer GROUP BY c_nationkey""")
@@ -57,8 +57,8 @@ def assembled_operations(spark, sf):
     operations = rows.select("c_nationkey", F.concat(F.lit("/c/{id}/"), "c_custkey").alias("path"), F.lit("get").alias("place"), made.alias("operation"))
     fixed = rows.select("c_nationkey").distinct().select("c_nationkey", F.explode(F.create_map(F.lit("/openapi"), F.lit('"3.1.0"'), F.lit("/apiDir"), F.lit('"src"'))).alias("pointer", "value"))
     whole = assembly.assemble(assembly.operation_nodes(operations, "c_nationkey", "path", "place", "operation").unionByName(fixed), "c_nationkey")
-    cleaned = assembly.clean(nodes.nodes(whole, "c_nationkey"), "c_nationkey")
-    return assembly.assemble(cleaned, "c_nationkey", nodes.lists(whole, "c_nationkey")).select("c_nationkey", F.to_json("doc").alias("doc"))
+    leaves, lists = nodes.nodes_and_lists(whole, "c_nationkey")
+    return assembly.assemble(assembly.clean(leaves, "c_nationkey"), "c_nationkey", lists).select("c_nationkey", F.to_json("doc").alias("doc"))
 
 
 @register("""
@@ -165,4 +165,4 @@ def finalized_structures(spark, sf):
     text = f'{{@v@"paths":{{"/a":{{"get":{operation}}}}},"components":{{"schemas":{inner}@s@}},"x-team":{{"paths":{{"/a":{{"get":{{"responses":{{"200":{{"summary":{k}}}}}}}}}}}}}}}'
     third = F.col("p_partkey") % 3
     filled = F.replace(F.replace(F.replace(F.lit(text), F.lit("@k@"), F.col("p_partkey").cast("string")), F.lit("@v@"), F.when(third == 1, '"openapi":"3.2.0",').otherwise("")), F.lit("@s@"), F.when(third > 0, scheme).otherwise(""))
-    return nodes.finalize(nodes.nodes(table(spark, sf, "part").select("p_partkey", F.parse_json(filled).alias("doc")), "p_partkey"), "p_partkey", "3.1")
+    return nodes.finalize(nodes.nodes(spread(table(spark, sf, "part")).select("p_partkey", F.parse_json(filled).alias("doc")), "p_partkey"), "p_partkey", "3.1")

@@ -118,3 +118,20 @@ def test_nodes_and_back(spark):
     assert assembly.assemble(leaves.limit(0), "k").count() == 0
     twice = spark.createDataFrame([(1, "/a", "2"), (1, "/a", "1"), (1, "/b", "5"), (1, "/b/c", "6")], "k long, pointer string, value string")
     assert assembly.assemble(twice, "k").select(F.to_json("doc").alias("t")).first()["t"] == '{"a":1,"b":{"c":6}}'
+
+
+def test_walk_of_long_documents(spark):
+    """Members of a long document are parsed anew: values, lists and whole numbers as doubles stay, and what is written doesn't hold all names for each member."""
+    import glob
+    import os
+
+    wide = {f"name{i}": {"a/b": [i, [], {"x": None}]} for i in range(3000)}
+    docs = spark.createDataFrame([(1, json.dumps(wide)), (2, '{"d":{"e":1}}'), (3, "7")], "k int, t string").select("k", F.parse_json("t").alias("doc"))
+    doubles = spark.range(1).select(F.lit(4).alias("k"), F.to_variant_object(F.struct(F.array_repeat(F.struct(F.lit(1.0).alias("v")), 3000).alias("l"))).alias("doc"))
+    leaves, lists = nodes.nodes_and_lists(docs.unionByName(doubles), "k")
+    got = {(r["k"], r["pointer"]): r["value"] for r in leaves.collect()}
+    assert got[2, "/d/e"] == "1" and got[3, ""] == "7" and got[4, "/l/2999/v"] == "1.0" and got[1, "/name2999/a~1b/0"] == "2999"
+    assert len(got) == 9000 + 2 + 3000 and sum(r["k"] == 1 for r in lists.collect()) == 6000
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    last = max(glob.glob(f"{folder}/loomdoc-walk-*"), key=os.path.getmtime)
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{last}/*.parquet")) < 5_000_000
