@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,9 +33,14 @@ def _all(comment: Column, pattern: str, group: int = 1) -> Column:
     return F.transform(F.regexp_extract_all(comment, F.lit(pattern), F.lit(group)), strip)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: what a lambda is given is a variable, while an expression is written out, and computed again, wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def last_by_key(entries: Column, key: str) -> Column:
     """Entries (structs) of which no later one has the same key."""
-    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x[key] == e[key]))
+    return bound(entries, lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda x: x[key] == e[key])))
 
 
 def clean_comment(comment: Column) -> Column:
@@ -99,20 +104,21 @@ def summary(comment: Column) -> Column:
 
 def required_flag(raw: Column) -> Column:
     """``(rest, required)``: a value without the flag at its end, and whether it is required (null: not said)."""
-    s = strip(raw)
     yes, no = r"(?i)(^|\s+)required(\s*=\s*true)?$", r"(?i)(^|\s+)(optional|required\s*=\s*false)$"
-    return F.when(s.rlike(yes), F.struct(strip(F.regexp_replace(s, yes, "")).alias("rest"), F.lit(True).alias("required"))).when(
-        s.rlike(no), F.struct(strip(F.regexp_replace(s, no, "")).alias("rest"), F.lit(False).alias("required"))
-    ).otherwise(F.struct(s.alias("rest"), F.lit(None).cast("boolean").alias("required")))
+    made = lambda s, pattern, flag: F.struct(strip(F.regexp_replace(s, pattern, "")).alias("rest"), F.lit(flag).alias("required"))
+    return bound(strip(raw), lambda s: F.when(s.rlike(yes), made(s, yes, True)).when(s.rlike(no), made(s, no, False)).otherwise(F.struct(s.alias("rest"), F.lit(None).cast("boolean").alias("required"))))
 
 
 def request_body(comment: Column) -> Column:
     """``(type, required)``: the last ``@requestBody`` with a type, or else the first ``@body`` with one; required if any of them says so."""
-    first = F.transform(_all(comment, _bounded("@requestBody")), required_flag)
-    second = F.transform(_all(comment, _bounded("@body")), required_flag)
+    bodies = lambda tag: F.transform(_all(comment, _bounded(tag)), required_flag)
     typed = lambda items: F.filter(items, lambda x: x["rest"] != "")["rest"]
-    names = F.concat(F.reverse(typed(first)), typed(second))
-    return F.struct(F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("type"), F.exists(F.concat(first, second), lambda x: F.coalesce(x["required"], F.lit(False))).alias("required"))
+
+    def made(both: Column) -> Column:
+        names = F.concat(F.reverse(typed(both["first"])), typed(both["second"]))
+        return F.struct(F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("type"), F.exists(F.concat(both["first"], both["second"]), lambda x: F.coalesce(x["required"], F.lit(False))).alias("required"))
+
+    return bound(F.struct(bodies("@requestBody").alias("first"), bodies("@body").alias("second")), made)
 
 
 def media_target(raw: Column) -> Column:
@@ -133,7 +139,7 @@ def _of_target(items: Column, target: str) -> Column:
 def item_types(comment: Column, tags: Sequence[str] = ("@itemSchema", "@responseItem")) -> Column:
     """``(request, response)``: the types of a sequence's items; the last of a target counts, null if none."""
     items = F.transform(_targeted(comment, tags), lambda x: F.struct(x["target"].alias("target"), F.regexp_extract(x["value"], r"^(\S*)", 1).alias("value")))
-    return F.struct(*[_of_target(items, t).alias(t) for t in ("request", "response")])
+    return bound(items, lambda found: F.struct(*[_of_target(found, t).alias(t) for t in ("request", "response")]))
 
 
 def item_encodings(comment: Column, tags: Sequence[str]) -> Column:
@@ -150,11 +156,16 @@ def _text_variant(s: Column) -> Column:
 
 def response_summaries(comment: Column) -> Column:
     """``(primary, by_status)``: the last summary without a status (null if none), and the last of each status."""
-    raws = F.filter(_all(comment, _bounded("@responseSummary")), lambda x: x != "")
-    status, rest = (lambda x: F.regexp_extract(x, r"^(\S+)\s+([\s\S]+)$", 1)), (lambda x: F.regexp_extract(x, r"^(\S+)\s+([\s\S]+)$", 2))
-    named = F.transform(F.filter(raws, lambda x: status(x).rlike(STATUS_TOKEN)), lambda x: F.struct(status(x).alias("k"), strip(rest(x)).alias("v")))
-    plain = F.filter(raws, lambda x: ~status(x).rlike(STATUS_TOKEN))
-    return F.struct(F.try_element_at(plain, F.lit(-1)).alias("primary"), F.map_from_entries(last_by_key(named, "k")).alias("by_status"))
+    pattern = r"^(\S+)\s+([\s\S]+)$"
+    lines = F.filter(_all(comment, _bounded("@responseSummary")), lambda x: x != "")
+    split = F.transform(lines, lambda x: F.struct(x.alias("raw"), F.regexp_extract(x, pattern, 1).alias("k"), strip(F.regexp_extract(x, pattern, 2)).alias("v")))
+
+    def made(raws: Column) -> Column:
+        named = F.transform(F.filter(raws, lambda x: x["k"].rlike(STATUS_TOKEN)), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
+        plain = F.filter(raws, lambda x: ~x["k"].rlike(STATUS_TOKEN))
+        return F.struct(F.try_element_at(plain, F.lit(-1))["raw"].alias("primary"), F.map_from_entries(last_by_key(named, "k")).alias("by_status"))
+
+    return bound(split, made)
 
 
 def _url_and_text(raw: Column) -> Column:
@@ -190,13 +201,17 @@ def security_requirements(raw: Column) -> Column:
         ),
     )
     ends = lambda x: (x["scheme"] != "") & ((x["sep"] == "") | (x["scoped"] & (x["sep"] == ",")))
-    open_ = F.filter(cut, lambda x, i: ~F.exists(F.slice(cut, 1, i), ends) & (x["scheme"] != ""))
-    number = lambda i: F.size(F.filter(F.slice(open_, 1, i), lambda x: (x["sep"] == ",") & ~x["scoped"]))
-    placed = F.transform(open_, lambda x, i: F.struct(number(i).alias("n"), x["scheme"].alias("scheme"), x["scopes"].alias("scopes")))
-    last = F.coalesce(F.array_max(F.transform(placed, lambda x: x["n"])), F.lit(-1))
-    of = lambda k: last_by_key(F.filter(placed, lambda x: x["n"] == k), "scheme")
-    maps = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.map_from_entries(F.transform(of(k), lambda x: F.struct(x["scheme"], x["scopes"]))))
-    return F.when(raw.isNotNull(), F.filter(maps, lambda m: F.size(m) > 0))
+    opened = lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, 1, i), ends) & (x["scheme"] != ""))
+    number = lambda open_, i: F.size(F.filter(F.slice(open_, 1, i), lambda x: (x["sep"] == ",") & ~x["scoped"]))
+    numbered = lambda open_: F.transform(open_, lambda x, i: F.struct(number(open_, i).alias("n"), x["scheme"].alias("scheme"), x["scopes"].alias("scopes")))
+
+    def maps(placed: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(placed, lambda x: x["n"])), F.lit(-1))
+        of = lambda k: last_by_key(F.filter(placed, lambda x: x["n"] == k), "scheme")
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.map_from_entries(F.transform(of(k), lambda x: F.struct(x["scheme"], x["scopes"]))))
+
+    found = bound(cut, lambda all_: bound(opened(all_), lambda open_: bound(numbered(open_), maps)))
+    return F.when(raw.isNotNull(), F.filter(found, lambda m: F.size(m) > 0))
 
 
 def apply_auth_presets(requirements: Column, presets: dict[str, str] = AUTH_PRESETS) -> Column:

@@ -9,7 +9,7 @@ from loomdoc.functions import text as texts
 from loomdoc.operators import operations
 from loomdoc.operators.records import computed_once
 from loomdoc.plans.named import register
-from loomdoc.sources.tables import table
+from loomdoc.sources.tables import spread, table
 
 _COMMENT = (
     "*\n * Order {k}\n * @openapi\n * @description Priority {p}\n * @operationId get-{k}\n * @method post\n * @tag Orders\n * @tagKind nav\n * @contentType text/{s}\n * @query Page<Order{s}>\n"
@@ -24,7 +24,7 @@ def _comments(spark, sf):
     filled = F.lit(_COMMENT)
     for mark, value in (("{k}", F.col("o_orderkey").cast("string")), ("{p}", F.col("o_orderpriority")), ("{s}", F.col("o_orderstatus"))):
         filled = F.replace(filled, F.lit(mark), value)
-    return table(spark, sf, "orders").select("o_orderkey", annotations.clean_comment(filled).alias("c"))
+    return computed_once(spread(table(spark, sf, "orders")).select("o_orderkey", filled.alias("raw")), c=annotations.clean_comment(F.col("raw"))).select("o_orderkey", "c")
 
 
 @register(
@@ -60,7 +60,8 @@ def annotation_bodies(spark, sf):
 def annotation_servers(spark, sf):
     c = F.col("c")
     shown = F.array_join(F.transform(annotations.security(c), lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";")), "|")
-    return _comments(spark, sf).select("o_orderkey", annotations.servers(c)[0]["url"].alias("url"), annotations.servers(c)[0]["description"].alias("server"), annotations.external_docs(c)["url"].alias("docs"), shown.alias("security"))
+    found = computed_once(_comments(spark, sf), server=annotations.servers(c)[0], docs=annotations.external_docs(c)["url"], security=shown)
+    return found.select("o_orderkey", F.col("server")["url"].alias("url"), F.col("server")["description"].alias("server"), "docs", "security")
 
 
 @register(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import annotations
 from loomdoc.operators import catalog, nodes
 from loomdoc.plans.named import register
-from loomdoc.sources.tables import table
+from loomdoc.sources.tables import spread, table
 
 
 @register("SELECT o_orderkey, 'Main' || CASE WHEN o_orderstatus = 'Main' THEN '' ELSE ',' || o_orderstatus END || ',x' AS tags, CASE WHEN o_orderkey % 2 = 0 THEN 'get' ELSE 'additionalOperations/LINK' END AS place FROM orders")
@@ -132,7 +132,7 @@ def reusable_actions(spark, sf):
 @register("SELECT DISTINCT o_orderkey, n AS name FROM orders, (VALUES ('Bearer'), ('key')) AS v(n) UNION ALL SELECT o_orderkey, 'S' || o_orderstatus FROM orders")
 def referenced_schemes(spark, sf):
     raw = F.concat(F.lit("Bearer:a|b; key, S"), F.col("o_orderstatus"), F.lit(", Bearer"))
-    return catalog.referenced_schemes(table(spark, sf, "orders").select("o_orderkey", annotations.security_requirements(raw).alias("security")), "o_orderkey")
+    return catalog.referenced_schemes(spread(table(spark, sf, "orders")).select("o_orderkey", annotations.security_requirements(raw).alias("security")), "o_orderkey")
 
 
 @register("SELECT c_custkey AS route, 'body' AS role, n_name || 'Body' AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 UNION ALL SELECT c_custkey, 'query', n_name || 'Query' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 = 0")

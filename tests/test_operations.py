@@ -58,3 +58,16 @@ def test_frameworks_and_servers(spark):
 def test_template_patterns(spark):
     parts = F.array(*[F.struct(F.lit(fixed).alias("fixed"), F.lit(text).alias("text")) for fixed, text in ((True, "a."), (False, "number"), (False, "string"))])
     assert spark.range(1).select(chains.template_pattern(parts).alias("p")).first()["p"] == r"^a\.-?\d+(\.\d+)?.*$"
+
+
+def test_requirements_and_bodies_are_cut_once(spark):
+    """The plan holds the tokens' expression once, and long lists come out right."""
+    from loomdoc.functions import annotations
+
+    raw = ",".join(f"s{i}:a|b;t{i}" for i in range(40))
+    df = spark.createDataFrame([(raw,)], "r string")
+    row = df.select(F.size(annotations.security_requirements(F.col("r"))).alias("n")).first()
+    assert row["n"] == 40
+    for column, name in ((annotations.security_requirements(F.col("r")), "regexp_extract_all"), (annotations.response_summaries(F.col("r")), "regexp_extract_all"), (annotations.item_types(F.col("r")), "@itemSchema")):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(name) == 1, plan
