@@ -122,7 +122,7 @@ def access_paths(accesses: DataFrame, members: DataFrame, references: DataFrame)
     open_ = written(accesses.select("id", "type", F.coalesce("steps", F.array().cast("array<string>")).alias("steps"), F.array("type").alias("seen"), none.alias("value")), "accesses")
     done = None
     while True:
-        follow = open_.join(references, "type", "left")
+        follow = written(open_.join(references, "type", "left"), "followed")
         cyclic = F.array_contains("seen", F.col("to"))
         referred = follow.where("to IS NOT NULL")
         here = follow.where("to IS NULL")
@@ -139,9 +139,9 @@ def access_paths(accesses: DataFrame, members: DataFrame, references: DataFrame)
             found.where("hit IS NULL").select("id", "type", none.alias("value"), F.when(F.col("known"), "no-member").otherwise("dangling").alias("code")),
             found.where("hit IS NOT NULL AND hit.t IS NULL").select("id", "type", F.when(F.size("steps") == 1, F.col("hit.v")).alias("value"), F.when(F.size("steps") > 1, "no-member").alias("code")),
         ]
-        more = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3])
+        # each round writes what ended in it, not what ended before once more
+        more = written(ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]), "accessed")
         done = more if done is None else done.unionByName(more)
-        done = written(done, "accessed")
         open_ = written(on.unionByName(referred.where(~cyclic).select("id", F.col("to").alias("type"), "steps", F.concat("seen", F.array("to")).alias("seen"), none.alias("value"))), "accesses")
         if not open_.take(1):
             return done
