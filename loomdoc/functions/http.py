@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomdoc.functions.annotations import strip
+from loomdoc.functions.annotations import bound, strip
 
 #: Error texts by status, keywords of error codes in their order.
 ERROR_TEXTS = {"400": "Bad Request", "401": "Unauthorized", "403": "Forbidden", "404": "Not Found", "409": "Conflict", "422": "Unprocessable Entity", "429": "Too Many Requests", "500": "Internal Server Error"}
@@ -139,14 +139,20 @@ def generic_arguments(s: Column) -> Column:
 
 def split_arguments(s: Column) -> Column:
     """Parts between commas outside angle brackets, trimmed; an empty last part is left out."""
-    parts = F.split(s, ",")
     depth = lambda x: F.length(F.regexp_replace(x, "[^<]", "")) - F.length(F.regexp_replace(x, "[^>]", ""))
     # a part begins a new argument if the brackets before it are closed
-    before = F.transform(parts, lambda x, i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, y: n + depth(y)))
-    starts = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(before, i) == 0)
-    ends = F.transform(starts, lambda x, k: F.coalesce(F.get(starts, k + 1), F.size(parts)))
-    joined = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: strip(F.array_join(F.slice(parts, r["a"] + 1, r["b"] - r["a"]), ",")))
-    return F.filter(joined, lambda x, i: (x != "") | (i < F.size(joined) - 1))
+    before = lambda depths: F.transform(depths, lambda x, i: F.aggregate(F.slice(depths, 1, i), F.lit(0), lambda n, y: n + y))
+
+    def joined(parts: Column, starts: Column) -> Column:
+        ends = F.transform(starts, lambda x, k: F.coalesce(F.get(starts, k + 1), F.size(parts)))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: strip(F.array_join(F.slice(parts, r["a"] + 1, r["b"] - r["a"]), ",")))
+
+    def cut(parts: Column) -> Column:
+        open_ = bound(F.transform(parts, depth), before)
+        starts = bound(open_, lambda found: F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(found, i) == 0))
+        return bound(starts, lambda found: bound(joined(parts, found), lambda all_: F.filter(all_, lambda x, i: (x != "") | (i < F.size(all_) - 1))))
+
+    return bound(F.split(s, ","), cut)
 
 
 def is_date_text(s: Column) -> Column:
@@ -156,14 +162,18 @@ def is_date_text(s: Column) -> Column:
 def property_comment(comment: Column) -> Column:
     """``(format, example, description)`` of a property's comment; the example is text (JSON or not), each null if missing."""
     lines = F.filter(F.transform(F.split(comment, "\n"), lambda x: strip(F.regexp_replace(x, r"^\s*\*\s?", ""))), lambda x: x != "")
-    text = strip(F.array_join(lines, " "))
-    kind = F.regexp_extract(text, r"@format\s+(\S+)", 1)
-    text = strip(F.regexp_replace(text, r"^(.*?)@format\s+\S+", "$1"))
-    example = strip(F.regexp_extract(text, r"@example\s+(.+?)(?=\s*@\w|$)", 1))
-    text = strip(F.regexp_replace(text, r"^(.*?)@example\s+.+?(?=\s*@\w|$)", "$1"))
-    rest = strip(F.regexp_replace(text, r"@\w+(?:\s+\S+)*", ""))
     none = F.lit("")
-    return F.struct(F.nullif(kind, none).alias("format"), F.nullif(example, none).alias("example"), F.nullif(rest, none).alias("description"))
+
+    def rest(said: Column) -> Column:
+        text = strip(F.regexp_replace(said["text"], r"^(.*?)@example\s+.+?(?=\s*@\w|$)", "$1"))
+        example = strip(F.regexp_extract(said["text"], r"@example\s+(.+?)(?=\s*@\w|$)", 1))
+        left = strip(F.regexp_replace(text, r"@\w+(?:\s+\S+)*", ""))
+        return F.struct(F.nullif(said["kind"], none).alias("format"), F.nullif(example, none).alias("example"), F.nullif(left, none).alias("description"))
+
+    def without_format(text: Column) -> Column:
+        return bound(F.struct(F.regexp_extract(text, r"@format\s+(\S+)", 1).alias("kind"), strip(F.regexp_replace(text, r"^(.*?)@format\s+\S+", "$1")).alias("text")), rest)
+
+    return bound(strip(F.array_join(lines, " ")), without_format)
 
 
 def schema_variable(type_name: Column) -> Column:

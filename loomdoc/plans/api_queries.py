@@ -168,7 +168,7 @@ def typed_responses(spark, sf):
 
 
 def _schemas(spark, sf):
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"))
     value = F.concat(
         F.lit('{"type":"object","required":["name"],"properties":{"id":{"type":"integer"},"name":{"type":"string","description":"'), F.col("p_name"), F.lit('"},"size":{"type":"integer","enum":['), F.col("p_size").cast("string"),
         F.lit(',1]},"filter":{"type":"object"},"photo":{"type":"object","description":"A File"},"blob":{"type":"array","items":{"type":"string","format":"binary"}},"free":{"in":"header"}}}'),
@@ -246,8 +246,10 @@ def type_texts(spark, sf):
     generic = http.generic_arguments(F.concat(F.lit("Base"), size, F.lit("<A, B<C, D>,"), F.col("p_brand"), F.lit(">")))
     said = http.property_comment(F.concat(F.lit("*\n * Size "), size, F.lit("\n * @format date\n * @example "), F.col("p_name"), F.lit("\n * @other x\n ")))
     field = F.element_at(F.array(F.lit("userName"), F.lit("stockCount"), F.lit("unitPrice"), F.lit("isOpen")), F.col("p_size") % 4 + 1)
-    return table(spark, sf, "part").select(
-        "p_partkey", generic["base"].alias("base"), F.array_join(generic["arguments"], "|").alias("arguments"), http.schema_variable(F.col("p_brand")).alias("variable"), said["format"].alias("format"), said["example"].alias("example"), said["description"].alias("description"), http.field_type(field)["type"].alias("type")
+    found = computed_once(spread(table(spark, sf, "part")).select("p_partkey", "p_brand", "p_size", "p_name"), generic=generic, said=said, field=http.field_type(field))
+    generic, said = F.col("generic"), F.col("said")
+    return found.select(
+        "p_partkey", generic["base"].alias("base"), F.array_join(generic["arguments"], "|").alias("arguments"), http.schema_variable(F.col("p_brand")).alias("variable"), said["format"].alias("format"), said["example"].alias("example"), said["description"].alias("description"), F.col("field")["type"].alias("type")
     )
 
 

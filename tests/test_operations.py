@@ -71,3 +71,14 @@ def test_requirements_and_bodies_are_cut_once(spark):
     for column, name in ((annotations.security_requirements(F.col("r")), "regexp_extract_all"), (annotations.response_summaries(F.col("r")), "regexp_extract_all"), (annotations.item_types(F.col("r")), "@itemSchema")):
         plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(name) == 1, plan
+
+
+def test_arguments_and_comments_are_cut_once(spark):
+    from loomdoc.functions import http
+
+    df = spark.createDataFrame([("A<B, C<D, E>,F>", "*\n * Size 1\n * @format date\n * @example x\n ")], "t string, c string")
+    row = df.select(http.generic_arguments(F.col("t")).alias("g"), http.property_comment(F.col("c")).alias("p")).first()
+    assert row["g"]["arguments"] == ["B", "C<D, E>", "F"] and tuple(row["p"]) == ("date", "x", "Size 1")
+    for column, name in ((http.split_arguments(F.col("t")), "split("), (http.property_comment(F.col("c")), "split(")):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(name) == 1, plan
