@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.operators import chains, checks, configs, helpers, nodes, timings
 from loomdoc.plans.named import register
-from loomdoc.sources.tables import table
+from loomdoc.sources.tables import spread, table
 
 _HELPERS = (
     ("literal", ("k",), """'{"type":"integer","enum":[' || p_partkey || ']}'"""), ("literal", ('["a","b",null]',), """'{"type":"string","enum":["a","b",null]}'"""), ("literal", ("[1,2.5]",), """'{"type":"number","enum":[1,2.5]}'"""),
@@ -118,7 +118,7 @@ def normalized_configs(spark, sf):
     framework = F.when(k % 3 > 0, F.struct(F.when(k % 3 == 1, "react-router").otherwise("unheard").alias("kind"), F.lit("a.ts").alias("adapterPath")))
     doc = F.struct(F.concat(F.lit("c"), k).alias("apiDir"), F.when(k % 2 == 0, F.array(F.lit("zod"), F.lit("typescript"), F.lit("zod"))).alias("schemaType"), F.when(k % 2 == 0, F.lit(False)).alias("cache"), version.alias("openapi"), framework.alias("framework"),
                    F.struct(F.lit("Own").alias("bearer"), F.lit("M").alias("more")).alias("authPresets"), F.struct(F.lit(1).alias("a")).alias("arazzo"))
-    return configs.normalized(table(spark, sf, "customer").select("c_custkey", F.parse_json(F.to_json(doc)).alias("doc")), "c_custkey")
+    return configs.normalized(spread(table(spark, sf, "customer")).select("c_custkey", F.parse_json(F.to_json(doc)).alias("doc")), "c_custkey")
 
 
 @register("""

@@ -30,7 +30,7 @@ def type_texts_tree(spark, sf):
     one = pick(key % 4, around("Set<", basic, ">"), around("(", basic, ")[]"), around("Map<string, ", basic, ">"), around("{ v: ", basic, "; w?: A }"))
     two = pick(F.floor(key / 4) % 6, around("", one, " | null"), around("Promise<", one, ">"), around("[", one, ", B]"), around("{ [name: string]: ", one, " }"), around("", one, " | C"), around("[A, ", one, "][1]"))
     whole = pick(F.floor(key / 24) % 3, two, around("Array<ReadonlySet<", two, ">>"), around("{\n  readOnly(): void\n  deep: Record<number, ", two, ">\n}"))
-    return type_trees.type_schemas(table(spark, sf, "part").select("p_partkey", whole.alias("text")), "p_partkey")
+    return type_trees.type_schemas(spread(table(spark, sf, "part")).select("p_partkey", whole.alias("text")), "p_partkey")
 
 
 def _documents(spark, sf):
