@@ -21,8 +21,8 @@ LEAD = WINDOW - STEP
 HEAD, CLUSTERS, MEMBERS = 47, 16, 96
 OUTPUTS, UNITS, RARE = HEAD + CLUSTERS + 1, HEAD + CLUSTERS * MEMBERS + 1, HEAD + CLUSTERS * MEMBERS
 
-#: Windows of a training step, of a scoring batch, and of the batches whose clusters are scored together; how often a shard's windows are gone through at most.
-BATCH, SCORED, GATHERED, PASSES = 48, 64, 1536, 4
+#: Windows of a scoring batch, and of the batches whose clusters are scored together.
+SCORED, GATHERED = 64, 1536
 
 _MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(STEP)[:, None] + LEAD, 0, -1e4).astype(np.float32)
 _PLACES = np.arange(WINDOW + 1)
@@ -239,21 +239,27 @@ def gradients(p: dict[str, np.ndarray], taken: np.ndarray, valid: np.ndarray) ->
     return float(-found[counts].sum() / n), g
 
 
-def train(p: dict[str, np.ndarray], taken: np.ndarray, valid: np.ndarray, steps: int, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """``steps`` Adam steps over shuffled windows, but ``PASSES`` over all of them at most; the rate falls to a tenth."""
-    steps = min(steps, -(-PASSES * len(taken) // BATCH))
-    p = {k: v.copy() for k, v in p.items()}
-    first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    rng, order, at = np.random.default_rng(seed), np.zeros(0, np.int64), 0
-    for step in range(1, steps + 1):
-        if at + BATCH > len(order):
-            order, at = np.concatenate([rng.permutation(len(taken)) for _ in range(-(-BATCH // len(taken)))]), 0
-        now, at = order[at : at + BATCH], at + BATCH
-        _, g = gradients(p, taken[now], valid[now])
-        lr = np.float32(rate * (1 - 0.9 * step / steps) / (1 - 0.9**step))
-        even = np.float32(1 / (1 - 0.99**step))
+class Training:
+    """Adam steps over windows as they come, from parameters on. ``rate`` holds for the first ``slowing`` steps, more or less, and falls with the root of the steps from there."""
+
+    def __init__(self, p: dict[str, np.ndarray], rate: float, batch: int, slowing: int, seed: int = 1):
+        self.p, self.rate, self.batch, self.slowing = {k: v.copy() for k, v in p.items()}, rate, batch, slowing
+        self.first, self.second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+        self.rng, self.steps, self.seen = np.random.default_rng(seed), 0, 0
+
+    def learn(self, taken: np.ndarray, valid: np.ndarray) -> None:
+        """One pass over all these windows, shuffled."""
+        if not len(taken):
+            return
+        for now in np.array_split(self.rng.permutation(len(taken)), -(-len(taken) // self.batch)):
+            self._step(gradients(self.p, taken[now], valid[now])[1])
+        self.seen += int(valid.sum())
+
+    def _step(self, g: dict[str, np.ndarray]) -> None:
+        self.steps += 1
+        lr = np.float32(self.rate / np.sqrt(1 + self.steps / self.slowing) / (1 - 0.9**self.steps))
+        even = np.float32(1 / (1 - 0.99**self.steps))
         for k, d in g.items():
-            first[k] += np.float32(0.1) * (d - first[k])
-            second[k] += np.float32(0.01) * (d * d - second[k])
-            p[k] -= lr * first[k] / (np.sqrt(second[k] * even) + np.float32(1e-8))
-    return p
+            self.first[k] += np.float32(0.1) * (d - self.first[k])
+            self.second[k] += np.float32(0.01) * (d * d - self.second[k])
+            self.p[k] -= lr * self.first[k] / (np.sqrt(self.second[k] * even) + np.float32(1e-8))

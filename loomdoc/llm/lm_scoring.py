@@ -2,10 +2,9 @@
 
 A text is its words, A-Z lower-cased, and an end; the subword ids of a word are those of the word with a space before it. So a word's ids are made once however often it stands there.
 
-1. One pass over all texts counts words, and the counted words give the corpus counts of subword ids; all these counts are exact and over all documents.
-2. Counts of ids give the model's units and its output biases. Its weights are fitted on segments of texts: those whose hash is below a share, which is chosen so that
-   about ``TRAIN_BYTES`` plus one part in ``TRAIN_PART`` of all text is taken, so the fit grows with the corpus. One shard of segments is trained first; from there
-   all shards (``SHARD_BYTES`` each, a task for each) are trained side by side and their weights averaged, in a tree of bounded groups.
+1. One pass over all texts counts words and subword ids, and writes each text with its ids; all these counts are exact and over all documents.
+2. Counts of ids give the model's units and its output biases. Its weights begin with a task that learns from a few documents (about ``TRAIN_BYTES`` of text, ``BEGIN_PASSES`` times);
+   from there every task learns from all the learned texts of its partition, once, and the tasks' weights are averaged by how much each learned from, in a tree of bounded groups.
 3. One pass scores whole texts: overlapping windows in batches, each id predicted once. The same pass adds up the unigram score of the most frequent words
    (``HEAD_WORDS``, of ``HEAD_BYTES`` together, broadcast); a document's other words leave it as counts, are joined with the corpus counts and added.
 """
@@ -13,27 +12,27 @@ A text is its words, A-Z lower-cased, and an end; the subword ids of a word are
 from __future__ import annotations
 
 import base64
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm import attention_model as network
 from loomdoc.llm.common import byte_batches, giving_back, steady_heap, written
 
-#: What is learned from: bytes, a part of all bytes, bytes of a segment and of a shard, steps of the first shard and of each other.
-TRAIN_BYTES, TRAIN_PART, SEGMENT, SHARD_BYTES, FIRST_STEPS, STEPS = 4 << 20, 100, 2048, 2 << 20, 1500, 400
+#: What the weights begin with: bytes of text, and passes over it. Windows of a step, rates and the steps after which these slow down: there, and over all the text.
+TRAIN_BYTES, BEGIN_PASSES, BEGIN, WHOLE = 2 << 20, 4, (48, 1.5e-2, 400), (256, 3e-3, 200)
 
 #: The broadcast part of the words: number, bytes of all, bytes of one.
 HEAD_WORDS, HEAD_BYTES, LONGEST_WORD = 1 << 18, 8 << 20, 1 << 10
 
-#: Bytes of text whose words are combined before rows leave a task; bytes that are scored together; words a task remembers, and encodes together; characters of a word that are encoded together.
-COUNT_BYTES, SCORE_BYTES, REMEMBERED, TOGETHER, LONGEST = 32 << 20, 1 << 20, 500_000, 4096, 256
+#: Bytes that are read or scored together; words a task remembers (and combines before rows leave it), and encodes together; characters of a word that are encoded together.
+SCORE_BYTES, REMEMBERED, TOGETHER, LONGEST = 1 << 20, 500_000, 4096, 256
 
 _REST = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 _loaded: dict = {}
@@ -68,16 +67,16 @@ def vocabulary_size(path: str) -> int:
 
 
 class Words:
-    """The words that a task has met: their numbers in order, the place of each among the words of ``head`` (or -1), and their ids side by side in one array."""
+    """The words that a task has met: their numbers in order, and their ids side by side in one array."""
 
-    def __init__(self, path: str, head: dict[bytes, int] | None = None):
-        self.encoding, self.head = _encoding(path), head or {}
+    def __init__(self, path: str):
+        self.encoding = _encoding(path)
         self.bytes_of = _loaded[path, "bytes"]
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.ids, self.ends, self.heads = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, and each word's number of ids: many words are encoded as one text, whose ids are dealt out by their bytes."""
@@ -100,7 +99,7 @@ class Words:
         return np.concatenate(parts), np.concatenate(sizes)
 
     def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The head's places of all words of the texts, all their ids, and each text's number of ids."""
+        """The numbers of all words of the texts, all their ids, and each text's number of ids."""
         if len(self.place) > REMEMBERED:
             self.clear()
         place = self.place
@@ -109,13 +108,11 @@ class Words:
             place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
             ids, sizes = self.encode_new(new)
             self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-            get = self.head.get
-            self.heads = np.concatenate([self.heads, np.array([get(w, -1) for w in new], np.int64)])
         at = np.array(list(map(place.__getitem__, chain.from_iterable(texts))), np.int64)
         sizes = self.ends[at + 1] - self.ends[at]
         flat = self.ids[np.arange(sizes.sum()) + (self.ends[at] - np.cumsum(sizes) + sizes).repeat(sizes)]
         whole = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(own) for own in texts]))]
-        return self.heads[at], flat, np.diff(whole)
+        return at, flat, np.diff(whole)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes]]]:
@@ -135,65 +132,79 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
         yield keys, texts
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words in texts that are learned from, and in all texts."""
-    for keys, texts in _chunks(batches, COUNT_BYTES):
-        learned, everywhere = Counter(), Counter()
-        for (held_out,), text in zip(keys, texts, strict=True):
-            (everywhere if held_out else learned).update(text.lower().split())
-        everywhere.update(learned)
-        yield pa.RecordBatch.from_arrays([pa.array(list(everywhere), pa.string()), pa.array([learned[w] for w in everywhere], pa.int64()), pa.array(list(everywhere.values()), pa.int64())], ["word", "n", "n_all"])
+def _id_type(ids: int) -> type:
+    """What ids are stored as."""
+    return np.uint16 if ids <= 1 << 16 else np.int32
 
 
-def _count_ids(path: str):
-    """Counts of ids, from counts of words."""
+_READ = "key long, held_out boolean, text binary, ids binary, word string, id int, n long, n_all long"
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
-        counts = np.zeros(len(words.bytes_of), np.int64)
-        for batch in batches:
-            names = [w.encode() for w in batch.column(0).to_pylist()]
-            for at in range(0, len(names), 1 << 16):
-                ids, sizes = words.encode_new(names[at : at + (1 << 16)])
-                np.add.at(counts, ids, batch.column(1).to_numpy()[at : at + (1 << 16)].repeat(sizes))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["id", "n"])
 
-    return giving_back(task)
+def _read(path: str):
+    """Rows of texts with their ids; rows of words and of ids with their counts in texts that are learned from, those of words in all texts, too."""
 
+    def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        types = {"key": pa.int64(), "held_out": pa.bool_(), "text": pa.binary(), "ids": pa.binary(), "word": pa.string(), "id": pa.int32(), "n": pa.int64(), "n_all": pa.int64()}
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in types.items()], list(types))
 
-def _segments(share: float):
-    """Segments of texts that are learned from, of which a hash of the document's key and the segment's number takes the share."""
+    def counted(words: Words, learned: np.ndarray, everywhere: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = list(words.place)
+        for at in range(0, len(names), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            yield rows(len(names[some]), word=pa.array(names[some], pa.string()), n=pa.array(learned[some]), n_all=pa.array(everywhere[some]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _chunks(batches, COUNT_BYTES):
-            taken = []
-            for (key,), text in zip(keys, texts, strict=True):
-                numbers = np.arange(-(-len(text) // SEGMENT), dtype=np.uint64)
-                mixed = (numbers + np.uint64(zlib.crc32(str(key).encode()) + 1)) * np.uint64(0x9E3779B97F4A7C15)
-                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                for i in np.flatnonzero((mixed >> np.uint64(40)) < share * (1 << 24)).tolist():
-                    taken.append(text[i * SEGMENT : (i + 1) * SEGMENT].decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(taken, pa.string())], ["text"])
+        steady_heap()
+        words = Words(path)
+        kind, of_ids = _id_type(len(words.bytes_of)), np.zeros(len(words.bytes_of), np.int64)
+        learned = everywhere = np.zeros(0, np.int64)
+        for keys, texts in _chunks(batches, SCORE_BYTES):
+            if len(words.place) > REMEMBERED:
+                yield from counted(words, learned, everywhere)
+                words.clear()
+                learned = everywhere = np.zeros(0, np.int64)
+            split = [t.lower().split() for t in texts]
+            at, ids, sizes = words.encode(split)
+            held = np.array([k[1] for k in keys], bool)
+            own = at[~held.repeat([len(s) for s in split])]
+            learned, everywhere = (np.pad(c, (0, len(words.place) - len(c))) + np.bincount(a, minlength=len(words.place)) for c, a in ((learned, own), (everywhere, at)))
+            of_ids += np.bincount(ids[~held.repeat(sizes)], minlength=len(of_ids))
+            ends = np.append(0, np.cumsum(sizes)) * np.dtype(kind).itemsize
+            stored = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype(kind))])
+            yield rows(len(texts), key=pa.array([k[0] for k in keys], pa.int64()), held_out=pa.array(held), text=pa.array(texts, pa.binary()), ids=stored)
+        yield from counted(words, learned, everywhere)
+        some = np.flatnonzero(of_ids)
+        yield rows(len(some), id=pa.array(some, pa.int32()), n=pa.array(of_ids[some]))
 
     return giving_back(task)
 
 
-def _trained(path: str, units, start, steps: int, rate: float):
-    """A shard's weights after training on its segments."""
+def _units(stored: list[bytes], units: network.Units) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of texts, each with an end mark behind its last, and each text's number of ids."""
+    kind = np.dtype(_id_type(len(units.unit) - 1))
+    sizes = np.array([len(own) // kind.itemsize for own in stored])
+    return np.insert(np.frombuffer(b"".join(stored), kind).astype(np.int32), np.cumsum(sizes), len(units.unit) - 1), sizes + 1
+
+
+def _trained(units, start, form: tuple[int, float, int], passes: int = 1, most: int | None = None):
+    """The weights after learning from all texts of a partition (from no further ones once ``most`` targets are reached), times the number of targets."""
 
-    def task(key: tuple, table: pa.Table) -> pa.Table:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_heap()
-        texts = [t.encode().lower().split() for t in sorted(table.column("text").to_pylist())]
-        own, params = units.value, network.unpack(start.value, network.begin(units.value))
-        _, ids, sizes = Words(path).encode(texts)
-        end = len(own.unit) - 1
-        ids, sizes = np.insert(ids, np.cumsum(sizes), end), sizes + 1
-        taken, valid, _ = network.windows(own.unit[ids], sizes)
-        params = network.train(params, taken, valid, steps, rate, int(key[0].as_py()) + 1)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([1], pa.int64()), "weights": pa.array([network.pack(params).astype(np.float64).tobytes()], pa.binary())})
+        own, (batch, rate, slowing) = units.value, form
+        training = network.Training(network.unpack(start.value, network.begin(own)), rate, batch, slowing)
+        for _, stored in _chunks(batches, SCORE_BYTES):
+            if most is not None and training.seen >= most:
+                continue
+            ids, sizes = _units(stored, own)
+            taken, valid, _ = network.windows(own.unit[ids], sizes)
+            for _ in range(passes):
+                training.learn(taken, valid)
+        if training.seen:
+            weights = network.pack(training.p).astype(np.float64) * training.seen
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([training.seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["shard", "n", "weights"])
 
-    return task
+    return giving_back(task)
 
 
 def _added(key: tuple, table: pa.Table) -> pa.Table:
@@ -204,45 +215,45 @@ def _added(key: tuple, table: pa.Table) -> pa.Table:
 _WEIGHTS = "shard long, n long, weights binary"
 
 
-def _averaged(shards: DataFrame, count: int, most: int = 16) -> np.ndarray | None:
-    """The mean of the shards' weights: groups of at most ``most`` are added until so few are left."""
+def _averaged(shards: DataFrame, most: int = 16) -> np.ndarray | None:
+    """The mean of the shards' weights: groups of about ``most`` are added until so few are left."""
     rows = written(shards, "weights")
+    count = rows.count()
     while count > most:
         count = -(-count // most)
-        rows = written(rows.groupBy(F.pmod(F.col("shard"), F.lit(count)).alias("shard")).applyInArrow(_added, _WEIGHTS), "weights")
+        rows = written(rows.withColumn("shard", F.pmod("shard", F.lit(count))).groupBy("shard").applyInArrow(_added, _WEIGHTS), "weights")
     parts = rows.collect()
-    return sum(np.frombuffer(r["weights"], np.float64) for r in parts) / sum(r["n"] for r in parts) if parts else None
+    return (sum(np.frombuffer(r["weights"], np.float64) for r in parts) / sum(r["n"] for r in parts)).astype(np.float32) if parts else None
 
 
-def fit(docs: DataFrame, tokenizer_path: str, counts: np.ndarray, train_bytes: int = TRAIN_BYTES, train_part: int = TRAIN_PART) -> tuple:
-    """Units and weights of the model: ``docs`` has ``key`` and ``text`` (binary), ``counts`` the corpus count of every id, the end mark's last."""
+def fit(docs: DataFrame, counts: np.ndarray, train_bytes: int = TRAIN_BYTES) -> tuple:
+    """Units and weights of the model, learned from every row of ``docs (ids)``; ``counts`` has the corpus count of every id, the end mark's last."""
     context = docs.sparkSession.sparkContext
     units = network.units_of(counts)
-    start = network.pack(network.begin(units))
-    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1.0, (train_bytes + whole / train_part) / max(1, whole))
-    segments = written(docs.select("key", "text").mapInArrow(_segments(share), "text string").select("text", F.monotonically_increasing_id().alias("at")), "segments")
-    shards = max(1, round((segments.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES))
-    dealt = segments.select("text", F.pmod(F.xxhash64("at"), F.lit(shards)).alias("shard"))
-    sent = context.broadcast(units)
-    for rows, steps, rate, number in ((dealt.where("shard = 0"), FIRST_STEPS, 1.5e-2, 1), (dealt, STEPS, 3e-3, shards)):
-        found = _averaged(rows.groupBy("shard").applyInArrow(_trained(tokenizer_path, sent, context.broadcast(start), steps, rate), _WEIGHTS), number)
-        start = start if found is None else found.astype(np.float32)
+    sent, start = context.broadcast(units), network.pack(network.begin(units))
+    whole = docs.select("ids").withColumn("row_key", F.monotonically_increasing_id())
+    # about three bytes of text to an id
+    parts = max(1, round(int(counts.sum()) * 3 / max(1, train_bytes)))
+    first = whole.where(F.pmod(F.xxhash64("row_key"), F.lit(parts)) == 0).select("ids").repartition(1)
+    most = BEGIN_PASSES * max(1, train_bytes)
+    for rows, made in ((first, (BEGIN, BEGIN_PASSES, most)), (whole.select("ids"), (WHOLE,))):
+        found = _averaged(rows.mapInArrow(_trained(sent, context.broadcast(start), *made), _WEIGHTS))
+        start = start if found is None else found
     return units, start
 
 
-def _scored(path: str, model, head):
+def _scored(model, head):
     """Each row's model score and its words' unigram score; words outside the head leave as counts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_heap()
         (units, weights), (names, logs, seen) = model.value, head.value
-        words, end, others = Words(path, {w: i for i, w in enumerate(names)}), len(units.unit) - 1, len(names)
+        place, others = {w: i for i, w in enumerate(names)}, len(names)
         params = network.unpack(weights, network.begin(units))
         for keys, texts in _chunks(batches, SCORE_BYTES):
             split = [t.lower().split() for t in texts]
-            at, ids, sizes = words.encode(split)
-            ids, sizes = np.insert(ids, np.cumsum(sizes), end), sizes + 1
+            at = np.array([place.get(w, others) for w in chain.from_iterable(split)], np.int64)
+            ids, sizes = _units([k[1] for k in keys], units)
             unit = units.unit[ids]
             taken, valid, _ = network.windows(unit, sizes)
             found = network.log_probabilities(params, taken, valid)
@@ -251,8 +262,7 @@ def _scored(path: str, model, head):
             score = np.add.reduceat(found, np.cumsum(sizes) - sizes) / np.log(10)
             number = np.array([len(own) for own in split])
             spans = list(zip((np.cumsum(number) - number).tolist(), np.cumsum(number).tolist(), strict=True))
-            outside = at < 0
-            at[outside] = others
+            outside = at == others
             sums = [[c[at[a:b]].sum() for a, b in spans] for c in (logs, seen)]
             rest = [Counter([own[i] for i in np.flatnonzero(outside[a:b]).tolist()]) for own, (a, b) in zip(split, spans, strict=True)]
             flat = pa.StructArray.from_arrays([pa.array([w for r in rest for w in r], pa.string()), pa.array([n for r in rest for n in r.values()], pa.int64())], ["word", "n"])
@@ -279,7 +289,7 @@ def _head(words: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [w.encode() for w in head.column("word").to_pylist()], np.append(np.log10(counts + 0.5), 0), np.append(counts > 0, 0).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 1, train_bytes: int = TRAIN_BYTES, train_part: int = TRAIN_PART) -> DataFrame:
+def score_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 1, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs``; other columns, whatever their names, are left out.
 
     Rows whose crc32 of the id modulo ``fold`` is ``held`` are held out; a null id isn't. Null texts count as empty: they have the end as their only token. Repeated rows, and rows
@@ -290,19 +300,19 @@ def score_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     byte_batches(spark)
     held_out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(fold)) == held, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("key"), held_out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    counted = rows.select("held_out", "text").mapInArrow(giving_back(_count_words), "word string, n long, n_all long")
-    words = written(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "lm-words")
+    read = written(rows.mapInArrow(_read(tokenizer_path), _READ), "lm-texts")
+    texts = read.where("ids IS NOT NULL")
+    words = written(read.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "lm-words")
     totals = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    ends = rows.where(~F.col("held_out")).count()
+    ends = texts.where("NOT held_out").count()
     train_tokens, known = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     counts = np.zeros(vocabulary_size(tokenizer_path) + 1, np.int64)
     counts[-1] = ends
-    ids = words.where("n > 0").select("word", "n").mapInArrow(_count_ids(tokenizer_path), "id int, n long")
-    for r in ids.groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many as the vocabulary has at most
+    for r in read.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many as the vocabulary has at most
         counts[r["id"]] = r["n"]
-    model = spark.sparkContext.broadcast(fit(rows.where(~F.col("held_out")), tokenizer_path, counts, train_bytes, train_part))
+    model = spark.sparkContext.broadcast(fit(texts.where("NOT held_out"), counts, train_bytes))
     head = spark.sparkContext.broadcast(_head(words))
-    scored = rows.select("key", "text").mapInArrow(_scored(tokenizer_path, model, head), "key long, n_tokens long, score double, head_score double, head_known long, rest array<struct<word:string,n:long>>")
+    scored = texts.select("key", "ids", "text").mapInArrow(_scored(model, head), "key long, n_tokens long, score double, head_score double, head_known long, rest array<struct<word:string,n:long>>")
     scored = written(scored.withColumn("row_key", F.monotonically_increasing_id()), "lm-scores")
     rest = scored.select("row_key", F.explode("rest").alias("x")).select("row_key", "x.word", F.col("x.n").alias("times"))
     joined = rest.join(words.select("word", "n"), "word", "left").select("row_key", "times", F.coalesce("n", F.lit(0)).alias("n"))

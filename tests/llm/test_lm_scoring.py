@@ -130,3 +130,35 @@ def test_words_encoded_together_are_words_encoded_alone():
         assert ids[a:b].tolist() == lm_scoring.encode_word(found.encoding, word)
     _, flat, each = found.encode([words, [], [b"ok", b"ok"]])
     assert flat[: each[0]].tolist() == ids.tolist() and each[1] == 0 and each[2] == 2 * sizes[-1]
+
+
+def test_weights_are_learned_from_every_text(spark):
+    """The targets that the tasks learned from are all ids and ends of the learned texts, beyond what the weights begin with, and a text outside that beginning changes them."""
+    rng = np.random.default_rng(3)
+    kind = lm_scoring._id_type(3000)
+    rows = [(rng.integers(0, 200, int(rng.integers(0, 400))).astype(kind).tobytes(),) for _ in range(60)]
+    counts = np.bincount(np.concatenate([np.frombuffer(r[0], kind) for r in rows]), minlength=3001)
+    counts[-1] = 60
+    seen, averaged = [], lm_scoring._averaged
+
+    def watched(shards):
+        held = shards.collect()
+        seen.append(sum(r["n"] for r in held))
+        return averaged(spark.createDataFrame(held, lm_scoring._WEIGHTS))
+
+    lm_scoring._averaged = watched
+    try:
+        frame = spark.createDataFrame(rows, "ids binary").repartition(3)
+        units, one = lm_scoring.fit(frame, counts, train_bytes=3000)
+        odd = np.full(2000, 7, kind).tobytes()
+        _, other = lm_scoring.fit(frame.unionByName(spark.createDataFrame([(odd,)], "ids binary")), counts, train_bytes=3000)
+    finally:
+        lm_scoring._averaged = averaged
+    assert seen[1] == counts.sum() > seen[0] / lm_scoring.BEGIN_PASSES
+    assert seen[3] == counts.sum() + 2001 and not np.array_equal(one, other)
+
+
+def test_weights_of_many_tasks_are_averaged_by_what_each_learned_from(spark):
+    rows = [(i, i + 1, np.array([i, 2.0 * i]) * (i + 1)) for i in range(40)]
+    frame = spark.createDataFrame([(i, n, w.tobytes()) for i, n, w in rows], lm_scoring._WEIGHTS)
+    assert np.allclose(lm_scoring._averaged(frame), sum(w for _, _, w in rows) / sum(n for _, n, _ in rows))
