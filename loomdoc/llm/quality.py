@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.byte_contexts import Tables, count_grams, places, raw_texts, text_sums
-from loomdoc.llm.common import byte_batches, giving_back, written
+from loomdoc.llm.common import byte_batches, give_back, giving_back, written
 
 #: The part of each language's trusted places whose contexts, the most frequent ones, are in the head, and the head's numbers at most (32 MB before compression).
 HEAD_SHARE, HEAD_CELLS = 0.99, 4_000_000
@@ -41,6 +41,11 @@ UPPER, SPREAD = 0.9, 2.0
 BROADCAST_IDS = 2_000_000
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """A side of a join that is sorted, however small it is: each of a model's many joins would otherwise be built up in the driver on small tables, which takes more of its memory than large ones do."""
+    return df.hint("merge")
+
+
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id some label calls of quality 1 and none calls toxic or of quality 0."""
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0")
@@ -67,12 +72,12 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         cut = own.join(discounts, "lang").withColumn("cut", discount)
         masses = cut.groupBy("lang", "context").agg(F.sum("n").alias("mass"), F.sum("cut").alias("freed")).withColumn("gamma", F.col("freed") / F.col("mass"))
-        joined = cut.join(masses, ["lang", "context"])
+        joined = cut.join(_sorted(masses), ["lang", "context"])
         if lower is None:
             joined = joined.withColumn("p0", F.lit(1 / SYMBOLS))
         else:
             suffix = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p0"))
-            joined = joined.withColumn("suffix", F.col("gram") % SYMBOLS ** (k - 1)).join(suffix, ["lang", "suffix"])
+            joined = joined.withColumn("suffix", F.col("gram") % SYMBOLS ** (k - 1)).join(_sorted(suffix), ["lang", "suffix"])
         lower = written(joined.select("lang", F.lit(k).alias("k"), "gram", "context", ((F.col("n") - F.col("cut")) / F.col("mass") + F.col("gamma") * F.col("p0")).alias("p"), "gamma", "mass"), f"kn{k}")
         levels[k] = lower
     every = levels[1].union(levels[2]).union(levels[3]).union(levels[4])
@@ -109,8 +114,8 @@ def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list
     three = ranked.where(F.col("f") >= enough).select("lang", F.lit(4).alias("k"), "context")
     kept = three.union(three.select("lang", F.lit(3), F.col("context") % SYMBOLS**2).distinct()).union(three.select("lang", F.lit(2), F.col("context") % SYMBOLS).distinct())
     kept = written(kept.union(three.select("lang", F.lit(1), F.lit(0).cast("long")).distinct()), "head")
-    rows = grams.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).join(kept, ["lang", "k", "context"], "left_semi").select("lang", "k", "gram", "p").toArrow()
-    weights = contexts.join(kept, ["lang", "k", "context"], "left_semi").select("lang", "k", "context", "gamma").toArrow()
+    rows = grams.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).join(_sorted(kept), ["lang", "k", "context"], "left_semi").select("lang", "k", "gram", "p").toArrow()
+    weights = contexts.join(_sorted(kept), ["lang", "k", "context"], "left_semi").select("lang", "k", "context", "gamma").toArrow()
     lists = kept.toArrow()
     models = {}
     for lang in langs:
@@ -121,7 +126,7 @@ def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list
         c_k, c_context = c.column("k").to_numpy(), c.column("context").to_numpy()
         place = columns[lang]
         width = int(place.max()) + 1
-        parent, before, made = np.full((1, width), 1 / SYMBOLS), np.zeros(1, np.int64), []
+        parent, before = np.full((1, width), 1 / SYMBOLS), np.zeros(1, np.int64)
         for k in (1, 2, 3, 4):
             wanted = np.sort(c_context[c_k == k])
             below = parent if k == 1 else parent[np.searchsorted(before, wanted % SYMBOLS ** (k - 2))]
@@ -131,8 +136,9 @@ def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list
             gram = r_gram[r_k == k]
             parent[np.searchsorted(wanted, gram // SYMBOLS), place[gram % SYMBOLS]] = r_p[r_k == k]
             before = wanted
-            made.append((wanted, parent))
         models[lang] = np.zeros(0, np.int64), before, -np.log2(np.concatenate([np.ones((SYMBOLS, width)), parent]))
+    del rows, weights, lists, own
+    give_back()
     return Tables(CLASSES, SYMBOLS, models, columns)
 
 
@@ -194,7 +200,7 @@ def gram_bits(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataF
         own = grams.where(F.col("k") == k).select(F.col("lang").alias("model"), F.col("gram").alias("__g"), F.col("p").alias(f"p{k}"))
         weight = contexts.where(F.col("k") == k).select(F.col("lang").alias("model"), F.col("context").alias("__c"), F.col("gamma").alias(f"g{k}"))
         found = found.withColumns({"__g": F.col("gram") % SYMBOLS**k, "__c": F.floor(F.col("gram") / SYMBOLS) % SYMBOLS ** (k - 1)})
-        found = found.join(own, ["model", "__g"], "left").join(weight, ["model", "__c"], "left").drop("__g", "__c")
+        found = found.join(_sorted(own), ["model", "__g"], "left").join(_sorted(weight), ["model", "__c"], "left").drop("__g", "__c")
         p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"g{k}"), F.lit(1.0)) * p)
     return found.select("model", "gram", (-F.log2(p)).alias("each"))
 
@@ -212,10 +218,10 @@ def score(docs: DataFrame, grams: DataFrame, contexts: DataFrame, head: Tables,
     passed = written(passed, "scored")
     away = passed.where("gram IS NOT NULL").select("row", "model", "gram", "n")
     each = written(gram_bits(away.select("model", "gram").distinct(), grams, contexts), "gram-bits")
-    more = written(away.join(each, ["model", "gram"]).groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more")), "more")
+    more = written(away.join(_sorted(each), ["model", "gram"]).groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more")), "more")
     rows = passed.where("gram IS NULL")
     # rows with nothing outside the head aren't shuffled
-    joined = rows.where("n > 0").join(more, "row").select(*kept, "model", "n_symbols", mean(F.col("bits") + F.col("more")))
+    joined = rows.where("n > 0").join(_sorted(more), "row").select(*kept, "model", "n_symbols", mean(F.col("bits") + F.col("more")))
     return rows.where("n = 0").select(*kept, "model", "n_symbols", mean(F.col("bits"))).union(joined)
 
 

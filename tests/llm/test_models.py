@@ -157,3 +157,12 @@ def test_labels_and_scales_of_vectors(spark):
     rows = [(1, [2.0, 3.0], "a,1.0"), (2, [1.0, 2.0, 3.0], "a"), (3, [1e-200, 2e-200], "b"), (4, [1e200, 2e200], "b"), (5, [1.0, 2.0], "b"), (6, [-0.0, 0.0], "b")]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
     assert got == {1: (0, 1), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6)}
+
+
+def test_quality_joins_tables_that_grow_with_the_text_without_broadcasts(spark):
+    """What the driver holds of a small model's joins is one row for each language, and the head."""
+    wanted = spark.createDataFrame([("", 5)], "model string, gram long")
+    grams = spark.createDataFrame([("", 1, 5, 0.5)], "lang string, k int, gram long, p double")
+    contexts = spark.createDataFrame([("", 1, 0, 0.5)], "lang string, k int, context long, gamma double")
+    plan = quality.gram_bits(wanted, grams, contexts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
