@@ -6,18 +6,21 @@ Matches keep document order and duplicates. Members are visited in the order VAR
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import dataclass
+from itertools import takewhile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.operators.records import computed_once
+from loomdoc.sources.shared import written
+
 _NAME = re.compile(r"[A-Za-z_][\w-]*")
 _INTEGER = re.compile(r"-?\d+")
 _PREDICATE = re.compile(r"""@(?:\.(\w+)|\[['"]([^'"]+)['"]\])\s*(==|!=)\s*(.+)""")
 
-#: Nodes above each other that ``..`` follows: as many as a VARIANT that is parsed from JSON can hold.
-MOST_DEPTH = 1000
+#: Levels that ``..`` goes down in a pass.
+LEVELS = 8
 
 
 @dataclass(frozen=True)
@@ -114,9 +117,17 @@ def _children(nodes: DataFrame) -> DataFrame:
     return found.select(*keep, F.concat("ord", F.array("__pos")).alias("ord"), "key", F.col("__value").alias("value"))
 
 
-def _place(nodes: DataFrame, path: str, key, at: int) -> DataFrame:
-    """The one node at a place, read by its path: a JSON null is a node, a missing one is none."""
-    return nodes.withColumns({"ord": F.concat("ord", F.array(F.lit(at))), "key": F.lit(key).cast("string"), "value": F.try_variant_get("value", path, "variant")}).where("value IS NOT NULL")
+def _is_plain(segment: Segment) -> bool:
+    return segment.kind == "child" and "'" not in segment.value and "\\" not in segment.value or segment.kind == "index" and segment.value >= 0
+
+
+def _place(nodes: DataFrame, segments: list[Segment]) -> DataFrame:
+    """The one node at a place, read by its whole path at once: a JSON null is a node, a missing one is none."""
+    path = "$" + "".join(f"['{s.value}']" if s.kind == "child" else f"[{s.value}]" for s in segments)
+    at = F.array(*[F.lit(s.value if s.kind == "index" else 0) for s in segments])
+    key = segments[-1].value if segments[-1].kind == "child" else None
+    found = computed_once(nodes, __found=F.try_variant_get("value", path, "variant")).where("__found IS NOT NULL")
+    return found.withColumns({"ord": F.concat("ord", at), "key": F.lit(key).cast("string"), "value": F.col("__found")}).drop("__found")
 
 
 def _matches(value, predicate: str):
@@ -145,16 +156,19 @@ def _matches(value, predicate: str):
 def query_json_path(docs: DataFrame, path: str, doc_col: str = "doc") -> DataFrame:
     """Matches of ``path`` in the VARIANT column: the other columns of ``docs``, ``ord`` (the place in document order), ``key`` and ``value``. Null documents match nothing."""
     keep = [c for c in docs.columns if c != doc_col]
-    nodes = docs.where(F.col(doc_col).isNotNull()).select(*keep, F.array().cast("array<int>").alias("ord"), F.lit(None).cast("string").alias("key"), F.col(doc_col).alias("value"))
-    for segment in parse_json_path(path):
+    segments = parse_json_path(path)
+    # a place in a null document is none; anywhere else a document is made once, before it is asked whether it is null
+    given = docs if segments and _is_plain(segments[0]) else computed_once(docs, **{doc_col: F.col(doc_col)}).where(F.col(doc_col).isNotNull())
+    nodes = given.select(*keep, F.array().cast("array<int>").alias("ord"), F.lit(None).cast("string").alias("key"), F.col(doc_col).alias("value"))
+    while segments:
+        if plain := list(takewhile(_is_plain, segments)):
+            nodes, segments = _place(nodes, plain), segments[len(plain) :]
+            continue
+        segment, segments = segments[0], segments[1:]
         kind = F.schema_of_variant("value")
         is_object, is_array = kind.startswith("OBJECT"), kind.startswith("ARRAY")
-        if segment.kind == "child" and "'" not in segment.value and "\\" not in segment.value:
-            nodes = _place(nodes.where(is_object), f"$['{segment.value}']", segment.value, 0)
-        elif segment.kind == "child":
+        if segment.kind == "child":
             nodes = _children(nodes.where(is_object)).where(F.col("key") == segment.value)
-        elif segment.kind == "index" and segment.value >= 0:
-            nodes = _place(nodes.where(is_array), f"$[{segment.value}]", None, segment.value)
         elif segment.kind == "wildcard":
             nodes = _children(nodes)
         elif segment.kind == "filter":
@@ -170,24 +184,32 @@ def query_json_path(docs: DataFrame, path: str, doc_col: str = "doc") -> DataFra
                 wanted = (at >= F.coalesce(low, F.lit(0))) & (at < F.coalesce(high, F.col("__n")))
             nodes = items.where(wanted).drop("__n")
         else:
-            nodes = _descendants(nodes, keep)
-            if segment.value is not None:
-                nodes = nodes.where(F.col("key") == segment.value)
+            nodes = _descendants(nodes, keep, segment.value)
     return nodes
 
 
-def _descendants(nodes: DataFrame, keep: list[str]) -> DataFrame:
-    """All nodes below, each once for every node that it is below of, by a recursive query (sort by ``ord`` for pre-order). Lifts the session's row limit of recursive queries."""
-    roots = f"__loomdoc_{uuid.uuid4().hex}"
-    nodes.select(*keep, "ord", "key", "value").createOrReplaceTempView(roots)
-    columns = "".join(f"`{c}`, " for c in keep)
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    found = spark.sql(f"""
-        WITH RECURSIVE walk({columns}depth, ord, key, value) MAX RECURSION LEVEL {MOST_DEPTH} AS (
-            SELECT {columns}0, ord, key, value FROM {roots}
-            UNION ALL
-            SELECT {''.join(f'w.`{c}`, ' for c in keep)}w.depth + 1, concat(w.ord, array(e.pos)), e.key, e.value FROM walk w, LATERAL variant_explode(w.value) e)
-        SELECT {columns}ord, key, value FROM walk WHERE depth > 0""")
-    spark.catalog.dropTempView(roots)
-    return found
+def _below(value: str) -> Column:
+    """Items, or members by key, as ``(pos, key, value)``; null for a value that has none."""
+    row = lambda i, key, v: F.struct(i.alias("pos"), key.cast("string").alias("key"), v.alias("value"))
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v, i: row(i, F.lit(None), v))
+    return F.coalesce(items, F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e, i: row(i, e["key"], e["value"])))
+
+
+def _descendants(nodes: DataFrame, keep: list[str], name: str | None = None) -> DataFrame:
+    """All nodes below, or those of a name, each once for every node that it is below of (sort by ``ord`` for pre-order). Each pass goes ``LEVELS`` down and is written once."""
+    wanted = F.col("__depth") > 0 if name is None else (F.col("__depth") > 0) & F.coalesce(F.col("key") == name, F.lit(False))
+    going, found = nodes.select(*keep, "ord", F.lit(0).alias("__depth"), "key", "value", F.lit(True).alias("__open")), None
+    own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), "key", "value", F.lit(False).alias("open")))
+    below = F.transform(_below("value"), lambda c: F.struct(c["pos"].alias("pos"), c["key"].alias("key"), c["value"].alias("value"), F.lit(True).alias("open")))
+    each = F.explode(F.when(F.col("__open") & below.isNotNull(), F.concat(own, below)).otherwise(own)).alias("__e")
+    pos = F.col("__e.pos")
+    while True:
+        for _ in range(LEVELS):
+            ord_ = F.when(pos.isNull(), F.col("ord")).otherwise(F.concat("ord", F.array(pos)))
+            going = going.select(*keep, "ord", "__depth", each).select(*keep, ord_.alias("ord"), (F.col("__depth") + pos.isNotNull().cast("int")).alias("__depth"), "__e.key", "__e.value", F.col("__e.open").alias("__open")).where(F.col("__open") | wanted)
+        passed = written(going, "walk")
+        done = passed.where("NOT __open").where(wanted).select(*keep, "ord", "key", "value")
+        found = done if found is None else found.unionByName(done)
+        going = passed.where("__open")
+        if going.isEmpty():
+            return found

@@ -50,3 +50,29 @@ def test_deep_documents(spark):
     for _ in range(120):
         deep = {"d": [deep]}
     assert found(spark, "$..x", deep) == [1]
+
+
+def test_descendants_of_more_levels_than_a_pass(spark):
+    """Members, items and nulls at, above and below the ends of passes, with their types; every node once for each node that it is below of."""
+    doc = {"x": None}
+    for i in range(20):
+        doc = {"b": [doc, {"x": i}], "x": 1.5}
+    wanted = []
+
+    def walk(value):
+        for key, v in value.items() if isinstance(value, dict) else [(None, v) for v in value] if isinstance(value, list) else []:
+            if key == "x":
+                wanted.append(v)
+            walk(v)
+
+    walk(doc)
+    assert found(spark, "$..x", doc) == wanted
+    assert len(found(spark, "$..*..x", {"a": {"a": {"x": 1}}})) == 2
+
+
+def test_a_run_of_names_and_places_is_read_at_once(spark):
+    assert found(spark, "$.a[0]['b c'][1]", {"a": [{"b c": [1, None]}]}) == [None]
+    assert found(spark, "$.a.b", {"a": [{"b": 1}]}) == found(spark, "$.a[0]", {"a": {"0": 1}}) == []
+    docs = spark.createDataFrame([("{}",)], "t string").select(F.parse_json("t").alias("doc"))
+    plan = query_json_path(docs, "$.a.b[0].c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 1 and "schema_of_variant" not in plan.lower() and "schemaOfVariant" not in plan
