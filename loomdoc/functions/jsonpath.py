@@ -201,7 +201,7 @@ def _descendants(nodes: DataFrame, keep: list[str], name: str | None = None) ->
     going, found = nodes.select(*keep, "ord", F.lit(0).alias("__depth"), "key", "value", F.lit(True).alias("__open")), None
     own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), "key", "value", F.lit(False).alias("open")))
     below = F.transform(_below("value"), lambda c: F.struct(c["pos"].alias("pos"), c["key"].alias("key"), c["value"].alias("value"), F.lit(True).alias("open")))
-    each = F.explode(F.when(F.col("__open") & below.isNotNull(), F.concat(own, below)).otherwise(own)).alias("__e")
+    each = F.explode(F.coalesce(F.when(F.col("__open"), F.concat(own, below)), own)).alias("__e")  # null without anything below
     pos = F.col("__e.pos")
     while True:
         for _ in range(LEVELS):
