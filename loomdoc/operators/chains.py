@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import registries
 from loomdoc.functions.text import escape_regex
 from loomdoc.sources.shared import written
+from loomdoc.sources.tables import spread
 
 #: What a format method comes to; formats that are none of these are registered ones or come to a pattern.
 FORMATS = {
@@ -103,6 +104,7 @@ def chain_attributes(calls: DataFrame, keys: list[str]) -> DataFrame:
     """
     method = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in CHECKS.items() for x in p]), F.col("method")), F.col("method"))
     each = calls.select(*keys, "ord", F.posexplode(effects(F.col("type"), method, F.col("arg"))).alias("__i", "__e")).select(*keys, "ord", "__i", F.regexp_replace("__e.attribute", r"^[+?]", "").alias("attribute"), F.substr("__e.attribute", F.lit(1), F.lit(1)).alias("__how"), "__e.value")
+    each = spread(each, *keys)  # a shuffle before the calls came to rows is small, and its few tasks would sort all of these
     plain = F.col("__how").isin("+", "?")
     # a call that begins anew takes away what stands before it
     anew = F.max(F.when(F.col("attribute") == "*", F.struct("ord", "__i"))).over(Window.partitionBy(*keys))
