@@ -121,7 +121,7 @@ def schema_reference(name: Column) -> Column:
 
 def type_reference(name: Column) -> Column:
     """``(type, ref, depth)``: a primitive or a reference, inside as many arrays as the name ends in ``[]``."""
-    bare = F.regexp_replace(name, r"(\[\])+$", "")
+    bare = F.when(name.endswith("[]"), F.regexp_replace(name, r"(\[\])+$", "")).otherwise(name)
     depth = ((F.length(name) - F.length(bare)) / 2).cast("int")
     return F.struct(F.when(bare.isin(*PRIMITIVES), bare).alias("type"), F.when(~bare.isin(*PRIMITIVES), schema_reference(bare)).alias("ref"), depth.alias("depth"))
 
