@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc.llm.byte_contexts import Tables, count_grams, places, raw_texts, text_sums
@@ -56,45 +56,48 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Interpolated probabilities and context weights from 4-gram counts ``(lang, gram, n)``.
 
-    Returns ``(lang, k, gram, p)`` for all seen grams of k symbols and ``(lang, k, context, gamma, mass)`` for their contexts. Orders below four use continuation
-    counts; each order has three discounts for each language, from its counts of counts.
+    Returns ``(lang, k, gram, p, gamma)`` for all seen grams of k symbols and ``(lang, k, context, gamma, mass)`` for their contexts. Orders below four use continuation
+    counts; each order has three discounts for each language, from its counts of counts. All orders go through one pass, as each exchange of a plan costs the driver memory; a context has at most ``SYMBOLS`` rows.
     """
     n_of, levels = {4: counts}, {}
     for k in (3, 2, 1):
         n_of[k] = n_of[k + 1].groupBy("lang", (F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count("*").alias("n"))
-    lower = None
+    own = reduce(DataFrame.union, [n.select("lang", F.lit(k).alias("k"), "gram", F.floor(F.col("gram") / SYMBOLS).alias("context"), "n") for k, n in n_of.items()])
+    own = written(own, "kn-counts")
+    many = own.groupBy("lang", "k").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.coalesce(F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0)), F.lit(0.5))
+    d = [F.least(F.lit(i - 0.05), F.greatest(F.lit(0.05), F.coalesce(i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)), F.lit(0.5 * i)))) for i in (1, 2, 3)]
+    discounts = F.broadcast(many.select("lang", "k", *[x.alias(f"d{i + 1}") for i, x in enumerate(d)]))  # four rows for each language
+    discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    alike = Window.partitionBy("lang", "k", "context")
+    cut = own.join(discounts, ["lang", "k"]).withColumn("cut", discount).withColumns({"mass": F.sum("n").over(alike), "freed": F.sum("cut").over(alike)})
+    cut = written(cut.select("lang", "k", "gram", "context", ((F.col("n") - F.col("cut")) / F.col("mass")).alias("kept"), (F.col("freed") / F.col("mass")).alias("gamma"), "mass"), "kn-cut")
     for k in (1, 2, 3, 4):
-        own = n_of[k].withColumn("context", F.floor(F.col("gram") / SYMBOLS))
-        many = own.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
-        y = F.coalesce(F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0)), F.lit(0.5))
-        d = [F.least(F.lit(i - 0.05), F.greatest(F.lit(0.05), F.coalesce(i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)), F.lit(0.5 * i)))) for i in (1, 2, 3)]
-        discounts = F.broadcast(many.select("lang", *[x.alias(f"d{i + 1}") for i, x in enumerate(d)]))  # one row for each language
-        discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = own.join(discounts, "lang").withColumn("cut", discount)
-        masses = cut.groupBy("lang", "context").agg(F.sum("n").alias("mass"), F.sum("cut").alias("freed")).withColumn("gamma", F.col("freed") / F.col("mass"))
-        joined = cut.join(_sorted(masses), ["lang", "context"])
-        if lower is None:
-            joined = joined.withColumn("p0", F.lit(1 / SYMBOLS))
+        order = cut.where(F.col("k") == k)
+        if k == 1:
+            joined = order.withColumn("p0", F.lit(1 / SYMBOLS))
         else:
-            suffix = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p0"))
-            joined = joined.withColumn("suffix", F.col("gram") % SYMBOLS ** (k - 1)).join(_sorted(suffix), ["lang", "suffix"])
-        lower = written(joined.select("lang", F.lit(k).alias("k"), "gram", "context", ((F.col("n") - F.col("cut")) / F.col("mass") + F.col("gamma") * F.col("p0")).alias("p"), "gamma", "mass"), f"kn{k}")
-        levels[k] = lower
+            suffix = levels[k - 1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p0"))
+            joined = order.withColumn("suffix", F.col("gram") % SYMBOLS ** (k - 1)).join(_sorted(suffix), ["lang", "suffix"])
+        levels[k] = joined.select("lang", "k", "gram", (F.col("kept") + F.col("gamma") * F.col("p0")).alias("p"), "gamma")
+        if k > 1:
+            levels[k] = written(levels[k], f"kn{k}")
     every = levels[1].union(levels[2]).union(levels[3]).union(levels[4])
-    return every.select("lang", "k", "gram", "p"), written(every.groupBy("lang", "k", "context").agg(F.first("gamma").alias("gamma"), F.max("mass").alias("mass")), "kn-contexts")
+    return every, written(cut.groupBy("lang", "k", "context").agg(F.first("gamma").alias("gamma"), F.max("mass").alias("mass")), "kn-contexts")
 
 
-def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list[str], cells: int = HEAD_CELLS, share: float = HEAD_SHARE) -> Tables:
+def freeze(grams: DataFrame, contexts: DataFrame, langs: list[str], cells: int = HEAD_CELLS, share: float = HEAD_SHARE) -> Tables:
     """The head: of each model the rows of the contexts of three symbols that stand most often, whole frequency classes at a time until they make up ``share`` of its places; the rarest classes of all models go while there is no room.
 
     A row has a column for each symbol that the model has seen and one for all others.
     """
-    seen = counts.select("lang", (F.col("gram") % SYMBOLS).alias("s")).distinct().groupBy("lang").agg(F.sort_array(F.collect_list("s")).alias("s")).collect()  # at most SYMBOLS for each language
-    columns = {}
-    for row in seen:
-        columns[row["lang"]] = np.full(SYMBOLS, len(row["s"]))
-        columns[row["lang"]][row["s"]] = np.arange(len(row["s"]))
-    ranked = written(counts.groupBy("lang", F.floor(F.col("gram") / SYMBOLS).alias("context")).agg(F.sum("n").alias("n")).withColumn("f", F.floor(F.log2("n") * 4).cast("int")), "contexts")
+    seen: dict[str, list[int]] = {}
+    for row in grams.where("k = 1").select("lang", "gram").collect():  # at most SYMBOLS for each language
+        seen.setdefault(row["lang"], []).append(row["gram"])
+    columns = {lang: np.full(SYMBOLS, len(own)) for lang, own in seen.items()}
+    for lang, own in seen.items():
+        columns[lang][sorted(own)] = np.arange(len(own))
+    ranked = contexts.where("k = 4").select("lang", "context", F.col("mass").alias("n"), F.floor(F.log2("mass") * 4).cast("int").alias("f"))
     classes = ranked.groupBy("f", "lang").agg(F.count("*").alias("contexts"), F.sum("n").alias("places")).collect()  # at most four rows for each power of two and language
     total: dict[str, int] = {}
     for row in classes:
@@ -111,33 +114,25 @@ def freeze(grams: DataFrame, contexts: DataFrame, counts: DataFrame, langs: list
     for f, lang, _ in inside:
         least[lang] = min(f, least.get(lang, f))
     enough = reduce(lambda rest, m: F.when(F.col("lang") == m[0], F.lit(m[1])).otherwise(rest), least.items(), F.lit(1 << 30))
-    three = ranked.where(F.col("f") >= enough).select("lang", F.lit(4).alias("k"), "context")
-    kept = three.union(three.select("lang", F.lit(3), F.col("context") % SYMBOLS**2).distinct()).union(three.select("lang", F.lit(2), F.col("context") % SYMBOLS).distinct())
-    kept = written(kept.union(three.select("lang", F.lit(1), F.lit(0).cast("long")).distinct()), "head")
-    rows = grams.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).join(_sorted(kept), ["lang", "k", "context"], "left_semi").select("lang", "k", "gram", "p").toArrow()
-    weights = contexts.join(_sorted(kept), ["lang", "k", "context"], "left_semi").select("lang", "k", "context", "gamma").toArrow()
-    lists = kept.toArrow()
+    held = [F.struct(F.lit(k).alias("k"), (F.col("context") % SYMBOLS ** (k - 1)).alias("context")) for k in (4, 3, 2, 1)]
+    kept = written(ranked.where(F.col("f") >= enough).select("lang", F.explode(F.array(*held)).alias("x")).select("lang", "x.k", "x.context").distinct(), "head")
+    rows = grams.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).join(_sorted(kept), ["lang", "k", "context"], "left_semi").select("lang", "k", "gram", "p", "gamma").toArrow()
     models = {}
     for lang in langs:
-        own = lambda t: t.filter(pa.compute.equal(t.column("lang"), lang))  # noqa: E731, B023
-        r, w, c = own(rows), own(weights), own(lists)
-        r_k, r_gram, r_p = r.column("k").to_numpy(), r.column("gram").to_numpy(), r.column("p").to_numpy()
-        w_k, w_context, w_gamma = w.column("k").to_numpy(), w.column("context").to_numpy(), w.column("gamma").to_numpy()
-        c_k, c_context = c.column("k").to_numpy(), c.column("context").to_numpy()
+        r = rows.filter(pa.compute.equal(rows.column("lang"), lang))
+        r_k, r_gram, r_p, r_gamma = (r.column(c).to_numpy() for c in ("k", "gram", "p", "gamma"))
         place = columns[lang]
         width = int(place.max()) + 1
         parent, before = np.full((1, width), 1 / SYMBOLS), np.zeros(1, np.int64)
         for k in (1, 2, 3, 4):
-            wanted = np.sort(c_context[c_k == k])
-            below = parent if k == 1 else parent[np.searchsorted(before, wanted % SYMBOLS ** (k - 2))]
-            gamma = np.ones(len(wanted))
-            gamma[np.searchsorted(wanted, w_context[w_k == k])] = w_gamma[w_k == k]
-            parent = (below if len(wanted) else np.zeros((0, width))) * gamma[:, None]
             gram = r_gram[r_k == k]
+            wanted, of = np.unique(gram // SYMBOLS, return_index=True)  # every context of the head has been seen before some symbol
+            below = parent if k == 1 else parent[np.searchsorted(before, wanted % SYMBOLS ** (k - 2))]
+            parent = (below if len(wanted) else np.zeros((0, width))) * r_gamma[r_k == k][of][:, None]
             parent[np.searchsorted(wanted, gram // SYMBOLS), place[gram % SYMBOLS]] = r_p[r_k == k]
             before = wanted
         models[lang] = np.zeros(0, np.int64), before, -np.log2(np.concatenate([np.ones((SYMBOLS, width)), parent]))
-    del rows, weights, lists, own
+    del rows, r
     give_back()
     return Tables(CLASSES, SYMBOLS, models, columns)
 
@@ -193,14 +188,14 @@ class QualityModel:
 
 
 def gram_bits(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``(model, gram, each)`` of distinct ``wanted (model, gram)``: the code length, interpolated or backed off through the orders. Bounded by the grams that a model can tell apart."""
-    found = wanted
+    """``(model, gram, each)`` of distinct ``wanted (model, gram)``: the code length, interpolated or backed off through the orders; all orders are looked up in one join. Bounded by the grams that a model can tell apart."""
+    keys = [(k, F.col("gram") % SYMBOLS**k) for k in (1, 2, 3, 4)] + [(-k, F.floor(F.col("gram") / SYMBOLS) % SYMBOLS ** (k - 1)) for k in (1, 2, 3, 4)]
+    parts = wanted.select("model", "gram", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), code.alias("code")) for k, code in keys])).alias("x")).select("model", "gram", "x.kind", "x.code")
+    known = grams.select(F.col("lang").alias("model"), F.col("k").alias("kind"), F.col("gram").alias("code"), F.col("p").alias("value"))
+    known = known.union(contexts.select("lang", -F.col("k"), "context", "gamma"))
+    found = parts.join(_sorted(known), ["model", "kind", "code"], "left").groupBy("model", "gram").agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(f"{'p' if k > 0 else 'g'}{abs(k)}") for k, _ in keys])
     p = F.lit(1 / SYMBOLS)
     for k in (1, 2, 3, 4):
-        own = grams.where(F.col("k") == k).select(F.col("lang").alias("model"), F.col("gram").alias("__g"), F.col("p").alias(f"p{k}"))
-        weight = contexts.where(F.col("k") == k).select(F.col("lang").alias("model"), F.col("context").alias("__c"), F.col("gamma").alias(f"g{k}"))
-        found = found.withColumns({"__g": F.col("gram") % SYMBOLS**k, "__c": F.floor(F.col("gram") / SYMBOLS) % SYMBOLS ** (k - 1)})
-        found = found.join(_sorted(own), ["model", "__g"], "left").join(_sorted(weight), ["model", "__c"], "left").drop("__g", "__c")
         p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"g{k}"), F.lit(1.0)) * p)
     return found.select("model", "gram", (-F.log2(p)).alias("each"))
 
@@ -236,16 +231,16 @@ def fit(docs: DataFrame, labels: DataFrame, cells: int = HEAD_CELLS, share: floa
     langs = sorted(row["lang"] for row in sizes) + [POOLED]
     counted = good.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").mapInArrow(giving_back(count_grams(CLASSES, SYMBOLS, raw_texts)), "lang string, gram long, n long")
     by_lang = written(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    pooled = by_lang.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
-    if not pooled.take(1):
+    if not by_lang.take(1):
         return None
+    pooled = by_lang.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
     counts = written(by_lang.where(F.col("lang").isin(langs[:-1])).union(pooled), "counts")
     grams, contexts = kneser_ney(counts)
-    head = freeze(grams, contexts, counts, langs, cells, share)
+    head = freeze(grams, contexts, langs, cells, share)
     scored = written(score(good, grams, contexts, head, ()), "trusted-scores")
-    quantiles = lambda df: df.agg(F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(UPPER)), 10_000).alias("q"))
-    bars = {row["model"]: row["q"] for row in quantiles(scored.groupBy("model")).collect()}
-    bars[POOLED] = quantiles(scored).first()["q"]
+    quantiles = F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(UPPER)), 10_000)
+    bars = {row["model"]: row["q"] for row in scored.select("model", "bits").rollup("model").agg(quantiles.alias("q")).collect()}
+    bars[POOLED] = bars.pop(None)  # of all
     return QualityModel(grams, contexts, head, {m: q[1] + SPREAD * max(q[1] - q[0], 0.05) for m, q in bars.items()})
 
 

@@ -166,3 +166,17 @@ def test_quality_joins_tables_that_grow_with_the_text_without_broadcasts(spark):
     contexts = spark.createDataFrame([("", 1, 0, 0.5)], "lang string, k int, context long, gamma double")
     plan = quality.gram_bits(wanted, grams, contexts)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_quality_looks_all_orders_up_in_one_join(spark):
+    """Each exchange of a plan costs the driver a thread and generated code, so the orders of the model share a join; seen, backed off and unknown grams have their lengths."""
+    seen, unseen = 5, S + 6
+    wanted = spark.createDataFrame([("", seen), ("", unseen), ("x", seen)], "model string, gram long")
+    grams = spark.createDataFrame([("", k, seen, 0.5 / k) for k in (1, 2, 3, 4)], "lang string, k int, gram long, p double")
+    contexts = spark.createDataFrame([("", 1, 0, 0.5), ("", 2, 1, 0.25)], "lang string, k int, context long, gamma double")
+    found = quality.gram_bits(wanted, grams, contexts)
+    got = {(r["model"], r["gram"]): 2 ** -r["each"] for r in found.collect()}
+    want = {("", seen): 0.125, ("", unseen): 0.125 / S, ("x", seen): 1 / S}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.split("== Initial Plan ==")[-1].count("SortMergeJoin") == 1
