@@ -9,6 +9,11 @@ from loomdoc.llm import language_id, mixing, ngram_jaccard, piece_codec, quality
 from loomdoc.llm.common import free_name, written
 
 
+def _small_reads(docs: DataFrame) -> None:
+    """Let the session read few rows of long texts at a time: the arrays that hold thousands of them make an executor's heap grow."""
+    docs.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs``, written with a key for each row, and the key's name: one that no column has. So rows with null or repeated ids, and repeated rows, are told apart."""
     key = free_name(docs.columns, "row_key")
@@ -35,6 +40,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts go; without a trusted text all others stay. A verdict follows from text and language, so repeated rows and rows with null or repeated ids stay or go with their texts. Columns that ``docs`` has besides stay as they
     are, whatever their names. An empty table gives an empty one. Texts may be of any length. Only hashes and texts go through the scoring pass; its verdicts are joined to the rows.
     """
+    _small_reads(docs)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     h1, h2 = _hashes(("text", "lang"))
     texts = docs.select("text", "lang", h1.alias("h1"), h2.alias("h2"))
@@ -47,6 +53,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts and texts without a letter go. With no labelled text nothing can be predicted, and all go. Extra columns stay as they are, whatever their names. A verdict follows from the text alone, repeated rows stay or go together; an
     empty table gives an empty one. Texts may be of any length.
     """
+    _small_reads(docs)
     h1, h2 = _hashes(("text",))
     found = language_id.identify(docs.select("text", h1.alias("h1"), h2.alias("h2")), language_id.fit(docs), keep=("h1", "h2"))
     return _of_verdict(docs, found.where("lang_pred <> 'und' AND score >= 0.5"), ("text",))
@@ -57,6 +64,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts without a word, empty and null ones are like no other and all stay. Extra columns stay as they are, whatever their names; an empty table gives an empty one. Texts may be of any length.
     """
+    _small_reads(docs)
     rows, key = _keyed(docs)
     texts = rows.select(F.col(key).alias("row_key"), "doc_id", "text")
     found = written(ngram_jaccard.jaccard_components(texts.select("row_key", "text"), n=5, percent=80, id_col="row_key").select("row_key", "component_id"), "row-components")
@@ -73,6 +81,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A null source is a source. Rows with null or repeated ids are taken row by row. Extra columns stay as they are, whatever their names; an empty table gives an empty one. Texts may be of any length.
     """
+    _small_reads(docs)
     given = docs.select(F.struct(*docs.columns).alias("held"), "doc_id", "text", "source")
     sized = mixing.word_sizes(given).select("held", "doc_id", "size", "sources")
     mixed = mixing.mix_sources(sized).where("taken > 0")
@@ -87,7 +96,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     import public_tokenizers
 
-    found = piece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    _small_reads(docs)
+    found = piece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), want_texts=False)
     return found.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,13 +121,15 @@ def mix_sources(
         copies = routed // words if words else 0
         first = pattern[0] if pattern else None
         rows.append((list(pattern), int(copies), int(routed - copies * words), int(sizes[first]) if pattern else 0, float(goal[first]) if pattern else 0.0))
-    plan = spark.createDataFrame(rows, "__p array<string>, __copies long, __rest long, source_size long, target double")
+    # tables of Arrow: rows of Python objects would start Python workers of their own in every executor
+    kinds = {"__p": pa.list_(pa.string()), "__copies": pa.int64(), "__rest": pa.int64(), "source_size": pa.int64(), "target": pa.float64()}
+    plan = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values(), strict=True)] if rows else [pa.array([], t) for t in kinds.values()], list(kinds)))
     order = Window.partitionBy("__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = buckets.withColumn("__upto", F.sum("words").over(order)).withColumn("__before", F.col("__upto") - F.col("words"))
     same = F.col("plan.__p").eqNullSafe(F.col("sums.__p"))
     ends = plan.alias("plan").join(sums.alias("sums"), same & (F.col("__before") < F.col("__rest")) & (F.col("__upto") >= F.col("__rest")), "left")
-    found = ends.select("plan.*", F.coalesce("__b", F.lit(-1)).alias("__end"), (F.col("__rest") - F.coalesce("__before", F.lit(0))).alias("__left")).collect()
-    bounds = spark.createDataFrame([tuple(r) for r in found], plan.schema.add("__end", "integer").add("__left", "long"))
+    found = ends.select("plan.*", F.coalesce("__b", F.lit(-1)).alias("__end"), (F.col("__rest") - F.coalesce("__before", F.lit(0))).alias("__left")).toArrow()
+    bounds = spark.createDataFrame(found)
     # one row for each membership pattern: the size of the source catalogue
     placed = keyed.join(F.broadcast(bounds), "__p")
     size = F.col("__size")

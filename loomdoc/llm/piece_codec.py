@@ -21,8 +21,8 @@ from loomdoc.llm.common import byte_batches, giving_back
 
 MARK = "▁"
 
-#: Characters of new units that one run of merge rounds takes, and units that a task remembers, at most.
-ROUND_CHARS, KEPT_UNITS = 1_000_000, 100_000
+#: Characters of new units that one run of merge rounds takes, units that a task remembers, at most, and characters of texts that are encoded together. A worker's memory goes with these.
+ROUND_CHARS, KEPT_UNITS, TEXT_CHARS = 400_000, 100_000, 500_000
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NONE = np.iinfo(np.int32).max
@@ -277,14 +277,14 @@ def _slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, list[str]]]:
         yield start, chunk
 
 
-def _encoder(path: str, want_ids: bool):
+def _encoder(path: str, want_ids: bool, want_texts: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(path)
         for batch in batches:
-            for start, texts in _slices(batch.column(1), 1_000_000):
+            for start, texts in _slices(batch.column(1), TEXT_CHARS):
                 cut = [units_of(t) for t in texts]
                 kept = remembered(model, cut)
-                counts, id_sums, text_sums, id_lists = [], [], [], []
+                counts, id_sums, text_sums, id_lists, decoded_texts = [], [], [], [], []
                 for units in cut:
                     found = [kept[u] for u in units]
                     id_text = ",".join([x[0] for x in found])
@@ -294,28 +294,29 @@ def _encoder(path: str, want_ids: bool):
                     id_sums.append(hashlib.sha256(id_text.encode()).hexdigest())
                     text_sums.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                     if want_ids:
-                        id_lists.append(([int(i) for i in id_text.split(",")] if id_text else [], decoded))
+                        id_lists.append(np.fromstring(id_text, np.int32, sep=",") if id_text else np.zeros(0, np.int32))
+                        decoded_texts.append(decoded if want_texts else None)
                 columns = [batch.column(0).slice(start, len(texts)), pa.array(counts, pa.int64()), pa.array(id_sums), pa.array(text_sums)]
                 names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if want_ids:
-                    columns += [pa.array([x[0] for x in id_lists], pa.list_(pa.int32())), pa.array([x[1] for x in id_lists], pa.string())]
-                    names += ["ids", "decoded"]
+                    columns += [pa.array(id_lists, pa.list_(pa.int32())), *[pa.array(decoded_texts, pa.string())] * want_texts]
+                    names += ["ids", *["decoded"] * want_texts]
                 yield pa.RecordBatch.from_arrays(columns, names)
         model.kept.clear()  # the worker lives on
 
     return run
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", want_ids: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", want_ids: bool = True, want_texts: bool = True) -> DataFrame:
     """Ids of every whole text and what they decode to, one row per row of ``docs``, in one pass without a shuffle.
 
-    Columns: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if ``want_ids``, ``ids array<int>`` and ``decoded``. Null texts count as empty:
+    Columns: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if ``want_ids``, ``ids array<int>`` and, if ``want_texts`` too, ``decoded``. Null texts count as empty:
     no ids, an empty decoded text. Other columns of ``docs`` are left out.
     """
     byte_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    schema = f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * want_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(giving_back(_encoder(model_path, want_ids)), schema).withColumnRenamed("row", id_col)
+    schema = f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * want_ids + ", decoded string" * (want_ids and want_texts)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(giving_back(_encoder(model_path, want_ids, want_texts)), schema).withColumnRenamed("row", id_col)
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
-from loomdoc.llm import language_id, license_scan, mixing, quality
+from loomdoc.llm import language_id, license_scan, mixing, piece_codec, quality
 
 SF = "/root/testdata/sf0.001"
 CLASHES = ("row_key", "_row_key", "__row", "__copy", "held", "copy", "__held", "model", "kept", "size", "sources", "taken", "lang_pred", "score", "component_id", "__p", "__u", "__b", "__id", "first", "plan")
@@ -75,3 +76,26 @@ def test_operators_keep_columns_of_any_name(spark):
     assert (row["__low"], row["__words"], row["__held"], row["n_words"]) == ("a", "b", "c", 3)
     row = mixing.mix_sources(mixing.word_sizes(docs)).first()
     assert (row["__low"], row["__held"], row["__p"], row["size"], row["source_size"]) == ("a", "c", "d", 3, 3)
+
+
+def test_encoding_makes_no_texts_and_holds_little(spark, monkeypatch):
+    """The decoded texts stay in the task, and what a worker holds at once goes with parts of a batch, not with it all."""
+    docs = table(spark, False)
+    assert "decoded#" not in corpus_pipeline.encoding_stage(spark, docs, SF)._jdf.queryExecution().optimizedPlan().toString()
+    met = []
+    units_of = piece_codec.units_of
+    monkeypatch.setattr(piece_codec, "units_of", lambda text: met.append(len(text)) or units_of(text))
+    texts = pa.array([f"w{i} " * 1000 for i in range(500)])
+    run = piece_codec._encoder(public_tokenizers.path("piece_bpe_32k.model"), True)
+    held, total = [], 0
+    for found in run(iter([pa.RecordBatch.from_arrays([pa.array(range(500)), texts], ["a", "b"])])):
+        total += found.num_rows
+        held.append(sum(met))
+        met.clear()
+    assert total == 500 and max(held) <= 600_000
+
+
+def test_mixing_starts_no_python_workers(spark):
+    """The plan's small tables come as Arrow: rows of Python objects would be dealt out by Python workers."""
+    sized = mixing.word_sizes(table(spark, False))
+    assert "ExistingRDD" not in mixing.mix_sources(sized)._jdf.queryExecution().optimizedPlan().toString() + mixing.mix_sources(sized)._jdf.queryExecution().executedPlan().toString()
