@@ -19,8 +19,8 @@ _NAME = re.compile(r"[A-Za-z_][\w-]*")
 _INTEGER = re.compile(r"-?\d+")
 _PREDICATE = re.compile(r"""@(?:\.(\w+)|\[['"]([^'"]+)['"]\])\s*(==|!=)\s*(.+)""")
 
-#: Levels that ``..`` goes down in a pass.
-LEVELS = 8
+#: Levels that ``..`` goes down in its first pass, and in each later one.
+LEVELS, LATER_LEVELS = 16, 32
 
 
 @dataclass(frozen=True)
@@ -188,28 +188,35 @@ def query_json_path(docs: DataFrame, path: str, doc_col: str = "doc") -> DataFra
     return nodes
 
 
-def _below(value: str) -> Column:
-    """Items, or members by key, as ``(pos, key, value)``; null for a value that has none."""
-    row = lambda i, key, v: F.struct(i.alias("pos"), key.cast("string").alias("key"), v.alias("value"))
-    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v, i: row(i, F.lit(None), v))
-    return F.coalesce(items, F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e, i: row(i, e["key"], e["value"])))
+def _level(rows: str, keep: list[str], wanted: str) -> str:
+    """SQL for the members of the values of ``rows``. What is wanted is held in ``__hits`` and goes on with a value's first member, or with the row itself, without a value, where there is none."""
+    held, at = "CASE WHEN coalesce(e.pos, 0) = 0 THEN r.__hits END", "concat(r.__at, array(e.pos))"
+    hits = f"CASE WHEN {wanted} THEN concat(coalesce({held}, array()), array(struct({at} AS at, e.key, e.value, false AS open))) ELSE {held} END"
+    kept = "".join(f"r.`{c}`, " for c in keep)
+    return f"(SELECT {kept}r.ord, if(e.pos IS NULL, r.__at, {at}) AS __at, e.value, {hits} AS __hits FROM {rows} AS r, LATERAL variant_explode_outer(r.value) AS e WHERE e.pos IS NOT NULL OR r.__hits IS NOT NULL)"
 
 
 def _descendants(nodes: DataFrame, keep: list[str], name: str | None = None) -> DataFrame:
-    """All nodes below, or those of a name, each once for every node that it is below of (sort by ``ord`` for pre-order). Each pass goes ``LEVELS`` down and is written once."""
-    wanted = F.col("__depth") > 0 if name is None else (F.col("__depth") > 0) & F.coalesce(F.col("key") == name, F.lit(False))
-    going, found = nodes.select(*keep, "ord", F.lit(0).alias("__depth"), "key", "value", F.lit(True).alias("__open")), None
-    own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), "key", "value", F.lit(False).alias("open")))
-    below = F.transform(_below("value"), lambda c: F.struct(c["pos"].alias("pos"), c["key"].alias("key"), c["value"].alias("value"), F.lit(True).alias("open")))
-    each = F.explode(F.coalesce(F.when(F.col("__open"), F.concat(own, below)), own)).alias("__e")  # null without anything below
-    pos = F.col("__e.pos")
+    """All nodes below, or those of a name, each once for every node that it is below of (sort by ``ord`` for pre-order). Each pass is written once.
+
+    The levels of a pass are one SQL text, as a plan that is made by calls is analysed anew at each. A member that ``variant_explode`` takes out is a cut of the document's bytes beside all names of it; what is written is built
+    anew with its own names, but for a first member of first members, of which a pass has one a document.
+    """
+    spark, levels, found = nodes.sparkSession, LEVELS, None
+    wanted = "e.pos IS NOT NULL" if name is None else "e.key = :name"
+    item = "struct<at:array<int>,key:string,value:variant,open:boolean>"
+    going = nodes.select(*keep, "ord", "value")
+    own = F.when(F.col("value").isNotNull(), F.array(F.struct(F.col("__at").alias("at"), F.lit(None).cast("string").alias("key"), "value", F.lit(True).alias("open"))))
+    each = F.explode(F.concat(*[F.coalesce(c, F.array().cast(f"array<{item}>")) for c in (F.col("__hits"), own)])).alias("__e")
+    value = F.when(F.col("__e.open") & (F.array_max("__e.at") == 0), F.col("__e.value")).otherwise(F.try_variant_get("__e.value", "$", "variant"))
     while True:
-        for _ in range(LEVELS):
-            ord_ = F.when(pos.isNull(), F.col("ord")).otherwise(F.concat("ord", F.array(pos)))
-            going = going.select(*keep, "ord", "__depth", each).select(*keep, ord_.alias("ord"), (F.col("__depth") + pos.isNotNull().cast("int")).alias("__depth"), "__e.key", "__e.value", F.col("__e.open").alias("__open")).where(F.col("__open") | wanted)
-        passed = written(going, "walk")
-        done = passed.where("NOT __open").where(wanted).select(*keep, "ord", "key", "value")
+        query = f"(SELECT *, CAST(array() AS array<int>) AS __at, CAST(NULL AS array<{item}>) AS __hits FROM {{going}})"
+        for _ in range(levels):
+            query = _level(query, keep, wanted)
+        walk = spark.sql(f"SELECT * FROM {query}", args={"name": name}, going=going).select(*keep, "ord", each)
+        passed = written(walk.select(*keep, F.concat("ord", "__e.at").alias("ord"), "__e.key", value.alias("value"), F.col("__e.open").alias("__open")), "walk")
+        done = passed.where("NOT __open").select(*keep, "ord", "key", "value")
         found = done if found is None else found.unionByName(done)
-        going = passed.where("__open")
+        going, levels = passed.where("__open").select(*keep, "ord", "value"), LATER_LEVELS
         if going.isEmpty():
             return found
