@@ -9,7 +9,7 @@ import re
 from dataclasses import dataclass
 from itertools import takewhile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.operators.records import computed_once
@@ -192,7 +192,7 @@ def _level(rows: str, keep: list[str], wanted: str) -> str:
     """SQL for the members of the values of ``rows``. What is wanted is held in ``__hits`` and goes on with a value's first member, or with the row itself, without a value, where there is none."""
     held, at = "CASE WHEN coalesce(e.pos, 0) = 0 THEN r.__hits END", "concat(r.__at, array(e.pos))"
     hits = f"CASE WHEN {wanted} THEN concat(coalesce({held}, array()), array(struct({at} AS at, e.key, e.value, false AS open))) ELSE {held} END"
-    kept = "".join(f"r.`{c}`, " for c in keep)
+    kept = "".join(f"r.`{c}`, " for c in keep).replace("{", "{{").replace("}", "}}")  # braces name tables in the text
     return f"(SELECT {kept}r.ord, if(e.pos IS NULL, r.__at, {at}) AS __at, e.value, {hits} AS __hits FROM {rows} AS r, LATERAL variant_explode_outer(r.value) AS e WHERE e.pos IS NOT NULL OR r.__hits IS NOT NULL)"
 
 
